@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import bpe
+from cuemill.llm import bpe, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {}
