@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import bpe, quality
+from cuemill.llm import bpe, minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": bpe.op3_bpe,
+    "op9_minhash": minhash.op9_minhash,
     "op10_quality": quality.op10_quality,
 }
 ORACLES: dict[str, str] = {}
