@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import bpe, minhash, quality
+from cuemill.llm import bpe, minhash, quality, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": suffix.op2_suffix_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op9_minhash": minhash.op9_minhash,
     "op10_quality": quality.op10_quality,
