@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,10 @@ from cuemill.llm.common import read_table, slices
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct segments that a worker's memo holds before it starts anew.
-MEMO_SEGMENTS = 300_000
+MEMO_SEGMENTS = 500_000
+NO_RANK = np.int32(2**31 - 1)
+#: Bytes of text of one encoding step: many words share the work of a rank.
+STEP_BYTES = 4 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -71,106 +74,130 @@ class PairIndexBpe:
         self.piece_len = np.array([len(p) for p in pieces], np.int64)
         self.piece_at = np.concatenate(([0], np.cumsum(self.piece_len)))[:-1]
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        ranked = sorted((x << 32 | y, rank, z) for (x, y), (rank, z) in self.merges.items())
+        self.codes = np.array([c for c, _, _ in ranked], np.int64)
+        self.ranks = np.array([r for _, r, _ in ranked], np.int32)
+        self.by_rank = sorted((rank, x, y, z) for (x, y), (rank, z) in self.merges.items())
         self.pattern = regex.compile(PRETOKEN)
         # a run of whitespace never loses its last space to a cut: cuts stand between two characters that no library calls blank
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-        self.odd = regex.compile(r" [\s\x1c-\x1f\x85]|[\s\x1c-\x1f\x85] |^ | $")
+        self.blanks = [c for c in map(chr, range(0x3001)) if c != " " and (c.isspace() or regex.match(r"\s", c))]
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self._reset()
 
     def _reset(self) -> None:
         self.memo: dict[str, int] = {t: k for k, t in enumerate(self.special)}
-        self.runs = [np.array([i], np.int32) for i in self.special.values()]
-
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word, by the pair occurrence index over all of them."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(at := len(symbol))
-            symbol.extend(map(self.first.__getitem__, w))
-            before.extend(range(at - 1, at + len(w) - 1))
-            after.extend(range(at + 1, at + len(w) + 1))
-            if w:
-                before[at] = after[-1] = -1
-        index: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for i, j in enumerate(after):
-            if j >= 0:
-                index[symbol[i], symbol[j]].append(i)
-        merges = self.merges
-        active = [(merges[p][0], p) for p in index if p in merges]
-        heapq.heapify(active)
+        self.pool = np.array([*self.special.values()], np.int32)
+        self.run_at = np.arange(len(self.special))
+        self.run_len = np.ones(len(self.special), np.int64)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        code = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.ranks[at], NO_RANK)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words in a row and n + 1 offsets, by the pair occurrence index over all of them."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([0, *map(len, words)])
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int32), ends
+        symbol = np.array(self.first, np.int32)[data]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends[1:][ends[1:] > 0] - 1] = -1
+        before[ends[:-1][ends[:-1] < n]] = -1
+        rank = np.full(n, NO_RANK, np.int32)
+        has = np.flatnonzero(after >= 0)
+        rank[has] = self._rank(symbol[has], symbol[has + 1])
+        index: dict[int, list[np.ndarray]] = {}
+
+        def note(places: np.ndarray) -> None:
+            order = np.argsort(found := rank[places], kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(np.diff(found, prepend=-1)).tolist()
+            for r, a, b in zip(found[cuts].tolist(), cuts, [*cuts[1:], len(found)]):
+                if r in index:
+                    index[r].append(places[a:b])
+                else:
+                    index[r] = [places[a:b]]
+                    heapq.heappush(active, r)
+
+        active: list[int] = []
+        note(has[rank[has] < NO_RANK])
         while active:
-            _, pair = heapq.heappop(active)
-            whole, (a, b) = merges[pair][1], pair
-            grown: dict[tuple[int, int], list[int]] = {}
-            for i in sorted(index.pop(pair, ())):
-                j = after[i]
-                if j < 0 or symbol[i] != a or symbol[j] != b:
-                    continue
-                k = after[j]
-                symbol[i], symbol[j] = whole, -1
-                after[i] = k
-                if k >= 0:
-                    before[k] = i
-                    grown.setdefault((whole, symbol[k]), []).append(i)
-                if (h := before[i]) >= 0:
-                    grown.setdefault((symbol[h], whole), []).append(h)
-            for p, places in grown.items():
-                if p in merges:
-                    if p not in index:
-                        heapq.heappush(active, (merges[p][0], p))
-                    index[p].extend(places)
-        out = []
-        for at, w in zip(starts, words, strict=True):
-            ids, i = [], at if w else -1
-            while i >= 0:
-                ids.append(symbol[i])
-                i = after[i]
-            out.append(ids)
-        return out
+            r = heapq.heappop(active)
+            _, a, b, whole = self.by_rank[r]
+            lists = index.pop(r)
+            i = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            i = i[rank[i] == r]
+            if a == b and len(i) > 1:  # of overlapping occurrences the left one goes first
+                kept, gone = [], -1
+                for x, y in zip(i.tolist(), after[i].tolist()):
+                    if x != gone:
+                        kept.append(x)
+                        gone = y
+                i = np.array(kept)
+            j = after[i]
+            k = after[j]
+            symbol[i], symbol[j], rank[j], after[i] = whole, -1, NO_RANK, k
+            right, left = k >= 0, (h := before[i]) >= 0
+            before[k[right]] = i[right]
+            h = before[i]
+            ir, hl = i[right], h[left]
+            rank[i] = NO_RANK
+            rank[ir] = self._rank(symbol[ir], symbol[k[right]])
+            rank[hl] = self._rank(symbol[hl], symbol[i[left]])
+            touched = np.concatenate((ir, hl))
+            touched = touched[rank[touched] < NO_RANK]
+            if len(touched):
+                note(np.unique(touched))
+        alive = symbol >= 0
+        return symbol[alive], np.concatenate(([0], np.cumsum(alive)))[ends]
 
     def segments(self, text: str) -> list[str]:
         """Pieces that can be encoded apart: specials, and stretches between single spaces."""
-        parts = self.split.split(text) if self.split else [text]
-        out: list[str] = []
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(part)
-            elif part:
-                if self.odd.search(part):
-                    head, *rest = self.cut.split(part)
-                else:
-                    head, *rest = part.split(" ")
-                out.append(head)
-                out.extend([" " + x for x in rest])
-        return out
+        if self.split and any(t in text for t in self.special):
+            out: list[str] = []
+            for k, part in enumerate(self.split.split(text)):
+                out.extend([part] if k % 2 else self._stretches(part))
+            return out
+        return self._stretches(text)
+
+    def _stretches(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if "  " in text or any(c in text and (" " + c in text or c + " " in text) for c in self.blanks):
+            head, *rest = self.cut.split(text)
+        else:
+            head, *rest = text.split(" ")
+        return [head, *[" " + x for x in rest]]
 
     def learn(self, new: list[str]) -> None:
-        words = [self.pattern.findall(s) for s in new]
-        distinct = {w: k for k, w in enumerate(dict.fromkeys(x for ws in words for x in ws))}
-        ids = self.merge_all([w.encode() for w in distinct])
-        for s, ws in zip(new, words, strict=True):
-            self.memo[s] = len(self.runs)
-            self.runs.append(np.array([i for w in ws for i in ids[distinct[w]]], np.int32))
+        words, find = [], self.pattern.findall
+        for s in new:
+            words.append([s] if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else find(s))
+        distinct = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+        ids, ends = self.merge_all([w.encode() for w in distinct])
+        order = np.fromiter(map(distinct.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        counts = np.diff(ends)[order]
+        added = ids[spread(ends[order], counts)]
+        bounds = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, words)])]
+        self.memo.update(zip(new, range(len(self.run_at), len(self.run_at) + len(new))))
+        self.run_at = np.concatenate((self.run_at, len(self.pool) + bounds[:-1]))
+        self.run_len = np.concatenate((self.run_len, np.diff(bounds)))
+        self.pool = np.concatenate((self.pool, added))
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and n + 1 offsets."""
         if len(self.memo) > MEMO_SEGMENTS:
             self._reset()
         parts = [self.segments(t or "") for t in texts]
-        memo = self.memo
-        if new := list(dict.fromkeys(s for p in parts for s in p if s not in memo)):
+        if new := list(dict.fromkeys(filterfalse(self.memo.__contains__, chain.from_iterable(parts)))):
             self.learn(new)
-        order = np.fromiter((memo[s] for p in parts for s in p), np.int64, sum(map(len, parts)))
-        used, place = np.unique(order, return_inverse=True)
-        runs = [self.runs[k] for k in used.tolist()]
-        lengths = np.array([len(r) for r in runs], np.int64)
-        pool = np.concatenate([*runs, np.zeros(0, np.int32)])
-        counts = lengths[place]
-        ids = pool[spread((np.cumsum(lengths) - lengths)[place], counts)]
+        order = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        counts = self.run_len[order]
+        ids = self.pool[spread(self.run_at[order], counts)]
         ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, parts)])]
         return ids, ends
 
@@ -205,7 +232,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "to
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary)
-        for part in slices(batches, text):
+        for part in slices(batches, text, STEP_BYTES):
             ids, ends = bpe.encode(part.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
