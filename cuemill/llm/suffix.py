@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def packed(x: object) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x))
+
+
+def unpacked(x: bytes) -> object:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
 class Hashed:
     """Hashes of any stretch [a, b) of a byte array."""
 
@@ -186,8 +195,8 @@ def _shards(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             rows, p, lo, hi, strings = (np.concatenate([h[j] for h in held]) for j in range(5))
             shard = ShardTransform(strings, buckets)
             keys, used = np.concatenate([h[5] for h in held]), np.unique(rows)
-            places = {"doc": np.searchsorted(used, rows).astype(np.int32), "p": p.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "entry": shard.entry, "keys": keys[used]}
-            out = [(-1, pickle.dumps(places))] + [(b, pickle.dumps((r, c))) for b, r, c in shard.runs()]
+            places = {"doc": np.searchsorted(used, rows).astype(np.int32), "p": p.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "entry": shard.entry, "gram": strings[:, 0].view(np.int64), "keys": keys[used]}
+            out = [(-1, packed(places))] + [(b, packed((np.ascontiguousarray(r.T), c))) for b, r, c in shard.runs()]
             name = f"{home}.{made}"
             return pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "bucket", "payload"])
 
@@ -210,7 +219,7 @@ def _shards(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    verdicts, _, _ = merge_runs([pickle.loads(x) for x in frame["payload"]])
+    verdicts, _, _ = merge_runs([(np.ascontiguousarray(r.T), c) for r, c in map(unpacked, frame["payload"])])
     return pd.DataFrame({"shard": frame["shard"], "bucket": frame["bucket"], "payload": [v.tobytes() for v in verdicts]})
 
 
@@ -219,7 +228,7 @@ def _settle(length: int):
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bucket")
-        places = pickle.loads(frame["payload"].iloc[0])
+        places = unpacked(frame["payload"].iloc[0])
         verdict = np.frombuffer(b"".join(frame["payload"].iloc[1:]), np.uint8)
         of = verdict[places["entry"]]
         once = np.zeros(len(of), bool)
@@ -227,7 +236,7 @@ def _settle(length: int):
         keep = (of == REPEAT) | (of == STANDS) | (of == EDGE)
         ask = (of == EDGE) | ((of == STANDS) & once)
         keys = places["keys"][places["doc"]]
-        out = {"__id": keys[:, 0], "__text": keys[:, 1], "p": places["p"], "lo": places["lo"], "hi": places["hi"], "whole": of != EDGE, "ask": ask}
+        out = {"__id": keys[:, 0], "__text": keys[:, 1], "gram": places["gram"], "p": places["p"], "lo": places["lo"], "hi": places["hi"], "whole": of != EDGE, "ask": ask}
         return pd.DataFrame({k: v[keep] for k, v in out.items()})
 
     return run
@@ -243,24 +252,38 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[last].tolist()))
 
 
+def compressed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the text as compressed bytes, for a shuffle."""
+    schema = T.StructType([f if f.name != text else T.StructField(text, T.BinaryType()) for f in docs.schema.fields])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for part in slices(batches, text):
+            small = pa.array([None if t is None else zip_(t.encode()) for t in part.column(text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if n == text else c for n, c in zip(part.schema.names, part.columns)], names=part.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def _contexts(docs: DataFrame, asks: DataFrame, length: int) -> DataFrame:
-    """The bytes of the asked contexts, cut out of the texts; repeated rows of a document count once."""
-    wanted = asks.groupBy("__id", "__text").agg(F.collect_list(F.struct("p", "lo", "hi", "whole")).alias("asks"))
-    rows = docs.join(wanted, ["__id", "__text"]).select("__id", "__text", "text", "asks")
-    schema = "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, bytes binary"
+    """The bytes of the asked contexts, cut out of the texts."""
+    wanted = asks.groupBy("__id", "__text").agg(F.collect_list(F.struct("gram", "p", "lo", "hi", "whole", "many")).alias("asks"))
+    rows = compressed(docs.select("__id", "__text", "text"), "text").join(wanted, ["__id", "__text"]).select("__id", "__text", "text", "asks")
+    schema = "__id long, __text long, gram long, lo int, hi int, whole boolean, many boolean, bytes binary"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            out = []
-            for i, x, text, asked in zip(*(part.column(c).to_pylist() for c in ("__id", "__text", "text", "asks"))):
-                raw = text.encode()
-                out += [(i, x, 0, a["p"], a["lo"], a["hi"], a["whole"], raw[a["lo"] : a["hi"] + length]) for a in asked]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()])], names=["__id", "__text", "gram", "p", "lo", "hi", "whole", "bytes"])
+        unzip = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for i, x, text, asked in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in ("__id", "__text", "text", "asks"))):
+                    raw = unzip(text)
+                    out += [(i, x, a["gram"], a["lo"], a["hi"], a["whole"], a["many"], raw[a["lo"] : a["hi"] + length]) for a in asked]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["__id", "__text", "gram", "lo", "hi", "whole", "many", "bytes"])
 
-    cut = rows.mapInArrow(run, schema)
-    k = gram_size(length)
-    return cut.withColumn("gram", F.xxhash64(F.substring("bytes", F.col("p") - F.col("lo") + 1, F.lit(k))))
+    return rows.mapInArrow(run, schema)
 
 
 def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,15 +357,14 @@ def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS
     shards = cut_lineage(_shards(docs.select("__id", "__text", "text"), length, buckets))
     verdicts = shards.filter("bucket >= 0").groupBy("bucket").applyInPandas(_merge, "shard string, bucket int, payload binary")
     back = shards.filter("bucket < 0").unionByName(verdicts).groupBy("shard")
-    found = cut_lineage(back.applyInPandas(_settle(length), "__id long, __text long, p int, lo int, hi int, whole boolean, ask boolean"))
+    found = cut_lineage(back.applyInPandas(_settle(length), "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, ask boolean"))
     whole = found.filter("whole").select("__id", "__text", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-    asks = found.filter("ask").dropDuplicates(["__id", "__text", "p", "lo"])
-    contexts = cut_lineage(_contexts(docs, asks, length).dropDuplicates(["__id", "__text", "p", "lo"]))
-    many = contexts.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram", F.lit(True).alias("many"))
-    marked = contexts.join(many, "gram", "left")
+    asks = found.filter("ask").dropDuplicates(["__id", "__text", "p", "lo"]).drop("ask")
+    many = asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram", F.lit(True).alias("many"))
+    contexts = _contexts(docs, asks.join(many, "gram", "left").withColumn("many", F.coalesce("many", F.lit(False))), length)
     parts = shuffle_width(docs.sparkSession)
-    few = marked.filter("many is null").drop("many").repartition(parts, "gram").sortWithinPartitions("gram")
-    return whole.unionByName(_edge_spans(few, length)).unionByName(_frequent_spans(marked.filter("many").drop("many"), length))
+    few = contexts.filter("not many").repartition(parts, "gram").sortWithinPartitions("gram")
+    return whole.unionByName(_edge_spans(few, length)).unionByName(_frequent_spans(contexts.filter("many"), length))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -355,30 +377,35 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
     docs = keyed(docs.drop("repeats", "kept"), doc_id, text)
     spans = repeated_spans(docs.select("__id", "__text", F.coalesce(F.col(text), F.lit("")).alias("text")), length, edge_limit)
     by_doc = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop")).alias("repeats"))
-    joined = docs.join(by_doc, ["__id", "__text"], "left").drop("__id", "__text")
+    texts = next(f for f in docs.schema.fields if f.name == text)
+    joined = compressed(docs, text).join(by_doc, ["__id", "__text"], "left").drop("__id", "__text")
     span_list = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]), False)
-    passed = [f for f in joined.schema.fields if f.name != "repeats"]
+    passed = [texts if f.name == text else f for f in joined.schema.fields if f.name != "repeats"]
     schema = T.StructType([*passed, T.StructField("repeats", span_list, False), T.StructField("kept", T.BinaryType(), False)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        for part in slices(batches, text):
-            data, offsets = text_bytes(part.column(text))
-            lists, kept = [], []
-            for k, found in enumerate(part.column("repeats")):
-                raw = data[offsets[k] : offsets[k + 1]]
-                if not found.is_valid or not len(found):
-                    lists.append([])
-                    kept.append(raw.tobytes())
-                    continue
-                flat = found.values
-                runs = merged_spans(flat.field("start").to_numpy(), flat.field("stop").to_numpy())
-                mask = np.ones(len(raw), bool)
-                for a, b in runs:
-                    mask[a:b] = False
-                lists.append([{"start": a, "stop": b} for a, b in runs])
-                kept.append(raw[mask].tobytes())
-            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in passed), pa.array(lists, kind), pa.array(kept, pa.binary())], names=[*(f.name for f in passed), "repeats", "kept"])
+        unzip = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists, kept, plain = [], [], []
+                for small, found in zip(part.column(text).to_pylist(), part.column("repeats")):
+                    raw = np.frombuffer(b"" if small is None else unzip(small), np.uint8)
+                    plain.append(None if small is None else raw.tobytes().decode())
+                    if not found.is_valid or not len(found):
+                        lists.append([])
+                        kept.append(raw.tobytes())
+                        continue
+                    flat = found.values
+                    runs = merged_spans(flat.field("start").to_numpy(), flat.field("stop").to_numpy())
+                    mask = np.ones(len(raw), bool)
+                    for a, b in runs:
+                        mask[a:b] = False
+                    lists.append([{"start": a, "stop": b} for a, b in runs])
+                    kept.append(raw[mask].tobytes())
+                columns = [pa.array(plain, pa.string()) if f.name == text else part.column(f.name) for f in passed]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, kind), pa.array(kept, pa.binary())], names=[*(f.name for f in passed), "repeats", "kept"])
 
     return joined.mapInArrow(run, schema)
 
