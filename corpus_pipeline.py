@@ -1,22 +1,59 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's docs."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's docs.
+
+quality classifier (rejected documents go) -> MinHash near-duplicates (one document of each group stays) -> repeated substrings are cut
+out of the texts -> sources are mixed to target weights (documents that are not drawn go) -> texts are encoded. Stages before the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuemill.llm import bpe, minhash, mixing, quality, suffix
+from cuemill.llm.common import cut_lineage, read_table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    return model.score(docs, into="__score").filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that share an id, or have none and share a text, count as one document, of which one row stays."""
+    gone = minhash.components(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))))
+    return docs.join(gone, "doc_id", "left_anti").withColumn("__key", key).dropDuplicates(["__key"]).drop("__key").select(docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated stretches go; of a character that a cut splits, the rest goes too. n_chars is counted anew."""
+    out = suffix.remove_repeats(docs)
+    valid = F.make_valid_utf8(F.col("kept").cast("string"))
+    whole = F.when(F.col("text").contains("�"), valid).otherwise(F.replace(valid, F.lit("�"), F.lit("")))
+    out = out.withColumn("text", F.when(F.size("repeats") > 0, whole).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    return out.select(docs.columns)
+
 
-from cuemill.llm import bpe
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs).filter("drawn").select(docs.columns)
 
 
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.default_vocabulary())
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(docs, bpe.default_vocabulary())
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
 
-STAGES = [("bpe", encode_tokens)]
+STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("suffix_dedup", suffix_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut_lineage(docs)
     return docs
