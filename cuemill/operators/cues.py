@@ -107,3 +107,32 @@ def dominant_color(pixels: DataFrame, image: str) -> DataFrame:
     top = by.groupBy(image).agg(F.max(F.struct("n", (-F.col("bucket")).alias("x"), "r", "g", "b")).alias("m"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
     clear = 2 * F.col("m.n") >= 3 * F.coalesce(F.try_element_at("ns", F.lit(2)), F.lit(0))
     return top.select(image, *[F.when(clear, F.floor(F.col(f"m.{c}") / F.col("m.n")).cast("long")).alias(c) for c in "rgb"])
+
+
+def utf16_length(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "xx"))
+
+
+def italic_spans(text: Column) -> Column:
+    """struct(text, spans): the text without <i> tags and its italic runs as (start, len) in UTF-16 units.
+
+    An unclosed run ends with the text, empty runs are dropped, a second opening starts the run anew.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(</?i>|(?:(?!</?i>).)+)".replace("(?:", "(?s:")), F.lit(1))
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.lit(-1).alias("opened"), none.alias("spans"))
+
+    def closed(s: Column) -> Column:
+        run = F.struct(s["opened"].alias("start"), (s["at"] - s["opened"]).alias("len"))
+        return F.when((s["opened"] >= 0) & (s["at"] > s["opened"]), F.concat(s["spans"], F.array(run))).otherwise(s["spans"])
+
+    def step(s: Column, p: Column) -> Column:
+        tag = p.isin("<i>", "</i>")
+        return F.struct(
+            F.when(tag, s["text"]).otherwise(F.concat(s["text"], p)).alias("text"),
+            F.when(tag, s["at"]).otherwise(s["at"] + utf16_length(p)).cast("int").alias("at"),
+            F.when(p == "<i>", s["at"]).when(p == "</i>", -1).otherwise(s["opened"]).cast("int").alias("opened"),
+            F.when(p == "</i>", closed(s)).otherwise(s["spans"]).alias("spans"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda s: F.struct(s["text"].alias("text"), closed(s).alias("spans")))
