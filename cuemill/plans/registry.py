@@ -375,10 +375,10 @@ def language_allow_cover(spark, sf_dir):
     return docs.filter(F.col("lang").isin("en", "de", "fr")).join(covered, ["source", "lang"], "left_anti").select("doc_id", "lang")
 
 
-@query("""WITH b AS (SELECT p_partkey, p_size, p_brand, CAST(p_retailprice AS BIGINT) % 20 AS top FROM part), g AS (SELECT * FROM b WHERE p_partkey % 10 = 0)
+@query("""WITH b AS (SELECT p_partkey, p_size, p_brand, CAST(floor(p_retailprice) AS BIGINT) % 20 AS top FROM part), g AS (SELECT * FROM b WHERE p_partkey % 10 = 0)
 SELECT b.p_partkey, min(g.p_partkey) AS glyph FROM b JOIN g ON g.p_size = b.p_size AND g.p_brand = b.p_brand AND abs(g.top - b.top) < 5 GROUP BY b.p_partkey""")
 def exact_size_probe(spark, sf_dir):
-    blobs = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", (F.col("p_retailprice").cast("long") % 20).alias("top"))
+    blobs = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", (F.floor("p_retailprice") % 20).alias("top"))
     glyphs = blobs.filter("p_partkey % 10 = 0").select("p_size", "p_brand", F.col("p_partkey").alias("glyph"), F.col("top").alias("gtop"))
     return blobs.join(glyphs, ["p_size", "p_brand"]).filter(F.abs(F.col("gtop") - F.col("top")) < 5).groupBy("p_partkey").agg(F.min("glyph").alias("glyph"))
 
