@@ -30,7 +30,7 @@ from cuemill.llm.bpe import spread
 from cuemill.llm.common import LOWER, crc_bucket, cut_lineage, read_table, shuffle_width, slices, text_bytes, word_hashes
 
 DEPTH, SHARE = 6, 1e-5
-END, SPACE, PIECE, BATCH_BYTES = 10, 32, 1024, 4 << 20
+END, SPACE, PIECE, BATCH_BYTES = 10, 32, 1024, 2 << 20
 END_HASH = np.uint64(0x5EED0E4D)
 
 
