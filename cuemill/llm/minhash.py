@@ -4,8 +4,9 @@ Sketch: in round i every shingle of a set is hashed into one of t bins; the firs
 shingles into bin i - t, so every coordinate fills, after about (t log t) / |set| rounds, with concentration as strong as independent
 MinHashes. Then: banding of the sketch, exact verification on full shingle sets, and connected components.
 
-Skew: exact copies collapse to one class before banding. A bucket is first resolved by stars (one centre against its members, a
-centre per round), which is linear in its size; what stays apart is then compared pairwise, members of one component never again.
+Skew: exact copies collapse to one class before banding. A bucket is first resolved by stars (a few centres against its members),
+which is linear in its size; what stays apart is then compared within bounded groups of two blocks of a bucket, inside a task, so
+that only pairs that join components leave it. Members of one component are not compared again.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows with a null id get a null component and are
 kept; rows that share an id are one document, whose texts each link it; repeated rows repeat in the result.
@@ -25,8 +26,10 @@ from cuemill.llm.common import cut_lineage, mix64, read_table, slices, text_byte
 
 #: Bands and rows of a band: a pair at 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
-#: Star rounds before the pairwise one.
-STARS = 3
+#: Rounds of stars, by the number of centres of a bucket, before what stays apart is compared pairwise.
+STARS = (3,)
+#: Members of a block of a bucket; two blocks make a group.
+BLOCK = 512
 _STEPS = np.random.default_rng(9).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -130,12 +133,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "u long, v long")
 
 
+def both_ways(links: DataFrame) -> DataFrame:
+    return links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v")
+
+
+def two_steps(links: DataFrame) -> DataFrame:
+    """node, component: the smallest node within two links. Equal labels mean connected nodes; the converse needs connected()."""
+    edges = both_ways(links)
+    once = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("near"))
+    again = edges.join(once.select(F.col("u").alias("v"), "near"), "v").groupBy("u").agg(F.min("near").alias("component"))
+    return again.withColumnRenamed("u", "node")
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, component (its smallest node), by minimum labels with pointer jumping; links (u, v) in either order."""
-    both = cut_lineage(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
-    label = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component")).withColumnRenamed("u", "node"))
+    edges = cut_lineage(both_ways(links).distinct())
+    label = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component")).withColumnRenamed("u", "node")
     while True:
-        near = both.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
+        near = edges.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
         step = label.join(near, label.node == near.u).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         moved = cut_lineage(step.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")))
@@ -144,46 +159,129 @@ def connected(links: DataFrame) -> DataFrame:
             return label
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, stars: int = STARS) -> DataFrame:
+def _star_pairs(apart: DataFrame, centres: int, near) -> DataFrame:
+    """Each bucket's heaviest node of every hash class, against the bucket's members in other components."""
+    kind = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(centres))
+    heavy = apart.groupBy("band").agg(*[F.max(F.when(kind == i, F.struct("w", "node", "n", "comp"))).alias(f"c{i}") for i in range(centres)])
+    centre = heavy.select("band", F.explode(F.array(*[f"c{i}" for i in range(centres)])).alias("c")).filter("c is not null").select("band", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
+    met = apart.join(centre, "band").filter("comp <> cc").filter(near)
+    return met.select(F.least("node", "cu").alias("u"), F.greatest("node", "cu").alias("v")).distinct()
+
+
+def joining_pairs(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs that join the components of a group of at most 2 * BLOCK documents: all members outside the commonest component against all.
+
+    sets: sorted distinct 32-bit hashes. They can only overstate an intersection, so no pair that reaches the similarity is lost, and
+    what they let through is confirmed on full sets later. One pair is enough to join two components.
+    """
+    names, comp = np.unique(comp, return_inverse=True)
+    if len(names) < 2:
+        return []
+    asked = np.flatnonzero(comp != np.bincount(comp).argmax())
+    size = np.array([len(x) for x in sets])
+    value, at = np.unique(np.concatenate([sets[i] for i in asked]), return_inverse=True)
+    inter = np.zeros((len(asked), len(sets)))
+    step = max(1, (1 << 22) // max(1, len(asked) + len(sets)))  # shingles at a time, for bounded memory
+    row = np.repeat(np.arange(len(asked)), size[asked])
+    everyone = np.concatenate(sets)
+    place = np.minimum(np.searchsorted(value, everyone), len(value) - 1)
+    owner = np.repeat(np.arange(len(sets)), size)
+    known = value[place] == everyone
+    place, owner = place[known], owner[known]
+    for lo in range(0, len(value), step):
+        left, right = np.zeros((len(asked), min(step, len(value) - lo)), np.float32), np.zeros((len(sets), min(step, len(value) - lo)), np.float32)
+        m = (at >= lo) & (at < lo + step)
+        left[row[m], at[m] - lo] = 1
+        m = (place >= lo) & (place < lo + step)
+        right[owner[m], place[m] - lo] = 1
+        inter += left @ right.T
+    good = 100 * inter >= percent * (size[asked][:, None] + size[None] - inter)
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(good)):
+        x, y = find(comp[asked[i]]), find(comp[j])
+        if x != y:
+            parent[x] = y
+            out.append((int(min(node[asked[i]], node[j])), int(max(node[asked[i]], node[j]))))
+    return out
+
+
+def _pairs_in_buckets(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that join components within buckets. A bucket is dealt in pairs of blocks of about BLOCK members, each a bounded group."""
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [np.unique((np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(small, pa.binary())], names=["node", "small"])
+
+    blocks = apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = apart.select("band", "node", "comp").join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    full = dealt.join(sets.dropDuplicates(["node", "shingles"]).mapInArrow(fold, "node long, small binary"), "node").select("band", "i", "j", "node", "comp", "small")
+    width = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = full.repartition(width, "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            band, i, j, node, comp = (table.column(c).to_numpy() for c in ("band", "i", "j", "node", "comp"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("small")]
+            cuts = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
+            out = [p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in joining_pairs(node[a:b], comp[a:b], sets[a:b], percent)]
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = [held.column(c).to_numpy() for c in ("band", "i", "j")]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = held.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:  # sorted: what stands before the last group is complete
+                yield settle(held.slice(0, cut))
+                held = held.slice(cut).combine_chunks()
+        if held is not None and held.num_rows:
+            yield settle(held)
+
+    return grouped.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+
+
+def _apart(active: DataFrame, links: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component, with the members' components as far as two links show them."""
+    marked = active.join(two_steps(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
+    return cut_lineage(marked.join(split, "band"))
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, stars: tuple[int, ...] = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     rows = cut_lineage(sketch_rows(docs, k))
     known = rows.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("cls", "r.*")
     banded = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1").select("band")
-    active = cut_lineage(banded.join(shared, "band").select("band", "node", "n"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+    active = cut_lineage(banded.join(shared, "band").select("band", "node", "n", "c"))
+    #: how often a node meets others: what a family was copied from meets most, so it makes the best centre
+    active = active.join(active.groupBy("node").agg(F.sum("c").alias("w")), "node").select("band", "node", "n", "w")
     member = known.select("doc_id", "cls").distinct().join(reps.select("cls", F.col("doc_id").alias("rep")), "cls").select("doc_id", "rep")
     #: ids with several texts belong to several classes
-    links = cut_lineage(member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("vs")).filter(F.size("vs") > 1).select("u", F.explode("vs").alias("v")).filter("u <> v"))
+    links = (member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("vs")).filter(F.size("vs") > 1).select("u", F.explode("vs").alias("v")).filter("u <> v"))
     wanted = active.select(F.col("node").alias("doc_id")).distinct()
     sets = cut_lineage(set_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), k))
-    label = None
     near = F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
-    for turn in range(stars + 1):
-        if label is None:
-            current = active.withColumn("comp", F.col("node"))
-        else:
-            current = active.join(label.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            split = current.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-            current = cut_lineage(current.join(split, "band").select("band", "node", "n", "comp"))
-        if turn < stars:
-            centre = current.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "comp")).alias("c")).select("band", F.col("c.node").alias("cu"), F.col("c.n").alias("cn"), F.col("c.comp").alias("cc"))
-            met = current.join(centre, "band").filter("comp <> cc").filter(near)
-            pairs = met.select(F.least("node", "cu").alias("u"), F.greatest("node", "cu").alias("v"))
-        else:
-            other = current.select("band", F.col("node").alias("cu"), F.col("n").alias("cn"), F.col("comp").alias("cc"))
-            met = current.join(other, "band").filter("node < cu and comp <> cc").filter(near)
-            pairs = met.select(F.col("node").alias("u"), F.col("cu").alias("v"))
-        pairs = cut_lineage(pairs.distinct())
-        if not pairs.head(1):
-            if label is None or turn == stars:
-                break
-            continue
-        fresh = verified(pairs, sets, percent)
-        links = cut_lineage(links.unionByName(fresh))
-        label = connected(links)
-    if label is None:
-        label = connected(links)
+    apart = active.withColumn("comp", F.col("node"))
+    for centres in stars:
+        links = cut_lineage(links.unionByName(verified(_star_pairs(apart, centres, near), sets, percent)))
+        apart = _apart(active, links)
+    rest = _pairs_in_buckets(apart, sets, percent)
+    label = connected(links.unionByName(verified(rest, sets, percent)))
     final = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
@@ -192,3 +290,20 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, stars: int = STAR
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l
+), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
+"""
