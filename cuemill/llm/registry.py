@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": minhash.op9_minhash,
     "op10_quality": quality.op10_quality,
 }
-ORACLES: dict[str, str] = {"op1_topk": topk.OP1_SQL}
+ORACLES: dict[str, str] = {"op1_topk": topk.OP1_SQL, "op9_minhash": minhash.OP9_SQL}
