@@ -31,6 +31,10 @@ PASSES = [
 ]
 
 
+# Letters of one shape in both cases, letters of x-height, letters up to the cap line; errors a line's slant may cost.
+TWINS, SMALL, TALL, SLANT_MARGIN = "cosuvwxz", "aemnr", "bdfhkltABDEFGHIJKLMNPQRTY", 3
+
+
 @dataclass
 class Glyph:
     text: str
@@ -206,15 +210,10 @@ class Matcher:
     def recognize(self, mask: np.ndarray, allowed: int = 25, thorough: bool = True, unknown: str = "□", space_floor: int = 6, space_factor: float = 0.25) -> dict:
         """text with <i> tags, glyphs (blobs) and unknown of a mask: widest runs of blobs first, then single glyphs, then halves."""
         blobs = split_glyphs(mask)
-        out: list[tuple[str, bool | None]] = []
+        read: list[tuple[dict, Glyph | None]] = []
         at = missed = 0
         while at < len(blobs):
             b = blobs[at]
-            if at:
-                if b["new_line"]:
-                    out.append(("\n", None))
-                elif b["gap"] >= max(space_floor, round(space_factor * b["line_height"])):
-                    out.append((" ", None))
             step, found = 1, []
             for n in sorted({g.expand for g in self.multi}, reverse=True):
                 run = blobs[at : at + n]
@@ -232,25 +231,50 @@ class Matcher:
             if not found:
                 g = self.match(b["bits"], b["top_margin"], thorough, allowed)
                 found = [g] if g else list(self.halves(b, allowed) or ())
-            if found:
-                out += [(g.text, g.italic) for g in found]
-            else:
-                missed += 1
-                out.append((unknown, None))
+            missed += not found
+            # the first blob stands for a run; both halves of a cut keep the whole blob, the second without a gap
+            read += [(b if k == 0 else {**b, "gap": 0, "new_line": False}, g) for k, g in enumerate(found or [None])]
             at += step
-        return {"text": marked(out), "glyphs": len(blobs), "unknown": missed}
-
-
-def marked(pieces: list[tuple[str, bool | None]]) -> str:
-    """Texts with <i> tags; a piece without a state takes the one before it, and a line starts upright."""
-    out, now = [], False
-    for text, italic in pieces:
-        want = False if text == "\n" else now if italic is None or not text.isalpha() else italic
-        if want != now:
-            out.append("<i>" if want else "</i>")
-            now = want
-        out.append(text)
-    return "".join(out) + "</i>" * now
+        text = self.lined(read, unknown, lambda h: max(space_floor, round(space_factor * h)), allowed)
+        return {"text": text, "glyphs": len(blobs), "unknown": missed}
+
+    def variant_errors(self, blob: dict, text: str, italic: bool, allowed: int) -> float:
+        """Fewest errors, within the allowance, of the glyphs of one text and slant; infinite without one."""
+        found = [e for g in self.single if g.text == text and g.italic == italic and (e := self.errors(blob["bits"], g)) is not None and e <= allowed]
+        return min(found, default=float("inf"))
+
+    def lined(self, read: list[tuple[dict, Glyph | None]], unknown: str, space, allowed: int) -> str:
+        """Text of matched blobs: lines, spaces, the case of letters whose cases share a shape, and italic runs.
+
+        A line keeps its slant unless the other one is better by more than SLANT_MARGIN errors; marks and unread glyphs inherit it.
+        """
+        heights = lambda letters: sorted(b["bits"].shape[0] for b, g in read if g and len(g.text) == 1 and g.text in letters)
+        middle = lambda v: v[len(v) // 2] if v else 0
+        small, tall = middle(heights(SMALL)), middle(heights(TALL))
+        out, shown, line = "", False, False
+        for blob, g in read:
+            if blob["new_line"] and out:
+                out += "</i>" * shown + "\n"
+                shown = line = False
+            elif blob["gap"] >= space(blob["line_height"]):
+                out += " "
+            if g is None:
+                out += unknown
+                continue
+            if any(c.isalnum() for c in g.text):
+                slant = g.italic
+                if slant != line:
+                    own, other = (self.variant_errors(blob, g.text, s, allowed) for s in (slant, line))
+                    slant = line = line if other < float("inf") and other <= own + SLANT_MARGIN else slant
+                if slant != shown:
+                    out += "<i>" if slant else "</i>"
+                    shown = slant
+            text = g.text
+            if 0 < small < tall and len(text) == 1 and text.lower() in TWINS:
+                h = blob["bits"].shape[0]
+                text = text.upper() if abs(h - tall) < abs(h - small) else text.lower()
+            out += text
+        return out + "</i>" * shown
 
 
 def recognize(images: DataFrame, keys: list[str], database: bytes, bitmap: str = "bitmap", inverted: str | None = None, allowed: int = 25) -> DataFrame:

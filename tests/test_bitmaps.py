@@ -100,6 +100,18 @@ def test_database_round_trip_and_recognition():
     assert glyphs.Matcher([]).recognize(mask)["unknown"] == 3
 
 
+def test_case_and_slant_of_lines():
+    m = glyphs.Matcher([])
+    blob = lambda h, gap=1, new=False: {"bits": np.ones((h, 4), bool), "gap": gap, "line_height": 20, "new_line": new, "top_margin": 0}
+    g = lambda t, italic=False: glyphs.Glyph(t, 4, 9, 0, np.zeros((0, 4), int), np.zeros((0, 4), int), italic)
+    space = lambda h: max(6, round(0.25 * h))
+    read = [(blob(14, -1, True), g("T")), (blob(9), g("a")), (blob(14), g("s")), (blob(9, 8), g("S")), (blob(9), None), (blob(14, -1, True), g("i", True)), (blob(2), g(".")), (blob(9), g("n", True)), (blob(9), g("n"))]
+    assert m.lined(read, "?", space, 25) == "TaS s?\n<i>i.n</i>n"
+    box = np.array([[0, 0, 3, 0], [0, 8, 3, 8]])
+    both = glyphs.Matcher([glyphs.Glyph("n", 4, 9, 0, box, np.zeros((0, 4), int), s) for s in (False, True)])
+    assert both.lined([(blob(9, -1, True), both.single[1])], "?", space, 25) == "n"
+
+
 def test_recognize_on_spark(spark):
     i, mi = letter("l", 3, 14, [[0, 0, 0, 13], [1, 0, 1, 13], [2, 0, 2, 13]])
     rgba = np.zeros((20, 12, 4), np.uint8)
