@@ -44,3 +44,37 @@ def close_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     pairs = left.join(right, "k").select("word", "match", "freq").distinct()
     near = pairs.withColumn("d", F.levenshtein("word", "match")).filter(F.col("d") <= F.when(F.length("word") >= 8, 2).otherwise(1))
     return near.groupBy("word").agg(F.min(F.struct("d", (-F.col("freq")).alias("f"), "match")).alias("m")).select("word", F.col("m.match").alias("match"), F.col("m.d").alias("distance"))
+
+
+def corrections(words: DataFrame, dictionary: DataFrame, protected: DataFrame, placeholder: str = "□") -> DataFrame:
+    """word, corrected: what changes of distinct words. dictionary (word, freq) in lower case, protected (word).
+
+    Unread glyphs first (at most 2, at most half of the word): the one protected word that agrees. Then words of 3 letters or more that
+    the dictionary does not hold, unless they look like names, take the nearest dictionary word in their own case.
+    """
+    words = words.select("word").distinct()
+    safe = protected.select(F.lower("word").alias("low")).distinct()
+    open_ = words.join(safe, F.lower("word") == F.col("low"), "left_anti")
+    wild = wildcard_matches(open_, protected, placeholder).select("word", F.col("match").alias("corrected"))
+    gaps = F.length("word") - F.length(F.replace("word", F.lit(placeholder), F.lit("")))
+    left = open_.filter((gaps == 0) | ((gaps <= 2) & (2 * gaps <= F.length("word")))).join(wild, "word", "left_anti").filter(F.length("word") >= 3)
+    count = lambda kind: F.length(F.regexp_replace("word", rf"[^\p{{{kind}}}]", ""))
+    name = F.col("word").rlike(r"^\p{Lu}") & ((count("Ll") == 0) | (count("Lu") <= count("Ll")))
+    unknown = left.filter(~name).withColumn("low", F.lower("word")).join(dictionary.select(F.col("word").alias("low")).distinct(), "low", "left_anti")
+    near = close_matches(unknown.select(F.col("low").alias("word")), dictionary).select(F.col("word").alias("low"), "match")
+    fixed = unknown.join(near, "low").filter(~F.col("match").rlike(r"\s")).select("word", match_case(F.col("word"), F.col("match")).alias("corrected"))
+    return wild.unionByName(fixed).filter("word <> corrected")
+
+
+def correct(cues: DataFrame, dictionary: DataFrame, protected: DataFrame, keys: list[str], text: str = "text", placeholder: str = "□") -> DataFrame:
+    """cues with corrected texts: tags around a corrected word stay, tags inside it go. Words meet the tables once, however often they occur."""
+    mark = "\\Q" + placeholder + "\\E"
+    token = rf"((?:</?i>)*\p{{L}}(?:</?i>|\p{{L}}|'|{mark})*)"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s){token}|((?!(?:</?i>)*\p{{L}}).)"), F.lit(0))
+    parts = cues.select(*keys, F.posexplode_outer(pieces).alias("__at", "__piece")).withColumn("word", F.regexp_replace("__piece", "</?i>", ""))
+    changed = corrections(parts.filter(F.col("word").rlike(r"^\p{L}")), dictionary, protected, placeholder)
+    joined = parts.join(changed, "word", "left")
+    tags = F.regexp_extract("__piece", "^((?:</?i>)*)", 1), F.regexp_extract("__piece", "((?:</?i>)*)$", 1)
+    new = F.when(F.col("corrected").isNotNull(), F.concat(tags[0], "corrected", tags[1])).otherwise(F.col("__piece"))
+    texts = joined.withColumn("__new", new).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__at", "__new"))).alias("__all"))
+    return cues.drop(text).join(texts.select(*keys, F.array_join(F.col("__all.__new"), "").alias(text)), keys)

@@ -93,3 +93,19 @@ def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+
+
+def metadata_words(items: DataFrame, people: DataFrame) -> DataFrame:
+    """item_id, word (lower case): names that a script may hold.
+
+    items (item_id, series_id, titles array<string>), people (owner_id, type, role, name): roles of actors and guest stars of an item and
+    of its series; an actor's own name only if the role says so.
+    """
+    none = F.array().cast("array<string>")
+    of = lambda c: F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(1)), none)
+    titles = items.select("item_id", F.explode(F.flatten(F.transform(F.coalesce("titles", none), of))).alias("word"))
+    owners = items.select("item_id", F.explode(F.array_distinct(F.array_compact(F.array("item_id", "series_id")))).alias("owner_id"))
+    own = F.col("role").rlike(r"(?i)^\s*(self|himself|herself|themself|themselves)(?![\p{L}\p{Nd}_])")
+    cast = people.filter(F.col("type").isin("Actor", "GuestStar")).join(owners, "owner_id")
+    roles = cast.select("item_id", F.explode(F.concat(of(F.col("role")), F.when(own, of(F.col("name"))).otherwise(none))).alias("word"))
+    return titles.unionByName(roles).distinct()
