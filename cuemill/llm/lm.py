@@ -174,7 +174,8 @@ def _frequent(least: float):
         enough = np.add.reduceat(count, cuts) >= least
         stops = np.append(cuts[1:], len(code))
         keep = [(int(context[a]), (code[a:b] & np.uint64(255)).astype(np.uint8).tobytes(), count[a:b].tolist()) for a, b in zip(cuts[enough], stops[enough])]
-        return pd.DataFrame({"depth": int(frame["batch"].iloc[0]), "context": [c for c, _, _ in keep], "symbols": [s for _, s, _ in keep], "counts": [k for _, _, k in keep]})
+        # object columns, since a bucket may keep no context
+        return pd.DataFrame({"depth": pd.Series(int(frame["batch"].iloc[0]), range(len(keep)), "int32"), "context": pd.Series([c for c, _, _ in keep], dtype="int64"), "symbols": pd.Series([s for _, s, _ in keep], dtype=object), "counts": pd.Series([k for _, _, k in keep], dtype=object)})
 
     return run
 

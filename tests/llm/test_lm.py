@@ -10,6 +10,18 @@ from cuemill.llm import lm
 from cuemill.llm.common import text_bytes, word_hashes
 
 
+def test_buckets_without_frequent_contexts():
+    import pandas as pd
+
+    code, count = np.array([(5 << 8) | 7, (5 << 8) | 9], np.uint64), np.array([2, 3])
+    frame = pd.DataFrame({"batch": ["1"], "payload": [lm.packed((code, count))]})
+    kinds = pa.schema([("depth", pa.int32()), ("context", pa.int64()), ("symbols", pa.binary()), ("counts", pa.list_(pa.int64()))])
+    for least, n in ((5, 1), (6, 0)):
+        out = pa.Table.from_pandas(lm._frequent(least)(frame), kinds)
+        assert out.num_rows == n
+    assert pa.Table.from_pandas(lm._frequent(5)(frame), kinds).to_pylist()[0] == {"depth": 1, "context": 5, "symbols": bytes([7, 9]), "counts": [2, 3]}
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
