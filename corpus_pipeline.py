@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cuemill.llm import bpe, minhash, mixing, quality, suffix
 from cuemill.llm.common import cut_lineage, read_table
 
+PASSAGE_WORDS = 50
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
@@ -27,8 +29,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated stretches go; of a character that a cut splits, the rest goes too. n_chars is counted anew."""
-    out = suffix.remove_repeats(docs)
+    """Passages of over PASSAGE_WORDS words that repeat go, and repeated stretches of 400 bytes, whatever their words; of a character that
+    a cut splits, the rest goes too. n_chars is counted anew."""
+    out = suffix.remove_repeats(docs, words=PASSAGE_WORDS)
     valid = F.make_valid_utf8(F.col("kept").cast("string"))
     whole = F.when(F.col("text").contains("�"), valid).otherwise(F.replace(valid, F.lit("�"), F.lit("")))
     out = out.withColumn("text", F.when(F.size("repeats") > 0, whole).otherwise(F.col("text")))

@@ -15,6 +15,8 @@ merged strings are made of larger symbols instead:
 
 Defined results: a null text counts as empty; texts shorter than `length` keep all bytes; rows of equal text repeat one another;
 matches never cross documents; columns other than the text pass through.
+
+Passages counted in words are found in the same way: each word is written as a code of `CODE` bytes, so a number of words is a length.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import byte_weights, cut_lineage, mix64, read_table, shuffle_width, slices, text_bytes
+from cuemill.llm.common import BLANK, byte_weights, cut_lineage, mix64, read_table, shuffle_width, slices, text_bytes
 
 #: Anchors of a shard, and contexts that one step of the edge check holds; an anchor with more contexts goes by windows.
 SHARD_ANCHORS, EDGE_CONTEXTS = 1 << 16, 2048
+#: Bytes of a word's code; passages are equal if their words are, whatever blanks part them.
+CODE = 6
 _POSITION = np.uint64(28)
 _WEIGHT = byte_weights(2)
 _BASE = 0x9E3779B97F4A7C15
@@ -372,11 +376,66 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(0))).withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", edge_limit: int = EDGE_CONTEXTS) -> DataFrame:
-    """docs with `repeats` (spans of removed bytes) and `kept` (the remaining bytes)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's start and stop, and the n + 1 offsets of each row's words."""
+    inner = ~BLANK[data]
+    first, last = inner.copy(), inner.copy()
+    first[1:] &= ~inner[:-1]
+    last[:-1] &= ~inner[1:]
+    begins, ends = offsets[:-1][offsets[:-1] < len(data)], offsets[1:][offsets[1:] > 0] - 1
+    first[begins], last[ends] = inner[begins], inner[ends]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
+def word_coded(docs: DataFrame) -> DataFrame:
+    """docs (__id, __text, text) with each word of the text as `CODE` characters and nothing between them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, offsets = text_bytes(part.column("text"))
+            starts, stops, at = word_bounds(data, offsets)
+            value = Hashed(data)(starts, stops)
+            code = (value[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64) & np.uint64(63)).astype(np.uint8) + np.uint8(48)
+            texts = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(at.astype(np.int64) * CODE), pa.py_buffer(np.ascontiguousarray(code)))
+            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), texts.cast(pa.string())], names=["__id", "__text", "text"])
+
+    return docs.mapInArrow(run, "__id long, __text long, text string")
+
+
+def with_long_words(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """The docs (__id, __text, text) that have `length` bytes in a row with `words` whole words at most.
+
+    A window's edges can cut a word in one document and not in another, so two words more pass.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, offsets = text_bytes(part.column("text"))
+            starts, stops, at = word_bounds(data, offsets)
+            row = np.concatenate((np.arange(part.num_rows), np.repeat(np.arange(part.num_rows), np.diff(at))))
+            first = np.concatenate((offsets[:-1], starts + 1))
+            end = np.concatenate((at[:-1], np.arange(len(starts)) + 1)) + words + 2  # the word that the window must not hold whole
+            stop = np.where(end < at[row + 1], np.append(stops, 0)[np.minimum(end, len(stops))], len(data) + length + 1)
+            some = np.bincount(row[(stop > first + length) & (first + length <= offsets[row + 1])], minlength=part.num_rows) > 0
+            yield part.filter(pa.array(some))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", edge_limit: int = EDGE_CONTEXTS, words: int | None = None) -> DataFrame:
+    """docs with `repeats` (spans of removed bytes) and `kept` (the remaining bytes).
+
+    With `words`, passages of more than so many words go too, from their first word to their last.
+    """
     docs = keyed(docs.drop("repeats", "kept"), doc_id, text)
-    spans = repeated_spans(docs.select("__id", "__text", F.coalesce(F.col(text), F.lit("")).alias("text")), length, edge_limit)
-    by_doc = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop")).alias("repeats"))
+    plain_docs = docs.select("__id", "__text", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if words is None:
+        spans = repeated_spans(plain_docs, length, edge_limit).withColumn("unit", F.lit(1))
+    else:  # what repeats over `length` bytes and has more words is found by its words
+        spans = repeated_spans(word_coded(plain_docs), (words + 1) * CODE, edge_limit).withColumn("unit", F.lit(CODE))
+        spans = spans.unionByName(repeated_spans(with_long_words(plain_docs, length, words), length, edge_limit).withColumn("unit", F.lit(1)))
+    by_doc = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop", "unit")).alias("repeats"))
     texts = next(f for f in docs.schema.fields if f.name == text)
     joined = compressed(docs, text).join(by_doc, ["__id", "__text"], "left").drop("__id", "__text")
     span_list = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]), False)
@@ -398,7 +457,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                         kept.append(raw.tobytes())
                         continue
                     flat = found.values
-                    runs = merged_spans(flat.field("start").to_numpy(), flat.field("stop").to_numpy())
+                    start, stop, unit = (flat.field(c).to_numpy() for c in ("start", "stop", "unit"))
+                    if (unit == CODE).any():
+                        begin, end, _ = word_bounds(raw, np.array([0, len(raw)]))
+                        start = np.where(unit == CODE, begin[np.minimum(-(-start // CODE), len(begin) - 1)], start)
+                        stop = np.where(unit == CODE, end[np.minimum(stop // CODE, len(end)) - 1], stop)
+                    runs = merged_spans(start, stop)
                     mask = np.ones(len(raw), bool)
                     for a, b in runs:
                         mask[a:b] = False

@@ -51,3 +51,20 @@ def test_odd_rows_pass_every_stage(spark):
         assert len(out) <= len(rows)
         if name == "near_dedup":
             assert sorted(str(r.doc_id) for r in out) == ["5", "7", "None", "None"]
+
+
+def test_passages_of_over_50_words_go(spark):
+    rng = random.Random(2)
+    made = lambda n, size: [("%x" % rng.getrandbits(4 * size)).rjust(size, "g") for _ in range(n)]
+    short, medium, fifty, half_a, half_b = made(51, 3), made(51, 5), made(50, 5), made(30, 5), made(30, 5)
+    bulk = "".join(made(10, 45))
+    body = lambda inner: " ".join([*made(40, 5), *inner, *made(40, 5)])
+    inner = {1: short, 2: short, 3: medium, 4: medium, 5: fifty, 6: fifty, 7: half_a + half_b, 8: half_a, 9: half_b, 10: [bulk], 11: [bulk]}
+    texts = {k: body(v) for k, v in inner.items()}
+    texts[4] = texts[4].replace(" ", "\n")
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.suffix_stage(spark, docs, D).collect()}
+    for k in inner:
+        words = texts[k].split()
+        gone = range(40, 91) if k <= 4 else ()
+        assert got[k].split() == [w for i, w in enumerate(words) if i not in gone] if k < 10 else bulk not in got[k]
