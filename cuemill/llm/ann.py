@@ -2,8 +2,10 @@
 
 Centroids are fitted on a bounded sample by repeated balanced bisection and a few rounds of refinement. Every row goes to the list of its
 nearest centroid, and boundary rows also to other lists within a distance ratio, unless a closer accepted centroid makes that list
-redundant. Centroids are searched in memory through a neighbourhood graph, for rows and queries alike. A query opens the lists within
-a distance ratio of the nearest, and as many further ones as its k neighbours need. Lists are split into bounded shards by a hash of
+redundant. Centroids are searched in memory, through a neighbourhood graph where few lists are wanted. A query opens the lists within
+a distance ratio of the nearest, and as many further ones as its k neighbours need. How many, and the ratio, are calibrated: rows of the
+sample ask for their neighbours in the sample, and nearly all of these have to stand in a list that is opened. Neighbours in the sample
+are farther than those in the table, so the table's recall is not below. Lists are split into bounded shards by a hash of
 the id, so a hot vector makes more shards, not a larger task; a shard hands on k entries for each query.
 
 Bounds: `SAMPLE` rows for fitting, `CENTROIDS` centroids (sent to the workers in the task closure: 4096 x 64 doubles are 2 MB), `REPLICAS`
@@ -28,8 +30,10 @@ from cuemill.llm.common import cut_lineage, read_table
 from cuemill.llm.topk import usable
 
 SAMPLE, CENTROIDS, REPLICAS, SHARD = 20_000, 4096, 8, 2048
-#: Rows to a list, ratio of distances for boundary rows and for a query's lists, lists that a query opens at most by ratio.
+#: Rows to a list, ratio of distances for boundary rows; for a query's lists the least that calibration gives: ratio, lists opened by it.
 LIST_ROWS, ROW_RATIO, QUERY_RATIO, QUERY_LISTS = 96, 1.15, 1.5, 48
+#: Rows that calibrate, and the share of their neighbours that has to be in reach by number and by ratio.
+PROBES, REACHED = 256, 0.985
 
 
 def balanced_centroids(x: np.ndarray, n: int, seed: int = 6) -> np.ndarray:
@@ -96,6 +100,33 @@ class CentroidGraph:
             ids[at : at + 1024], dist[at : at + 1024] = self._search(x[at : at + 1024], beam)
         return ids, np.sqrt(np.maximum(dist, 0))
 
+    def ordered(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same from all distances, for beams that are a large part of the centroids."""
+        found = []
+        for at in range(0, len(x), 1024):
+            y = x[at : at + 1024]
+            d = (y**2).sum(1)[:, None] + self.norm - 2 * y @ self.c.T
+            ids = np.argsort(d, 1, kind="stable")[:, :beam]
+            found.append((ids, np.sqrt(np.maximum(np.take_along_axis(d, ids, 1), 0))))
+        return np.concatenate([i for i, _ in found]), np.concatenate([d for _, d in found])
+
+    def calibrated(self, x: np.ndarray, k: int) -> tuple[float, int]:
+        """The ratio and the number of lists by which queries like the rows of the sample x reach their k neighbours."""
+        probes = np.random.default_rng(7).choice(len(x), min(PROBES, len(x)), replace=False)
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return QUERY_RATIO, QUERY_LISTS
+        d = (x**2).sum(1) - 2 * x[probes] @ x.T
+        d[np.arange(len(probes)), probes] = np.inf
+        near = np.argpartition(d, k - 1, axis=1)[:, :k]
+        lists, dist = self.ordered(x[probes], len(self.c))
+        rank = np.argsort(lists, 1)  # of each list, for each probe
+        row, held, _ = self.lists_of_rows(x[near.ravel()], ROW_RATIO, REPLICAS)
+        first = np.full(near.size, len(self.c))
+        np.minimum.at(first, row, rank[row // k, held])
+        ratio = dist[np.arange(near.size) // k, first] / np.maximum(dist[np.arange(near.size) // k, 0], 1e-12)
+        return max(QUERY_RATIO, float(np.quantile(ratio, REACHED, method="higher"))), max(QUERY_LISTS, int(np.quantile(first, REACHED, method="higher")) + 1)
+
     def _search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, size, each = len(x), len(self.c), np.arange(len(x))[:, None]
         xx = (x**2).sum(1)[:, None]
@@ -147,7 +178,8 @@ class CentroidGraph:
 
     def lists_of_queries(self, x: np.ndarray, sizes: np.ndarray, need: int, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Row and list: within the ratio, `most` of them, and further ones until their own rows make up `need`."""
-        ids, dist = self.nearest(x, min(len(self.c), 2 * most))
+        beam = min(len(self.c), 2 * most)
+        ids, dist = self.nearest(x, beam) if 8 * beam < len(self.c) else self.ordered(x, beam)
         held = np.cumsum(np.where(np.isfinite(dist), sizes[ids], 0), 1)
         wanted = np.isfinite(dist) & ((dist <= ratio * dist[:, :1]) & (np.arange(ids.shape[1]) < most) | (held - sizes[ids] < need))
         short = np.flatnonzero(held[:, -1] < need)
@@ -161,10 +193,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def fit(rows: DataFrame, n_rows: int, sample: int = SAMPLE) -> CentroidGraph:
+def fit(rows: DataFrame, n_rows: int, k: int, sample: int = SAMPLE) -> tuple[CentroidGraph, float, int]:
+    """The centroids, and the calibrated ratio and number of lists of a query."""
     found = rows.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(sample).select("v").toArrow()
     x = found.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(found.num_rows, -1)
-    return CentroidGraph(balanced_centroids(x, max(1, min(CENTROIDS, n_rows // LIST_ROWS, len(x) // 4))))
+    graph = CentroidGraph(balanced_centroids(x, max(1, min(CENTROIDS, n_rows // LIST_ROWS, len(x) // 4))))
+    return graph, *graph.calibrated(x, k)
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
@@ -175,7 +209,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, sh
         return rows.sparkSession.createDataFrame([], schema)
     rows = rows.filter(F.size("v") == dims["d"])
     queries = queries.filter(F.size("q") == dims["d"]).groupBy("query_id").agg(F.min("q").alias("q"))
-    graph = rows.sparkSession.sparkContext.broadcast(fit(rows, dims["count"], sample))
+    fitted, ratio, most = fit(rows, dims["count"], k, sample)
+    graph = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +228,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, sh
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                row, lists = graph.value.lists_of_queries(_matrix(batch.column("q")), own, 8 * (k + 1), QUERY_RATIO, QUERY_LISTS)
+                row, lists = graph.value.lists_of_queries(_matrix(batch.column("q")), own, 8 * (k + 1), ratio, most)
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(shards[lists], pa.int32()), batch.column("query_id").take(pick), batch.column("q").take(pick)], names=["list", "shards", "query_id", "q"])
 

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from cuemill.llm import ann, topk
@@ -65,6 +67,19 @@ def test_ann_recall(spark):
     assert r >= 0.9
 
 
+def test_ann_recall_with_many_lists(spark, tmp_path):
+    x = np.random.default_rng(3).normal(size=(200_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "v": vectors}), tmp_path / "v.parquet", row_group_size=25_000)
+    rows = spark.read.parquet(str(tmp_path / "v.parquet"))
+    queries = rows.filter("vec_id % 2000 = 0").selectExpr("vec_id query_id", "v q")
+    got = [tuple(r) for r in ann.search(rows, queries, 10).orderBy("query_id", "rank").collect()]
+    r = recall(got, np.arange(len(x)), x.astype(float), 2000, 10)
+    print("recall", r)
+    assert r >= 0.95
+
+
 def test_ann_odd_rows(spark):
     data = [(i, [float(i % 7), 1.0]) for i in range(30)] + [(100, None), (200, [0.0, NAN]), (300, [1.0]), (None, [1.0, 2.0])] + [(i, [3.5, 3.5]) for i in range(1000, 1400)]
     df = spark.createDataFrame(data, "vec_id long, v array<float>").filter("v is not null and vec_id is not null").filter(topk.usable("v"))
