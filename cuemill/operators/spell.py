@@ -36,13 +36,48 @@ def wildcard_matches(words: DataFrame, known: DataFrame, placeholder: str = "□
     return pairs.groupBy("word").agg(F.count("*").alias("c"), F.min("match").alias("match")).filter("c = 1").select("word", "match")
 
 
-def close_matches(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """word, match: the nearest dictionary word within distance 1, or 2 from 8 letters on. Both sides join on deletion variants."""
-    cut = lambda c: F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1))))
-    left = words.select("word").distinct().filter(F.length("word") >= 3).withColumn("k", F.explode(F.array_distinct(cut("word"))))
-    right = dictionary.select(F.col("word").alias("match"), "freq").distinct().filter(F.length("match") >= 1).withColumn("k", F.explode(F.array_distinct(cut("match"))))
-    pairs = left.join(right, "k").select("word", "match", "freq").distinct()
-    near = pairs.withColumn("d", F.levenshtein("word", "match")).filter(F.col("d") <= F.when(F.length("word") >= 8, 2).otherwise(1))
+def _free_distance(placeholder: str):
+    """Edit distance in which the word's placeholder is free against any character; nothing that Spark has counts like this."""
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y and x != placeholder))
+        return row[-1]
+
+    return F.udf(distance, "int")
+
+
+def _variants(words: DataFrame, word: str, deletions: int) -> DataFrame:
+    """words by `k`: the word less up to so many letters."""
+    one = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
+    words = words.withColumn("k", F.array(F.col(word)))
+    for _ in range(deletions):
+        words = words.withColumn("k", F.array_distinct(F.concat("k", F.flatten(F.transform(F.filter("k", lambda c: F.length(c) > 0), one)))))
+    return words.withColumn("k", F.explode("k"))
+
+
+def close_matches(words: DataFrame, dictionary: DataFrame, placeholder: str = "□") -> DataFrame:
+    """word, match, distance: the nearest dictionary word within distance 1, or 2 from 8 letters on; the word's placeholders are free.
+
+    Both sides join on variants with as many deletions as the distance; a placeholder is one deletion more. Words with over two
+    placeholders, whose variants are too many, meet all dictionary words of about their length.
+    """
+    gaps = F.length("word") - F.length(F.replace("word", F.lit(placeholder), F.lit("")))
+    left = words.select("word").distinct().filter(F.length("word") >= 3).select("word", F.when(F.length("word") >= 8, 2).otherwise(1).alias("most"), F.least(gaps, F.lit(3)).alias("gaps"))
+    right = dictionary.select(F.col("word").alias("match"), "freq").distinct().filter(F.length("match") >= 1)
+    near = left.select("word").limit(0).crossJoin(right.limit(0)).withColumn("d", F.lit(0))
+    for most, held in sorted(map(tuple, left.select("most", "gaps").distinct().collect())):  # 8 kinds at most
+        asked, known = left.filter((F.col("most") == most) & (F.col("gaps") == held)).select("word"), right.filter(F.length("match") >= (6 if most == 2 else 2))
+        if held < 3:
+            pairs = _variants(asked, "word", most + held).join(_variants(known, "match", most + held), "k").select("word", "match", "freq").distinct()
+        else:
+            lengths = F.explode(F.sequence(F.length("word") - most, F.length("word") + most))
+            pairs = asked.withColumn("n", lengths).join(known.withColumn("n", F.length("match")), "n").drop("n")
+        distance = _free_distance(placeholder)("word", "match") if held else F.levenshtein("word", "match")
+        near = near.unionByName(pairs.withColumn("d", distance).filter(F.col("d") <= most))
     return near.groupBy("word").agg(F.min(F.struct("d", (-F.col("freq")).alias("f"), "match")).alias("m")).select("word", F.col("m.match").alias("match"), F.col("m.d").alias("distance"))
 
 
@@ -61,7 +96,7 @@ def corrections(words: DataFrame, dictionary: DataFrame, protected: DataFrame, p
     count = lambda kind: F.length(F.regexp_replace("word", rf"[^\p{{{kind}}}]", ""))
     name = F.col("word").rlike(r"^\p{Lu}") & ((count("Ll") == 0) | (count("Lu") <= count("Ll")))
     unknown = left.filter(~name).withColumn("low", F.lower("word")).join(dictionary.select(F.col("word").alias("low")).distinct(), "low", "left_anti")
-    near = close_matches(unknown.select(F.col("low").alias("word")), dictionary).select(F.col("word").alias("low"), "match")
+    near = close_matches(unknown.select(F.col("low").alias("word")), dictionary, placeholder).select(F.col("word").alias("low"), "match")
     fixed = unknown.join(near, "low").filter(~F.col("match").rlike(r"\s")).select("word", match_case(F.col("word"), F.col("match")).alias("corrected"))
     return wild.unionByName(fixed).filter("word <> corrected")
 

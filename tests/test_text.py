@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,28 @@ def test_spelling_and_names(spark):
     people = spark.createDataFrame([("s", "Actor", "Captain Nemo", "Jane Doe"), ("e", "GuestStar", "Self - Host", "Ann Ray"), ("e", "Director", "x", "Bob Lee"), ("m", "Actor", None, "No One")], "owner_id string, type string, role string, name string")
     words = {(r.item_id, r.word) for r in probe.metadata_words(items, people).collect()}
     assert words == {("e", w) for w in "the boat captain nemo self host ann ray".split()}
+
+
+def free_distance(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a):
+        rows.append([i + 1])
+        for j, y in enumerate(b):
+            rows[-1].append(min(rows[-2][j + 1] + 1, rows[-1][j] + 1, rows[-2][j] + (x != y and x != "□")))
+    return rows[-1][-1]
+
+
+def test_close_matches_equal_brute_force(spark):
+    rng = random.Random(4)
+    known = ["kitchens", "correction", "friend", "gardens"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 11))) for _ in range(60)]
+    freq = {w: 100 - k for k, w in enumerate(dict.fromkeys(known))}
+    asked = ["kxtchxns", "crrecton", "coxrrecxtion", "corection", "xkitchen", "fr□ent", "□it□hxns", "k□t□h□nx", "friexx"]
+    asked += ["".join(rng.choice("abcd□") if rng.random() < 0.2 else rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(150)]
+    got = {r.word: (r.distance, r.match) for r in spell.close_matches(spark.createDataFrame([(w,) for w in asked], "word string"), spark.createDataFrame(list(freq.items()), "word string, freq int")).collect()}
+    want = {}
+    for w in asked:
+        near = [(d, -f, m) for m, f in freq.items() if (d := free_distance(w, m)) <= (2 if len(w) >= 8 else 1)]
+        if len(w) >= 3 and near:
+            want[w] = min(near)[::2]
+    assert got == want
+    assert [got.get(w) for w in asked[:3]] == [(2, "kitchens"), (2, "correction"), (2, "correction")]
