@@ -33,12 +33,13 @@ OWN_FORM = {"ron": ("şŞţŢ", "șȘțȚ"), "tur": ("șȘțȚ", "şŞţŢ")}
 # Letters that no decomposition reduces, and what they fold to.
 STROKED = {"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ħ": "h", "Ħ": "H"}
 LIGATURES = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss"}
-# Function words by language. The table is a parameter of detect(); further languages go in the same way.
+# Function words by language, the reference's 17 lists. The table is a parameter of detect(); further languages go in the same way.
 STOPWORDS = {
     "en": "the and you that was for are with they this have what your not his",
     "da": "og er jeg ikke det til har som den med dig mig hvad skal være",
     "no": "og er jeg ikke det til har som den med deg meg hva være ikkje",
     "sv": "och är jag inte att det som på med för den har vad dig mig",
+    "fi": "että on ei ja hän minä mutta niin kuin mitä ole tämä siitä täällä",
     "nl": "het een van en dat niet ik de wat met voor maar zijn hebben je",
     "de": "und der die das ist nicht ein ich sie mit auch sich wir was für",
     "fr": "les est pas vous une que qui dans pour je nous avec mais ce sur",
@@ -46,7 +47,11 @@ STOPWORDS = {
     "it": "che il non per una sono con come questo cosa bene mi ti ma gli",
     "pt": "não os uma com para você isso mais como mas então está tudo seu aqui",
     "pl": "nie się jest że co jak ale mnie tak czy jestem tylko tego jego",
+    "cs": "se na že je ne co jak ale tak jsem prosím první den tady ještě",
+    "hr": "sam što nije ovo za ne je se ali kako mi dobro ovdje ovaj",
     "ro": "să nu este pentru cu ce mai dar aici acum trebuie vreau poate bine",
+    "hu": "hogy nem az egy van és ez de még csak vagy mit lesz tudom",
+    "tr": "için bir bu ne çok daha ben sen evet hayır önce burada efendim değil",
 }
 BLANK = r"[\s\u0085\p{Z}]"
 

@@ -126,3 +126,24 @@ def test_close_matches_equal_brute_force(spark):
             want[w] = min(near)[::2]
     assert got == want
     assert [got.get(w) for w in asked[:3]] == [(2, "kitchens"), (2, "correction"), (2, "correction")]
+
+
+# Lines of words that a language has for itself, or shares with few.
+SAID = {
+    "en": "And they have the house that you want, this is what your friends are for", "da": "Jeg er ikke hvad du skal være, og jeg har dig og mig hvad skal være dig",
+    "no": "Jeg har ikke deg, hva skal jeg være, og deg og meg, hva, ikkje deg meg", "sv": "Jag är inte på väg och att vad för jag är här inte och på",
+    "fi": "Minä ja hän, että niin kuin tämä on, mutta mitä siitä, ei täällä", "nl": "Het niet een ik wat voor maar zijn hebben met dat en het",
+    "de": "Ich und die Frau, das ist nicht der Mann, wir auch mit sich", "fr": "Vous nous les avec pas mais est dans qui sur je nous",
+    "es": "Los pero esto está muy bien por con más un pero los", "it": "Che cosa non gli questo bene il sono per come che", "pt": "Não você isso então tudo seu aqui os uma mas não",
+    "pl": "Nie się jest mnie czy jestem tylko tego jego nie się", "cs": "Jsem tady, prosím, první na ještě jsem tady na se že co", "hr": "Sam što nije ovo za ali kako dobro ovdje ovaj",
+    "ro": "Să nu este pentru cu dar aici acum trebuie vreau", "hu": "Hogy nem az egy és ez még csak vagy mit lesz", "tr": "Bu için bir çok daha ben sen evet hayır önce burada",
+}
+
+
+def test_all_languages_of_the_reference(spark):
+    got = {r.k: r.language for r in lang.detect(spark.createDataFrame(list(SAID.items()), "k string, t string"), "k", "t").collect()}
+    assert got == {k: k for k in SAID} and set(lang.STOPWORDS) == set(SAID)
+    lists = [set(ws.split()) for ws in lang.STOPWORDS.values()]
+    assert all(12 % sum(w in ws for ws in lists) == 0 for w in set().union(*lists))
+    weights = {(r.language, r.word): r.weight for r in lang.stopword_rows(spark).collect()}
+    assert weights["nl", "je"] == 3 and weights["pl", "tak"] == 6 and weights["nl", "de"] == 6 and weights["tr", "ne"] == 4
