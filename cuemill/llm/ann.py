@@ -112,6 +112,7 @@ class CentroidGraph:
 
     def calibrated(self, x: np.ndarray, k: int) -> tuple[float, int]:
         """The ratio and the number of lists by which queries like the rows of the sample x reach their k neighbours."""
+        x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]  # copies would be near neighbours of their own
         probes = np.random.default_rng(7).choice(len(x), min(PROBES, len(x)), replace=False)
         k = min(k, len(x) - 1)
         if k < 1:
@@ -242,18 +243,21 @@ def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, sh
             order = np.argsort(left.column("vec_id").to_numpy(), kind="stable")
             ids, own_id = left.column("vec_id").to_numpy()[order], right.column("query_id").to_numpy()
             x, q = _matrix(left.column("v").combine_chunks())[order], _matrix(right.column("q").combine_chunks())
+            cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            once = ids[cuts]
             at, place, score = [], [], []
             step = max(1, (1 << 22) // max(1, x.size))
             for s in range(0, len(q), step):
                 d = np.sqrt(((q[s : s + step, None] - x[None]) ** 2).sum(2))
-                d[ids[None, :] == own_id[s : s + step, None]] = np.inf
+                d = np.minimum.reduceat(d, cuts, axis=1)  # rows of one id count once, before the cut to k
+                d[once[None, :] == own_id[s : s + step, None]] = np.inf
                 best = np.argsort(d, 1, kind="stable")[:, :k]  # rows stand by id, so ties keep the smaller one
                 at.append(np.repeat(np.arange(s, s + len(d)), best.shape[1]))
                 place.append(best.ravel())
                 score.append(np.take_along_axis(d, best, 1).ravel())
             at, place, score = map(np.concatenate, (at, place, score))
             good = np.isfinite(score)
-            found = [own_id[at[good]], ids[place[good]], score[good]]
+            found = [own_id[at[good]], once[place[good]], score[good]]
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), found, (pa.int64(), pa.int64(), pa.float64()))})
 
     near = dealt.select("list", "shard", "vec_id", "v").groupBy("list", "shard").cogroup(opened.select("list", "shard", "query_id", "q").groupBy("list", "shard")).applyInArrow(scan, "query_id long, vec_id long, score double")

@@ -91,6 +91,18 @@ def test_ann_odd_rows(spark):
     assert ann.search(df.limit(0), df.limit(0).selectExpr("vec_id query_id", "v q"), 10).count() == 0
 
 
+def test_ann_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4)).tolist()
+    data = [(i, v) for i, v in enumerate(x) for _ in range(12 if i < 3 else 1)]  # one list holds them all
+    df = spark.createDataFrame(data, "vec_id long, v array<double>").selectExpr("vec_id", "cast(v as array<float>) v")
+    plain = spark.createDataFrame(list(enumerate(x)), "vec_id long, v array<double>").selectExpr("vec_id", "cast(v as array<float>) v")
+    queries = plain.filter("vec_id % 10 = 0").selectExpr("vec_id query_id", "v q")
+    rows = lambda t: [(r.query_id, r["rank"], r.vec_id) for r in ann.search(t, queries, 10).orderBy("query_id", "rank").collect()]
+    got, y = rows(df), np.array(x)
+    assert got == [(q, n + 1, i) for q in range(0, 60, 10) for n, i in enumerate(np.argsort(((y - y[q]) ** 2).sum(1))[1:11].tolist())]
+
+
 @pytest.mark.parametrize("n", [1, 40, 700])
 def test_graph_finds_the_nearest(n):
     rng = np.random.default_rng(n)
