@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles; bounds its memory whatever the Arrow batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +26,37 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; only a single local JVM gets a folder of its own where none is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="cuemill-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuemill-"))
     return df.checkpoint()
 
 
+def release() -> None:
+    """Hands memory that Arrow and numpy have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def released(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], every: int = 16) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, a pass over Arrow batches, as one that releases memory as it goes: workers live on after a stage."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, out in enumerate(work(batches), 1):
+            yield out
+            out = None
+            if k % every == 0:
+                release()
+        release()
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the n + 1 offsets of its rows; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -5,52 +5,69 @@ merged strings are made of larger symbols instead:
 
 1. Anchors. Every string of `length` bytes has one canonical k-gram, that of the smallest hash (the leftmost of equal ones), a function
    of the string alone. Equal strings so share their anchor and their offset from it, and only suffixes at anchors need to be ordered.
-2. Shard transform. A shard sorts its anchored suffixes, written as symbols: the k-gram, hashed blocks to its right, and as the
-   transform's own part the blocks to the left of it. Equal strings of a shard become one entry with a count.
-3. Merge. Entries meet by their first symbol; the interleave of the shards' runs is refined symbol by symbol, each pass a stable bucket
-   pass inside intervals that are still open; an interval that splits gives the common prefix, one that never splits is a repeat.
-   No suffixes are sorted again.
-4. Edges. Suffixes that share their first symbol but not their whole context (the edges of repeats) are settled on bytes: their windows
-   of `length` bytes are hashed and equal ones found, in bounded groups by anchor, or by window where an anchor is frequent.
+2. Shard transforms. The context of an anchor, all windows of `length` bytes that it stands for, is a string of `SYMBOLS` symbols: the
+   k-gram, hashed blocks to its right, hashed blocks to its left. A shard keeps each of its strings once, with a count, deals them to
+   buckets by first symbol, and sends the Burrows-Wheeler transform of each bucket's strings (every suffix's preceding symbol).
+3. Merge. Only transforms are read. Starting from the shards one after the other, each pass deals the suffixes, in the order of the
+   interleave so far, to their preceding symbols by a stable counting sort, which orders them by one more symbol; where neighbours part
+   for the first time, that pass is their common prefix. No suffix is sorted or compared again. Whole strings whose common prefix is
+   `SYMBOLS` are repeats; those that share one symbol at least lie at the edges of possible ones.
+4. Edges. Contexts that share their anchor but not all symbols are fetched, and their windows of `length` bytes compared by two
+   independent 64-bit hashes, in bounded groups by anchor, or by window where an anchor is frequent.
+
+No byte is compared with another: equality rests on 7 hashes of 64 bits for contexts and on 128 bits for windows.
+
+Hot keys. A bucket of more than `HOT_ENTRIES` strings (a frequent anchor) is dealt anew by whole strings: transforms are inverted, their
+strings spread over as many merges as the size asks for, and all of them count as edges, which the windows settle.
 
 Defined results: a null text counts as empty; texts shorter than `length` keep all bytes; rows of equal text repeat one another;
-matches never cross documents; columns other than the text pass through.
+matches never cross documents; columns other than the text pass through (own `repeats` and `kept` columns are replaced). Texts of any
+length are read in pieces.
 
 Passages counted in words are found in the same way: each word is written as a code of `CODE` bytes, so a number of words is a length.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import BLANK, byte_weights, cut_lineage, mix64, read_table, shuffle_width, slices, text_bytes
+from cuemill.llm.common import BLANK, SLICE_BYTES, byte_weights, cut_lineage, mix64, read_table, release, released, shuffle_width, slices, text_bytes
 
 #: Anchors of a shard, and contexts that one step of the edge check holds; an anchor with more contexts goes by windows.
-SHARD_ANCHORS, EDGE_CONTEXTS = 1 << 16, 2048
+SHARD_ANCHORS, EDGE_CONTEXTS = 1 << 15, 2048
+#: Symbols of a string, bytes of text for which there is a bucket of the merge, strings of a bucket from which it is split.
+SYMBOLS, BUCKET_BYTES, HOT_ENTRIES = 7, 4 << 20, 1 << 16
 #: Bytes of a word's code; passages are equal if their words are, whatever blanks part them.
 CODE = 6
+#: Words of more bytes are hashed on their own.
+LONG_WORD = 1 << 14
 _POSITION = np.uint64(28)
-_WEIGHT = byte_weights(2)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+_WEIGHT, _OTHER_WEIGHT = byte_weights(2), byte_weights(3)
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 2**64))]
-    return _POWERS[0], _POWERS[1]
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size = max(n, 2 * SLICE_BYTES)
+        found = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, b, np.uint64)))) for b in (base, pow(base, -1, 2**64)))
+        if n > 8 * SLICE_BYTES:
+            return found
+        _POWERS[base] = found
+    return _POWERS[base]
 
 
 def packed(x: object) -> bytes:
@@ -64,9 +81,10 @@ def unpacked(x: bytes) -> object:
 class Hashed:
     """Hashes of any stretch [a, b) of a byte array."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_WEIGHT[data] * up[: len(data)])))
+    def __init__(self, data: np.ndarray, weight: np.ndarray = _WEIGHT, base: int = _BASE):
+        up, self.down = _powers(base, len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(weight[data] * up[: len(data)], out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
@@ -106,144 +124,236 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return np.searchsorted(offsets, lo, "right") - 1, at[lo], lo, hi, gram
 
 
+def pieces(part: pa.RecordBatch, overlap: int, limit: int = 2 * SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shift, bytes and offsets of the texts of a slice: one piece, or several that overlap of a text that is longer than the limit."""
+    data, offsets = text_bytes(part.column("text"))
+    if len(data) <= limit or part.num_rows > 1:
+        yield 0, data, offsets
+        return
+    for at in range(0, max(1, len(data) - overlap), limit):
+        cut = data[at : at + limit + overlap]
+        yield at, cut, np.array([0, len(cut)])
+
+
 def symbols(data: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: np.ndarray, length: int) -> np.ndarray:
-    """The symbols of anchored contexts [lo, hi + length): the k-gram, three blocks to the right, three to the left."""
+    """The symbols of anchored contexts [lo, hi + length): the k-gram, three blocks to the right, three to the left. None is 0; 1 is no block."""
     hashed, k = Hashed(data), gram_size(length)
     block = -(-(length - k + 1) // 3)
-    out = np.zeros((len(p), 7), np.uint64)
-    out[:, 0] = gram[p]
+    out = np.ones((len(p), SYMBOLS), np.uint64)
+    out[:, 0] = np.maximum(gram[p], np.uint64(2))
     for j in range(3):
         a = p + k + j * block
         b = np.minimum(a + block, hi + length)
-        out[a < b, 1 + j] = hashed(a[a < b], b[a < b])
+        out[a < b, 1 + j] = np.maximum(hashed(a[a < b], b[a < b]), np.uint64(2))
         b = p - j * block
         a = np.maximum(b - block, lo)
-        out[a < b, 4 + j] = hashed(a[a < b], b[a < b])
+        out[a < b, 4 + j] = np.maximum(hashed(a[a < b], b[a < b]), np.uint64(2))
     return out
 
 
-class ShardTransform:
-    """The sorted runs of a shard's anchored suffixes, dealt to buckets by first symbol, and where each entry occurs."""
+def transform(strings: np.ndarray) -> np.ndarray:
+    """The Burrows-Wheeler transform of sorted strings of symbols above 0: the symbol before each suffix in the order of all suffixes.
 
-    def __init__(self, strings: np.ndarray, buckets: int):
-        order = np.lexsort(strings.T[::-1])
-        new = np.ones(len(order), bool)
-        new[1:] = (strings[order[1:]] != strings[order[:-1]]).any(1)
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        rows = strings[order[new]]
-        counts = np.bincount(entry, minlength=len(rows))
-        bucket = ((rows[:, 0] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        dealt = np.argsort(bucket, kind="stable")
-        place = np.empty(len(rows), np.int64)
-        place[dealt] = np.arange(len(rows))
-        self.entry = place[entry].astype(np.int32)
-        self.rows, self.counts, self.bucket = rows[dealt], counts[dealt].astype(np.int32), bucket[dealt]
+    Empty suffixes stand first, by string; equal ones stand by string; 0 is what comes before a whole string.
+    """
+    m, width = strings.shape
+    suffixes = np.zeros((m * (width + 1), width), np.uint64)
+    before = np.zeros(m * (width + 1), np.uint64)
+    for j in range(width + 1):  # suffixes by length, the empty one first
+        suffixes[(width - j) * m : (width - j + 1) * m, : width - j] = strings[:, j:]
+        if j:
+            before[(width - j) * m : (width - j + 1) * m] = strings[:, j - 1]
+    return before[np.lexsort(suffixes.T[::-1])]
+
+
+def steps(bwt: np.ndarray, m: int) -> np.ndarray:
+    """For each place of a transform of m strings the place of the suffix that is longer by the symbol there; -1 before a whole string."""
+    order = np.argsort(bwt, kind="stable")
+    out = np.empty(len(bwt), np.int64)
+    out[order] = np.arange(len(bwt))  # the m zeros come first, as do the m empty suffixes
+    out[bwt == 0] = -1
+    return out
 
-    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
-        for a, b in zip(cuts, cuts[1:]):
-            yield int(self.bucket[a]), self.rows[a:b], self.counts[a:b]
+
+def inverted(bwt: np.ndarray, m: int, width: int = SYMBOLS) -> np.ndarray:
+    """The strings of a transform, in order."""
+    step, at = steps(bwt, m), np.arange(m)
+    strings = np.zeros((m, width), np.uint64)
+    for j in range(width - 1, -1, -1):
+        strings[:, j] = bwt[at]
+        at = step[at]
+    return strings[np.argsort(at, kind="stable")]  # places of whole strings stand in the order of the strings
+
+
+def counting_sort(code: np.ndarray) -> np.ndarray:
+    """The stable order of non-negative integers, by counting passes over 16 bits each."""
+    order = np.argsort((code & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(code) and int(code.max()) >> 16:
+        order = order[np.argsort((code[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+def merge_transforms(runs: list[tuple[np.ndarray, int]], width: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """Merges transforms of sorted strings by refining their interleave.
+
+    runs: transform and number of strings. Returns the order of all strings (indices into the runs' strings one after the other) and the
+    number of leading symbols that each shares with the one before it.
+    """
+    bwt = np.concatenate([b for b, _ in runs])
+    first = np.cumsum([0] + [len(b) for b, _ in runs])
+    step = np.concatenate([np.where(s < 0, -1, s + a) for (b, m), a in zip(runs, first) for s in [steps(b, m)]])
+    whole = np.flatnonzero(bwt == 0)  # of each run in the order of its strings
+    string = np.full(len(bwt), -1, np.int64)
+    string[whole] = np.arange(len(whole))
+    code = np.unique(bwt, return_inverse=True)[1].astype(np.int64)
+    empty = np.concatenate([np.arange(a, a + m) for (_, m), a in zip(runs, first)])
+    z = np.concatenate((empty, np.setdiff1d(np.arange(len(bwt)), empty, assume_unique=True)))  # the interleave: by no symbol at all
+    group = np.concatenate((np.zeros(len(empty), np.int64), np.ones(len(bwt) - len(empty), np.int64)))  # the interval of each place
+    shared = np.full(len(bwt), -1, np.int64)
+    shared[[0, len(empty)][: 1 + (len(bwt) > len(empty))]] = 0
+    for depth in range(width):
+        longer = z[step[z] >= 0]
+        inside = group[step[z] >= 0]
+        order = counting_sort(code[longer])
+        longer, inside = longer[order], inside[order]
+        new = np.ones(len(longer), bool)
+        new[1:] = (code[longer][1:] != code[longer][:-1]) | (inside[1:] != inside[:-1])
+        z = np.concatenate((empty, step[longer]))
+        group = np.concatenate((np.zeros(len(empty), np.int64), np.cumsum(new)))
+        parted = np.flatnonzero(new) + len(empty)
+        shared[parted[shared[parted] < 0]] = depth
+    shared[shared < 0] = width
+    # common prefixes of neighbouring whole strings: the least on the way from one to the next
+    at = np.flatnonzero(string[z] >= 0)
+    return string[z[at]], np.minimum.reduceat(shared[: at[-1] + 1], np.append(0, at[:-1] + 1)) if len(at) else at
 
 
 #: What the merge says of an entry: alone, repeated whole, at an edge, repeated whole and the one that stands for its like at edges.
 ALONE, REPEAT, EDGE, STANDS = 0, 1, 2, 3
 
 
-def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Merges sorted runs by refining their interleave.
+def verdicts(order: np.ndarray, shared: np.ndarray, counts: np.ndarray, split: bool = False) -> np.ndarray:
+    """What each string is, from the merged order, the common prefixes and how often each run has its strings.
 
-    Returns the verdicts for each run's entries, the interleave (indices into the runs one after the other, in merged order) and the
-    number of leading symbols that each merged entry shares with the one before it.
+    split: the first symbol may have other strings elsewhere, so all of them lie at edges.
     """
-    strings = np.concatenate([r for r, _ in runs])
-    counts = np.concatenate([c for _, c in runs]).astype(np.int64)
-    n = len(strings)
-    order, start = np.arange(n), np.zeros(n, np.int64)  # the interleave, and the first place of the interval of each place
-    shared = np.zeros(n, np.int8)
-    first = np.zeros(n, np.int64)
-    for depth in range(strings.shape[1]):
-        size = np.bincount(start, minlength=n)[start]
-        open_ = np.flatnonzero(size > 1)
-        if not len(open_):
-            break
-        symbol = strings[order[open_], depth]
-        passed = np.lexsort((symbol, start[open_]))  # stable: entries of a bucket keep their order
-        order[open_], symbol, inside = order[open_][passed], symbol[passed], start[open_]
-        splits = np.ones(len(open_), bool)
-        splits[1:] = (symbol[1:] != symbol[:-1]) | (inside[1:] != inside[:-1])
-        shared[open_[~splits]] = depth + 1
-        start[open_] = np.maximum.accumulate(np.where(splits, open_, 0))
-        if depth == 0:
-            first = start.copy()
-    total = np.bincount(start, weights=counts[order], minlength=n).astype(np.int64)[start]
-    leads = start == np.arange(n)
-    classes = np.bincount(first, weights=leads, minlength=n)[first]
-    verdict = np.where(total > 1, REPEAT, ALONE)
-    verdict[(classes > 1) & (total > 1) & leads] = STANDS
-    verdict[(classes > 1) & (total == 1)] = EDGE
-    back = np.empty(n, np.uint8)
-    back[order] = verdict
-    return np.split(back, np.cumsum([len(r) for r, _ in runs])[:-1]), order, shared
+    n = len(order)
+    lead = shared < SYMBOLS  # intervals of equal strings, and of those that share their first symbol
+    same, kin = np.cumsum(lead) - 1, np.cumsum(shared < 1) - 1
+    total = np.bincount(same, weights=counts[order])[same]
+    several = np.ones(n, bool) if split else np.bincount(kin, weights=lead)[kin] > 1
+    found = np.where(total > 1, REPEAT, ALONE)
+    found[several & (total > 1) & lead] = STANDS
+    found[several & (total == 1)] = EDGE
+    out = np.empty(n, np.uint8)
+    out[order] = found
+    return out
+
+
+class Shard:
+    """The distinct strings of a shard's anchors, sorted and dealt to buckets by first symbol, and where each anchor's string stands."""
+
+    def __init__(self, strings: np.ndarray, buckets: int):
+        bucket = (strings[:, 0] >> np.uint64(20)) % np.uint64(buckets)
+        order = np.lexsort((*strings.T[::-1], bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (strings[order[1:]] != strings[order[:-1]]).any(1)
+        self.entry = np.empty(len(order), np.int32)
+        self.entry[order] = np.cumsum(new) - 1
+        self.strings, self.bucket = strings[order[new]], bucket[order[new]].astype(np.int64)
+        self.counts = np.bincount(self.entry, minlength=len(self.strings)).astype(np.int32)
+
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Bucket, transform and counts."""
+        cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=-1))
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(self.bucket[a]), transform(self.strings[a:b]), self.counts[a:b]
 
 
 def _shards(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Rows of runs (bucket >= 0) and of the places of their entries (bucket -1), by shard."""
+    """Rows of runs (bucket >= 0, with their number of strings) and of the places of their entries (bucket -1), by shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, made = 0, 0
+        size, made, rows_before = 0, 0, 0
         home = TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             rows, p, lo, hi, strings = (np.concatenate([h[j] for h in held]) for j in range(5))
-            shard = ShardTransform(strings, buckets)
+            shard = Shard(strings, buckets)
             keys, used = np.concatenate([h[5] for h in held]), np.unique(rows)
             places = {"doc": np.searchsorted(used, rows).astype(np.int32), "p": p.astype(np.int32), "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "entry": shard.entry, "gram": strings[:, 0].view(np.int64), "keys": keys[used]}
-            out = [(-1, packed(places))] + [(b, packed((np.ascontiguousarray(r.T), c))) for b, r, c in shard.runs()]
-            name = f"{home}.{made}"
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(out)), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["shard", "bucket", "payload"])
+            out = [(-1, 0, packed(places))] + [(b, len(c), packed((t, c))) for b, t, c in shard.runs()]
+            return pa.RecordBatch.from_arrays([pa.array([f"{home}.{made}"] * len(out)), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary())))], names=["shard", "bucket", "n", "payload"])
 
-        rows_before = 0
         for part in slices(batches):
-            data, offsets = text_bytes(part.column("text"))
-            row, p, lo, hi, gram = anchors(data, offsets, length)
-            base = offsets[row] if len(row) else row
             keys = np.stack([part.column("__id").to_numpy(zero_copy_only=False), part.column("__text").to_numpy(zero_copy_only=False)], 1)
-            held.append((row + rows_before, p - base, lo - base, hi - base, symbols(data, p, lo, hi, gram, length) if len(p) else np.zeros((0, 7), np.uint64), keys))
-            rows_before += len(keys)
-            size += len(p)
-            if size >= SHARD_ANCHORS:
-                yield flush()
-                held, size, made, rows_before = [], 0, made + 1, 0
+            for shift, data, offsets in pieces(part, length - 1):
+                row, p, lo, hi, gram = anchors(data, offsets, length)
+                if not len(p):
+                    continue
+                base = offsets[row] - shift
+                held.append((row + rows_before, p - base, lo - base, hi - base, symbols(data, p, lo, hi, gram, length), keys))
+                rows_before += len(keys)
+                size += len(p)
+                if size >= SHARD_ANCHORS:
+                    yield flush()
+                    held, size, made, rows_before = [], 0, made + 1, 0
         if size:
             yield flush()
 
-    return docs.mapInArrow(run, "shard string, bucket int, payload binary")
+    return docs.mapInArrow(released(run, 1), "shard string, bucket int, n int, payload binary")
 
 
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    verdicts, _, _ = merge_runs([(np.ascontiguousarray(r.T), c) for r, c in map(unpacked, frame["payload"])])
-    return pd.DataFrame({"shard": frame["shard"], "bucket": frame["bucket"], "payload": [v.tobytes() for v in verdicts]})
+def _dealt_anew(runs: DataFrame) -> DataFrame:
+    """Runs of split buckets (ways > 1) as runs by whole strings, with the places of their strings in the run that they come from."""
+    schema = "shard string, bucket int, part int, split boolean, place binary, payload binary"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard, bucket, n, ways, payload in zip(frame["shard"], frame["bucket"], frame["n"], frame["ways"], frame["payload"]):
+                bwt, counts = unpacked(payload)
+                strings = inverted(bwt, n)
+                way = (mix64(strings @ (np.arange(SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(_OTHER_BASE))) % np.uint64(ways)).astype(np.int64)
+                out = []
+                for w in np.unique(way).tolist():
+                    place = np.flatnonzero(way == w)
+                    out.append((shard, bucket, w, True, place.astype(np.int32).tobytes(), packed((transform(strings[place]), counts[place]))))
+                yield pd.DataFrame(out, columns=["shard", "bucket", "part", "split", "place", "payload"])
+
+    return runs.mapInPandas(run, schema)
 
 
-def _settle(length: int):
-    """Back in the shard: repeated stretches, and the edges to be settled on bytes."""
+def _merge(frame: pd.DataFrame) -> pd.DataFrame:
+    parts = [unpacked(x) for x in frame["payload"]]
+    order, shared = merge_transforms([(b, len(c)) for b, c in parts])
+    found = verdicts(order, shared, np.concatenate([c for _, c in parts]), bool(frame["split"].iloc[0]))
+    cut = np.split(found, np.cumsum([len(c) for _, c in parts])[:-1])
+    out = pd.DataFrame({"shard": frame["shard"], "bucket": frame["bucket"], "place": frame["place"], "payload": [v.tobytes() for v in cut]})
+    release()
+    return out
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("bucket")
-        places = unpacked(frame["payload"].iloc[0])
-        verdict = np.frombuffer(b"".join(frame["payload"].iloc[1:]), np.uint8)
-        of = verdict[places["entry"]]
-        once = np.zeros(len(of), bool)
-        once[np.unique(places["entry"], return_index=True)[1]] = True
-        keep = (of == REPEAT) | (of == STANDS) | (of == EDGE)
-        ask = (of == EDGE) | ((of == STANDS) & once)
-        keys = places["keys"][places["doc"]]
-        out = {"__id": keys[:, 0], "__text": keys[:, 1], "gram": places["gram"], "p": places["p"], "lo": places["lo"], "hi": places["hi"], "whole": of != EDGE, "ask": ask}
-        return pd.DataFrame({k: v[keep] for k, v in out.items()})
 
-    return run
+def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+    """Back in the shard: repeated stretches, and the edges to be settled by their windows."""
+    frame = frame.sort_values("bucket", kind="stable")
+    places = unpacked(frame["payload"].iloc[0])
+    rest = frame.iloc[1:]
+    parts = []
+    for _, bucket in rest.groupby("bucket", sort=False):
+        found = np.frombuffer(b"".join(bucket["payload"]), np.uint8)
+        if bucket["place"].notna().all():
+            found, mixed = np.empty_like(found), found
+            found[np.frombuffer(b"".join(bucket["place"]), np.int32)] = mixed
+        parts.append(found)
+    of = np.concatenate(parts)[places["entry"]]
+    once = np.zeros(len(of), bool)
+    once[np.unique(places["entry"], return_index=True)[1]] = True
+    keep = of != ALONE
+    ask = (of == EDGE) | ((of == STANDS) & once)
+    keys = places["keys"][places["doc"]]
+    out = {"__id": keys[:, 0], "__text": keys[:, 1], "gram": places["gram"], "p": places["p"], "lo": places["lo"], "hi": places["hi"], "whole": of != EDGE, "ask": ask}
+    return pd.DataFrame({k: v[keep] for k, v in out.items()})
 
 
 def merged_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -266,7 +376,7 @@ def compressed(docs: DataFrame, text: str) -> DataFrame:
             small = pa.array([None if t is None else zip_(t.encode()) for t in part.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([small if n == text else c for n, c in zip(part.schema.names, part.columns)], names=part.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def _contexts(docs: DataFrame, asks: DataFrame, length: int) -> DataFrame:
@@ -287,11 +397,11 @@ def _contexts(docs: DataFrame, asks: DataFrame, length: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["__id", "__text", "gram", "lo", "hi", "whole", "many", "bytes"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
-def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and start of all windows of the contexts."""
+def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, row and start of all windows of the contexts."""
     column = table.column("bytes").combine_chunks().cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
@@ -301,7 +411,7 @@ def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     row = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     at = offsets[row] + step
-    return Hashed(data)(at, at + length), row, lo[row] + step
+    return Hashed(data)(at, at + length), Hashed(data, _OTHER_WEIGHT, _OTHER_BASE)(at, at + length), row, lo[row] + step
 
 
 def _edge_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -310,9 +420,12 @@ def _edge_spans(contexts: DataFrame, length: int) -> DataFrame:
 
     def settle(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
-        value, row, start = _windows(table, length)
-        _, back, count = np.unique(value, return_inverse=True, return_counts=True)
-        again = (count[back] > 1) & ~table.column("whole").to_numpy()[row]
+        value, other, row, start = _windows(table, length)
+        order = np.lexsort((other, value))
+        same = (value[order[1:]] == value[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+        again = np.zeros(len(value), bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        again &= ~table.column("whole").to_numpy()[row]
         row, start = row[again], start[again]
         cuts = np.flatnonzero(np.diff(row, prepend=-1))
         ends = np.append(cuts[1:], len(row)) - 1
@@ -335,33 +448,41 @@ def _edge_spans(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return contexts.mapInArrow(run, schema)
+    return contexts.mapInArrow(released(run), schema)
 
 
 def _frequent_spans(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with many contexts: windows meet by their hash, so no task holds an anchor's contexts together."""
-    schema = "__id long, __text long, whole boolean, start int, window long"
+    schema = "__id long, __text long, whole boolean, start int, window long, other long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 table = pa.Table.from_batches([batch.slice(at, 512)])
-                value, row, start = _windows(table, length)
+                value, other, row, start = _windows(table, length)
                 pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(table.column(c).take(pick).combine_chunks() for c in ("__id", "__text", "whole")), pa.array(start, pa.int32()), pa.array(value.view(np.int64))], names=["__id", "__text", "whole", "start", "window"])
+                yield pa.RecordBatch.from_arrays([*(table.column(c).take(pick).combine_chunks() for c in ("__id", "__text", "whole")), pa.array(start, pa.int32()), pa.array(value.view(np.int64)), pa.array(other.view(np.int64))], names=["__id", "__text", "whole", "start", "window", "other"])
 
-    windows = contexts.mapInArrow(run, schema)
-    again = windows.groupBy("window").agg(F.count("*").alias("c")).filter("c > 1").select("window")
-    return windows.filter("not whole").join(again, "window").select("__id", "__text", "start", (F.col("start") + length).alias("stop"))
+    windows = contexts.mapInArrow(released(run), schema)
+    again = windows.groupBy("window", "other").agg(F.count("*").alias("c")).filter("c > 1").select("window", "other")
+    return windows.filter("not whole").join(again, ["window", "other"]).select("__id", "__text", "start", (F.col("start") + length).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS, hot: int = HOT_ENTRIES) -> DataFrame:
     """__id, __text and the repeated spans (start, stop) of docs (__id, __text, text)."""
-    buckets = 2 * shuffle_width(docs.sparkSession)
-    shards = cut_lineage(_shards(docs.select("__id", "__text", "text"), length, buckets))
-    verdicts = shards.filter("bucket >= 0").groupBy("bucket").applyInPandas(_merge, "shard string, bucket int, payload binary")
-    back = shards.filter("bucket < 0").unionByName(verdicts).groupBy("shard")
-    found = cut_lineage(back.applyInPandas(_settle(length), "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, ask boolean"))
+    docs = docs.select("__id", "__text", "text")
+    size = docs.filter(F.octet_length("text") >= length).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = cut_lineage(_shards(docs, length, max(1, math.ceil(size / BUCKET_BYTES))))
+    runs = shards.filter("bucket >= 0")
+    ways = runs.groupBy("bucket").agg(F.ceil(F.sum("n") * 2 / hot).cast("int").alias("ways")).filter("ways > 2").collect()  # few: each has that many strings
+    split = F.col("bucket").isin([r["bucket"] for r in ways])
+    plain = runs.filter(~split).select("shard", "bucket", F.lit(0).alias("part"), F.lit(False).alias("split"), F.lit(None).cast("binary").alias("place"), "payload")
+    if ways:
+        known = docs.sparkSession.createDataFrame([(r["bucket"], r["ways"]) for r in ways], "bucket int, ways int")
+        plain = plain.unionByName(_dealt_anew(runs.filter(split).join(known, "bucket").select("shard", "bucket", "n", "ways", "payload")))
+    judged = plain.groupBy("bucket", "part").applyInPandas(_merge, "shard string, bucket int, place binary, payload binary")
+    back = shards.filter("bucket < 0").select("shard", "bucket", F.lit(None).cast("binary").alias("place"), "payload").unionByName(judged).groupBy("shard")
+    found = cut_lineage(back.applyInPandas(_settle, "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, ask boolean"))
     whole = found.filter("whole").select("__id", "__text", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     asks = found.filter("ask").dropDuplicates(["__id", "__text", "p", "lo"]).drop("ask")
     many = asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram", F.lit(True).alias("many"))
@@ -388,6 +509,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def word_values(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; long texts in pieces, words of more than LONG_WORD bytes on their own."""
+    out = np.zeros(len(starts), np.uint64)
+    short = stops - starts <= LONG_WORD
+    some = np.flatnonzero(short)
+    a = 0
+    while a < len(some):
+        base = starts[some[a]]
+        b = max(a + 1, int(np.searchsorted(stops[some], base + 2 * SLICE_BYTES, "right")))
+        pick = some[a:b]
+        if stops[pick[-1]] - base > 8 * SLICE_BYTES:  # long words between
+            pick = pick[:1]
+            b = a + 1
+        out[pick] = Hashed(data[base : stops[pick[-1]]])(starts[pick] - base, stops[pick] - base)
+        a = b
+    for i in np.flatnonzero(~short):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : stops[i]].tobytes(), seed=2)
+    return out
+
+
 def word_coded(docs: DataFrame) -> DataFrame:
     """docs (__id, __text, text) with each word of the text as `CODE` characters and nothing between them."""
 
@@ -395,12 +536,12 @@ def word_coded(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             data, offsets = text_bytes(part.column("text"))
             starts, stops, at = word_bounds(data, offsets)
-            value = Hashed(data)(starts, stops)
+            value = word_values(data, starts, stops)
             code = (value[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64) & np.uint64(63)).astype(np.uint8) + np.uint8(48)
             texts = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(at.astype(np.int64) * CODE), pa.py_buffer(np.ascontiguousarray(code)))
             yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), texts.cast(pa.string())], names=["__id", "__text", "text"])
 
-    return docs.mapInArrow(run, "__id long, __text long, text string")
+    return docs.mapInArrow(released(run), "__id long, __text long, text string")
 
 
 def with_long_words(docs: DataFrame, length: int, words: int) -> DataFrame:
@@ -420,7 +561,7 @@ def with_long_words(docs: DataFrame, length: int, words: int) -> DataFrame:
             some = np.bincount(row[(stop > first + length) & (first + length <= offsets[row + 1])], minlength=part.num_rows) > 0
             yield part.filter(pa.array(some))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", edge_limit: int = EDGE_CONTEXTS, words: int | None = None) -> DataFrame:
@@ -471,7 +612,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                 columns = [pa.array(plain, pa.string()) if f.name == text else part.column(f.name) for f in passed]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lists, kind), pa.array(kept, pa.binary())], names=[*(f.name for f in passed), "repeats", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)
 
 
 def removed_bytes() -> Column:

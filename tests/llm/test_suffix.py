@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.llm import suffix
 
@@ -48,22 +50,85 @@ def test_equals_brute_force(spark, length, limit):
         assert len(r.repeats) == int((np.diff(np.concatenate(([0], gone.view(np.int8)))) == 1).sum())
 
 
-def test_merge_gives_the_sorted_order_and_common_prefixes():
-    rng = np.random.default_rng(5)
-    strings = rng.integers(0, 3, (400, 7)).astype(np.uint64)
+def in_runs(strings, parts):
     runs = []
-    for part in np.split(strings, 4):
-        t = suffix.ShardTransform(part, 1)
-        runs.append((t.rows, t.counts))
-    verdicts, order, shared = suffix.merge_runs(runs)
+    for part in np.array_split(strings, parts):
+        rows, counts = np.unique(part, axis=0, return_counts=True)
+        runs.append((rows, counts))
+    return runs
+
+
+@pytest.mark.parametrize("letters", [2, 3, 40])
+def test_merge_gives_the_sorted_order_and_common_prefixes(letters):
+    strings = np.random.default_rng(letters).integers(1, letters + 1, (400, 7)).astype(np.uint64)
+    runs = in_runs(strings, 4)
+    order, shared = suffix.merge_transforms([(suffix.transform(r), len(r)) for r, _ in runs])
     merged = np.concatenate([r for r, _ in runs])[order]
     assert (merged == merged[np.lexsort(merged.T[::-1])]).all()
+    assert shared[0] == 0
     for a, b, n in zip(merged, merged[1:], shared[1:]):
         same = np.flatnonzero(a != b)
         assert n == (same[0] if len(same) else 7)
-    count = Counter(map(bytes, strings))
-    for (rows, _), v in zip(runs, verdicts):
-        assert all((count[bytes(r)] > 1) == (x in (suffix.REPEAT, suffix.STANDS)) for r, x in zip(rows, v))
+    count, kin = Counter(map(bytes, strings)), Counter(s[0] for s in {bytes(x): x for x in strings}.values())
+    found = suffix.verdicts(order, shared, np.concatenate([c for _, c in runs]))
+    stands = Counter()
+    for r, v in zip(np.concatenate([r for r, _ in runs]), found):
+        alone = kin[r[0]] == 1
+        assert v in ((suffix.REPEAT, suffix.STANDS) if count[bytes(r)] > 1 else (suffix.ALONE,) if alone else (suffix.EDGE,))
+        stands[bytes(r)] += v == suffix.STANDS
+    assert all(stands[s] == (n > 1 and kin[np.frombuffer(s, np.uint64)[0]] > 1) for s, n in count.items())
+
+
+def test_transform_is_a_transform():
+    """Against suffixes sorted as Python tuples; and it can be inverted."""
+    strings = np.unique(np.random.default_rng(1).integers(1, 4, (50, 7)).astype(np.uint64), axis=0)
+    suffixes = sorted((tuple(s[j:].tolist()), i, int(s[j - 1]) if j else 0) for i, s in enumerate(strings) for j in range(8))
+    bwt = suffix.transform(strings)
+    assert bwt.tolist() == [c for _, _, c in suffixes]
+    assert (suffix.inverted(bwt, len(strings)) == strings).all()
+
+
+def test_long_texts_go_in_pieces():
+    text = "".join(random.Random(6).choice("abcdefgh") for _ in range(5000))
+    part = pa.RecordBatch.from_pydict({"text": [text]})
+    seen = []
+    for shift, data, offsets in suffix.pieces(part, 23, 700):
+        assert len(data) <= 723
+        _, p, lo, hi, gram = suffix.anchors(data, offsets, 24)
+        symbols = suffix.symbols(data, p, lo, hi, gram, 24)
+        seen += [(a + shift, b + shift) for a, b in zip(lo.tolist(), hi.tolist())]
+        assert len(symbols) == len(p)
+    assert [i for a, b in seen for i in range(a, b + 1)] == list(range(5000 - 23))
+
+
+def test_frequent_anchor_is_split(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    common = "0" * 40  # holds one anchor's gram in many contexts
+    texts = [" ".join(word() for _ in range(6)) + common + " ".join(word() for _ in range(6)) for _ in range(60)]
+    texts += [texts[3], texts[5][10:], "".join(word() for _ in range(400)) + texts[7], "ü" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    plain = df.select(F.col("doc_id").alias("__id"), F.col("doc_id").alias("__text"), "text")
+    for hot in (20, 1 << 16):
+        spans = {}
+        for r in suffix.repeated_spans(plain, 24, hot=hot).collect():
+            spans.setdefault(r["__id"], []).append((r.start, r.stop))
+        for k, (gone, _) in enumerate(brute(texts, 24)):
+            mask = np.zeros(len(gone), bool)
+            for a, b in spans.get(k, []):
+                mask[a:b] = True
+            assert (mask == gone).all(), (hot, k)
+
+
+def test_word_values_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(5)
+    words = ["x" * rng.choice((1, 5, 900, 40000)) + str(rng.random()) for _ in range(60)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, stops, _ = suffix.word_bounds(data, np.array([0, len(data)]))
+    whole = suffix.word_values(data, starts, stops)
+    assert len(set(whole.tolist())) == len(set(words))
+    monkeypatch.setattr(suffix, "SLICE_BYTES", 1000)
+    assert (suffix.word_values(data, starts, stops) == whole).all()
 
 
 def test_empty_table_and_query(spark):
