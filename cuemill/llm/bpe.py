@@ -2,7 +2,8 @@
 
 The distinct pre-tokens of a piece of a partition are laid out in one array of symbols. An index maps each adjacent pair to all
 its positions; active ranks are applied in ascending order, each to all positions at once, and only the lists of the affected
-neighbours change. Results of distinct segments are kept in a bounded memo of the worker; token streams are then gathered with numpy.
+neighbours change. Results of distinct segments are kept in a memo, bounded in bytes and dropped after each partition; token streams are
+then gathered with numpy.
 
 Defined results: null text counts as empty, empty text has no tokens, a special token's string in a text is that special token,
 repeated rows give repeated results, columns other than the text pass through untouched.
@@ -22,15 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import read_table, slices
+from cuemill.llm.common import read_table, released, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct segments that a worker's memo holds before it starts anew.
-MEMO_SEGMENTS = 500_000
+#: Bytes of segments and tokens that a worker's memo holds before it starts anew; what a segment and its entries take besides its text.
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 160
 NO_RANK = np.int32(2**31 - 1)
-#: Bytes of text of one encoding step: many words share the work of a rank.
-STEP_BYTES = 4 << 20
+#: Bytes of text of one encoding step (many words share the work of a rank), and bytes of distinct words that are merged at a time.
+STEP_BYTES, MERGE_BYTES = 2 << 20, 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -53,7 +54,6 @@ class PairIndexBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
-        as_byte = {c: b for b, c in enumerate(symbols)}
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.first = [vocab[c] for c in symbols]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -65,15 +65,6 @@ class PairIndexBpe:
                 raise ValueError("ranks must ascend from parts to wholes, one merge for a token")
             made[z] = rank
             self.merges[x, y] = (rank, z)
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        pieces = [b""] * size
-        for token, i in vocab.items():
-            pieces[i] = bytes(as_byte[c] for c in token)
-        for token, i in self.special.items():
-            pieces[i] = token.encode()
-        self.piece_len = np.array([len(p) for p in pieces], np.int64)
-        self.piece_at = np.concatenate(([0], np.cumsum(self.piece_len)))[:-1]
-        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         ranked = sorted((x << 32 | y, rank, z) for (x, y), (rank, z) in self.merges.items())
         self.codes = np.array([c for c, _, _ in ranked], np.int64)
         self.ranks = np.array([r for _, r, _ in ranked], np.int32)
@@ -87,6 +78,7 @@ class PairIndexBpe:
 
     def _reset(self) -> None:
         self.memo: dict[str, int] = {t: k for k, t in enumerate(self.special)}
+        self.memo_bytes = 0
         self.pool = np.array([*self.special.values()], np.int32)
         self.run_at = np.arange(len(self.special))
         self.run_len = np.ones(len(self.special), np.int64)
@@ -155,6 +147,15 @@ class PairIndexBpe:
         alive = symbol >= 0
         return symbol[alive], np.concatenate(([0], np.cumsum(alive)))[ends]
 
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge_all for some MERGE_BYTES of words at a time."""
+        step = np.cumsum([0, *map(len, words)]) // MERGE_BYTES
+        cuts = np.append(np.flatnonzero(np.diff(step[:-1], prepend=-1)), len(words)).tolist()
+        found = [self.merge_all(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+        if len(found) < 2:
+            return found[0] if found else self.merge_all(words)
+        return np.concatenate([i for i, _ in found]), np.concatenate(([0], np.cumsum(np.concatenate([np.diff(e) for _, e in found]))))
+
     def segments(self, text: str) -> list[str]:
         """Pieces that can be encoded apart: specials, and stretches between single spaces."""
         if self.split and any(t in text for t in self.special):
@@ -178,7 +179,7 @@ class PairIndexBpe:
         for s in new:
             words.append([s] if s[1:].isalpha() and (s[0] == " " or s[0].isalpha()) else find(s))
         distinct = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-        ids, ends = self.merge_all([w.encode() for w in distinct])
+        ids, ends = self._merged([w.encode() for w in distinct])
         order = np.fromiter(map(distinct.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         counts = np.diff(ends)[order]
         added = ids[spread(ends[order], counts)]
@@ -187,10 +188,11 @@ class PairIndexBpe:
         self.run_at = np.concatenate((self.run_at, len(self.pool) + bounds[:-1]))
         self.run_len = np.concatenate((self.run_len, np.diff(bounds)))
         self.pool = np.concatenate((self.pool, added))
+        self.memo_bytes += sum(map(len, new)) + 4 * len(added) + ENTRY_BYTES * len(new)
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and n + 1 offsets."""
-        if len(self.memo) > MEMO_SEGMENTS:
+        if self.memo_bytes > MEMO_BYTES:
             self._reset()
         parts = [self.segments(t or "") for t in texts]
         if new := list(dict.fromkeys(filterfalse(self.memo.__contains__, chain.from_iterable(parts)))):
@@ -201,10 +203,25 @@ class PairIndexBpe:
         ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum([0, *map(len, parts)])]
         return ids, ends
 
+
+class Pieces:
+    """The bytes of each token id."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        as_byte = {c: b for b, c in enumerate(byte_symbols())}
+        named = {i: bytes(as_byte[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+        named |= {x["id"]: x["content"].encode() for x in spec.get("added_tokens", [])}
+        pieces = [named.get(i, b"") for i in range(max(named) + 1)]
+        self.lengths = np.array([len(p) for p in pieces], np.int64)
+        self.at = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of id runs; bytes that are no UTF-8 become replacement characters."""
-        counts = self.piece_len[ids]
-        data = self.piece_bytes[spread(self.piece_at[ids], counts)].tobytes()
+        counts = self.lengths[ids]
+        data = self.bytes[spread(self.at[ids], counts)].tobytes()
         ends = np.concatenate(([0], np.cumsum(counts)))[offsets].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
@@ -215,14 +232,14 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-_LOADED: dict[str, PairIndexBpe] = {}
+_LOADED: dict[tuple[type, str], object] = {}
 
 
-def codec(path: str) -> PairIndexBpe:
+def loaded(kind: type, path: str) -> object:
     """The worker's one copy of a vocabulary."""
-    if path not in _LOADED:
-        _LOADED[path] = PairIndexBpe(path)
-    return _LOADED[path]
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids") -> DataFrame:
@@ -231,13 +248,14 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "to
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(vocabulary)
+        bpe = loaded(PairIndexBpe, vocabulary)
         for part in slices(batches, text, STEP_BYTES):
             ids, ends = bpe.encode(part.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
+        bpe._reset()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run, 4), schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -246,7 +264,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", into: str =
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType(), False)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(vocabulary)
+        bpe = loaded(Pieces, vocabulary)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -264,7 +282,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", into: str =
                 texts = bpe.decode(flat, np.concatenate(([0], np.cumsum(lengths))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def default_vocabulary() -> str:

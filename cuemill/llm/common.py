@@ -107,8 +107,42 @@ _WORD = byte_weights(12)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of lower-cased (A-Z) texts, each word's start and length, and the n + 1 offsets of each row's words."""
+def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int) -> list[int]:
+    """Places, some `limit` bytes apart, at which no word is cut."""
+    cuts, n = [0], len(data)
+    while n - cuts[-1] > 2 * limit:
+        at = cuts[-1] + limit
+        row = offsets[np.searchsorted(offsets, at)]
+        step = 0
+        while at < row and step < 64:  # a blank within so many strides, else the row's end
+            found = np.flatnonzero(BLANK[data[at : min(at + 4096, row)]])
+            if len(found):
+                row = at + found[0]
+            at, step = at + 4096, step + 1
+        if row >= n:
+            break
+        cuts.append(int(row))
+    return [*cuts, n]
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of lower-cased (A-Z) texts, each word's start and length, and the n + 1 offsets of each row's words.
+
+    Long data is read in pieces, so that only what is kept for each word grows with it.
+    """
+    cuts = _cuts(data, offsets, limit)
+    if len(cuts) == 2:
+        return _word_hashes(data, offsets)
+    found = []
+    for a, b in zip(cuts, cuts[1:]):
+        inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
+        h, starts, lengths, _ = _word_hashes(data[a:b], np.concatenate(([0], inner, [b - a])))
+        found.append((h, starts + a, lengths))
+    hashes, starts, lengths = (np.concatenate([f[j] for f in found]) for j in range(3))
+    return hashes, starts, lengths, np.searchsorted(starts, offsets)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data = LOWER[data]
     inner = ~BLANK[data]
     first = inner.copy()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import cut_lineage, mix64, read_table, slices, text_bytes, word_hashes
+from cuemill.llm.common import cut_lineage, mix64, read_table, released, slices, text_bytes, word_hashes
 
 #: Bands and rows of a band: a pair at 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -98,7 +98,7 @@ def sketch_rows(docs: DataFrame, k: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()), mask=pa.array(~some))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), names, lists], names=["doc_id", "n_shingles", "cls", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), schema)
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -108,7 +108,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
             sets = [values[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+    return docs.mapInArrow(released(run), "node long, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * inter >= percent * (len(a) + len(b) - inter))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return full.mapInArrow(run, "u long, v long")
+    return full.mapInArrow(released(run), "u long, v long")
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def _pairs_in_buckets(apart: DataFrame, sets: DataFrame, percent: int) -> DataFr
         if held is not None and held.num_rows:
             yield settle(held)
 
-    return grouped.mapInArrow(run, "u long, v long").filter("u <> v").distinct()
+    return grouped.mapInArrow(released(run), "u long, v long").filter("u <> v").distinct()
 
 
 def _apart(active: DataFrame, links: DataFrame) -> DataFrame:

@@ -3,9 +3,13 @@
 Token weights of the cells (source, language, topic) are raked until each of the three marginals meets its target; a document's
 probability is its cell's calibrated weight, scaled so that the expected tokens meet the budget, and a hash of the document decides.
 
-All expressions are built-in functions. Raking works on the table of cells: on the driver while there are at most `CELLS` of them
-(checked by a count), beyond that by the same steps as DataFrame aggregations. The join of cells to documents is a broadcast under the
-same check, else a shuffle join that adaptive execution splits where a cell is hot.
+All expressions are built-in functions. Raking and scaling work on the table of cells by one method: rounds until the marginals stop
+moving, then the exact scale by fixing capped cells until no more are capped. Up to `CELLS` cells (checked by a count) the driver does the
+sums, beyond that the same sums are aggregations over the distributed table. Probabilities are rounded to `DIGITS` places, which is above
+the noise of summing in another order, so both ways draw the same documents. The join of cells to documents is a broadcast under the same
+check, else a shuffle join that adaptive execution splits where a cell is hot.
+
+Without a topic column the topic is one of form (`form_topic`), by shares of digits and line ends and by length.
 
 Defined results: null source, language or topic form a category of their own; a null or empty text has no tokens and topic `empty`,
 its cell has weight 0 unless texts with tokens share it, and rows of weight 0 are not drawn; repeated rows are drawn together.
@@ -13,6 +17,8 @@ its cell has weight 0 unless texts with tokens share it, and rows of weight 0 ar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,35 +28,34 @@ from cuemill.llm.common import cut_lineage, read_table
 #: Cells that the driver rakes itself.
 CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, TOLERANCE = 60, 1e-9
+ROUNDS, TOLERANCE, DIGITS = 60, 1e-9, 9
 NONE = "\x00none"
 
 
-def topic_of(text: Column) -> Column:
-    """A form topic, where the table has no topic column: empty, table, contact, licence, short, long or prose."""
+def form_topic(text: Column, tokens: Column) -> Column:
+    """empty; figures (a tenth of the characters or more are digits); lines (a line end for every ten tokens or more); short, medium, long."""
     t = F.coalesce(text, F.lit(""))
-    size = F.length(t)
+    digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
+    ends = F.length(t) - F.length(F.translate(t, "\n", ""))
     return (
-        F.when(size == 0, "empty")
-        .when(t.contains(" | "), "table")
-        .when(t.contains("@") | t.contains(") 555-"), "contact")
-        .when(t.contains("License"), "licence")
-        .when(size < 300, "short")
-        .when(size > 6000, "long")
-        .otherwise("prose")
+        F.when(tokens == 0, "empty")
+        .when(10 * digits >= F.length(t), "figures")
+        .when(10 * ends >= tokens, "lines")
+        .when(tokens < 64, "short")
+        .when(tokens < 512, "medium")
+        .otherwise("long")
     )
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.col("text"))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
-    return docs.select(
+    known = docs.select(
         "*",
         name("source").alias("__source"),
         name("lang").alias("__lang"),
-        F.coalesce(topic, F.lit(NONE)).alias("__topic"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("__tokens"),
     )
+    return known.withColumn("__topic", name("topic") if "topic" in docs.columns else form_topic(F.col("text"), F.col("__tokens")))
 
 
 def softened(shares: dict[str, float], power: float) -> dict[str, float]:
@@ -75,17 +80,22 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return w / max(w.sum(), 1e-300)
 
 
-def scale_for(tokens: np.ndarray, ratio: np.ndarray, wanted: float) -> float:
-    """The factor at which sum(tokens * min(1, factor * ratio)) is the wanted number; infinite if all rows are too few."""
-    used = (ratio > 0) & (tokens > 0)
-    t, r = tokens[used], ratio[used]
-    if not len(t) or t.sum() <= wanted:
-        return float("inf")
-    order = np.argsort(-r)
-    t, r = t[order], r[order]
-    capped, rest = np.concatenate(([0.0], np.cumsum(t)))[:-1], np.cumsum((t * r)[::-1])[::-1]
-    factor = (wanted - capped) / rest
-    return float(factor[np.flatnonzero(factor * r <= 1)[0]])
+def scale_for(sums: Callable[[float], tuple[float, float]], wanted: float) -> float:
+    """The factor f at which sum(tokens * min(1, f * ratio)) is the wanted number; infinite if all rows are too few.
+
+    sums(f): the tokens of cells with f * ratio >= 1, and the sum of tokens * ratio over the others. Each step fixes the cells that are
+    capped at the factor so far, which only grows, so it ends where no further cell is capped.
+    """
+    factor, capped = 0.0, -1.0
+    while True:
+        now, rest = sums(factor)
+        if now == capped:
+            return factor
+        if now >= wanted:
+            return factor
+        if rest <= 0:
+            return float("inf")
+        capped, factor = now, (wanted - now) / rest
 
 
 def _on_driver(cells: DataFrame, targets: dict, power: float, budget: float, spark: SparkSession, rounds: int) -> DataFrame:
@@ -101,15 +111,23 @@ def _on_driver(cells: DataFrame, targets: dict, power: float, budget: float, spa
         goals.append(goal / max(goal.sum(), 1e-300))
     w = rake(tokens, codes, goals, rounds)
     ratio = np.divide(w, tokens, out=np.zeros_like(w), where=tokens > 0)
-    factor = scale_for(tokens, ratio, budget * tokens.sum())
-    p = np.where(ratio > 0, np.minimum(1.0, np.nan_to_num(factor * ratio, nan=0.0, posinf=1.0)), 0.0)
+
+    def sums(factor: float) -> tuple[float, float]:
+        full = factor * ratio >= 1
+        return float(tokens[full].sum()), float((tokens * ratio)[~full].sum())
+
+    p = chances(ratio, scale_for(sums, budget * tokens.sum()))
     schema = "__source string, __lang string, __topic string, __weight double, __probability double"
     return spark.createDataFrame([(r["__source"], r["__lang"], r["__topic"], float(a), float(b)) for r, a, b in zip(rows, w, p)], schema)
 
 
+def chances(ratio: np.ndarray, factor: float) -> np.ndarray:
+    return np.round(np.where(ratio > 0, np.minimum(1.0, (factor if np.isfinite(factor) else 1e300) * ratio), 0.0), DIGITS)
+
+
 def _on_cluster(cells: DataFrame, targets: dict, power: float, budget: float, rounds: int) -> DataFrame:
-    """The same raking with the cells left distributed; marginals join their cells by shuffle."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    """The same with the cells left distributed; marginals join their cells by shuffle."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
     now = cells.withColumn("__weight", F.col("tokens") / total)
     goals = {}
     for d in DIMENSIONS:
@@ -122,18 +140,25 @@ def _on_cluster(cells: DataFrame, targets: dict, power: float, budget: float, ro
         sum_ = share.agg(F.sum("goal")).first()[0] or 1.0
         goals[d] = cut_lineage(share.select(f"__{d}", (F.col("goal") / sum_).alias("goal")))
     for _ in range(rounds):
+        worst = 0.0
         for d in DIMENSIONS:
-            factor = now.groupBy(f"__{d}").agg(F.sum("__weight").alias("w")).join(goals[d], f"__{d}").select(f"__{d}", F.when(F.col("w") > 0, F.col("goal") / F.col("w")).otherwise(0.0).alias("f"))
-            now = now.join(factor, f"__{d}").withColumn("__weight", F.col("__weight") * F.col("f")).drop("f")
+            met = cut_lineage(now.groupBy(f"__{d}").agg(F.sum("__weight").alias("w")).join(goals[d], f"__{d}").select(f"__{d}", F.when(F.col("w") > 0, F.col("goal") / F.col("w")).otherwise(0.0).alias("f"), F.when(F.col("w") > 0, F.abs(F.col("w") - F.col("goal"))).otherwise(0.0).alias("off")))
+            worst = max(worst, met.agg(F.max("off")).first()[0])
+            now = now.join(met.drop("off"), f"__{d}").withColumn("__weight", F.col("__weight") * F.col("f")).drop("f")
         now = cut_lineage(now)
+        if worst < TOLERANCE:
+            break
+    sum_ = now.agg(F.sum("__weight")).first()[0] or 1.0
+    now = cut_lineage(now.withColumn("__weight", F.col("__weight") / sum_))
     ratio = F.when(F.col("tokens") > 0, F.col("__weight") / F.col("tokens")).otherwise(0.0)
-    low, high = 0.0, float(total) * 1e6
-    for _ in range(4):  # 64 factors a pass
-        grid = [low + (high - low) * (i / 64) ** (3 if low == 0 else 1) for i in range(65)]
-        sums = now.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * g)).alias(f"g{i}") for i, g in enumerate(grid)]).first()
-        at = next((i for i in range(65) if sums[i] >= budget * total), 64)
-        low, high = grid[max(0, at - 1)], grid[at]
-    return now.select("__source", "__lang", "__topic", "__weight", F.least(F.lit(1.0), ratio * high).alias("__probability"))
+
+    def sums(factor: float) -> tuple[float, float]:
+        full = factor * ratio >= 1
+        return tuple(now.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)).cast("double"), F.coalesce(F.sum(F.when(~full, F.col("tokens") * ratio)), F.lit(0.0))).first())
+
+    factor = scale_for(sums, budget * total)
+    p = F.when(ratio > 0, F.least(F.lit(1.0), ratio * (factor if np.isfinite(factor) else 1e300))).otherwise(0.0)
+    return now.select("__source", "__lang", "__topic", "__weight", F.round(p, DIGITS).alias("__probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.5, budget: float = 0.5, seed: int = 5, cells_on_driver: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
@@ -146,12 +171,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     keys = [f"__{d}" for d in DIMENSIONS]
     cells = cut_lineage(known.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")))
     if cells.count() <= cells_on_driver:
-        chances = F.broadcast(_on_driver(cells, targets or {}, power, budget, docs.sparkSession, rounds))
+        found = F.broadcast(_on_driver(cells, targets or {}, power, budget, docs.sparkSession, rounds))
     else:
-        chances = _on_cluster(cells, targets or {}, power, budget, rounds)
+        found = _on_cluster(cells, targets or {}, power, budget, rounds)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(NONE))
     u = F.pmod(F.xxhash64(name, F.coalesce("text", F.lit("")), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    out = known.join(chances, keys)
+    out = known.join(found, keys)
     extra = [] if "topic" in docs.columns else [F.col("__topic").alias("topic")]
     return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "weight", "probability", "drawn")], *extra, F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), (u < F.col("__probability")).alias("drawn"))
 

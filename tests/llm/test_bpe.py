@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,7 +27,23 @@ def test_ids_and_text_equal_the_library(both):
     for k, t in enumerate(TEXTS):
         want = theirs.encode(t or "", add_special_tokens=False).ids
         assert ids[ends[k] : ends[k + 1]].tolist() == want, t
-    assert ours.decode(ids, ends) == [theirs.decode(theirs.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in TEXTS]
+    assert bpe.Pieces(bpe.default_vocabulary()).decode(ids, ends) == [theirs.decode(theirs.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in TEXTS]
+
+
+def test_reset_of_the_memo_and_words_merged_in_groups(both, monkeypatch):
+    ours, theirs = both
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("aeinrst") for _ in range(rng.randrange(1, 12))) for _ in range(200)) for _ in range(6)]
+    texts += ["".join(rng.choice("aeinrst.,0") for _ in range(60_000)), "z" * 70_000]  # segments without blanks
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 0)
+    monkeypatch.setattr(bpe, "MERGE_BYTES", 50)
+    for t, ids in zip(texts, want):
+        assert ours.encode([t])[0].tolist() == ids
+        assert ours.memo_bytes > 0
+    ours._reset()
+    assert ours.encode([])[0].tolist() == [] and ours.encode(texts)[0].tolist() == [i for ids in want for i in ids]
+    ours._reset()
 
 
 def test_query_on_the_table(spark, both):

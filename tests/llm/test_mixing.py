@@ -51,12 +51,16 @@ def test_distributed_cells_and_odd_rows(spark):
     data = [(k % 50, "word " * (k % 37 + 1), ["en", "de", None][k % 3], ["a", "b", None, "c"][k % 4 if k % 5 else 0], k) for k in range(120)]
     data += [(None, None, None, None, 1), (1, "", "en", "a", 1), (2, "x " * 50_000, "en", "a", 2)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, weight int")
-    near = mixing.mix(df, rounds=2)
+    near = mixing.mix(df, rounds=3)
     assert near.count() == len(data) and near.columns.count("weight") == 1
-    far = mixing.mix(df, cells_on_driver=1, rounds=2)
-    key = lambda r: (str(r.source), str(r.lang), r.topic)
-    a, b = ({key(r): r.probability for r in x.collect()} for x in (near, far))
-    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=0.03, abs_tol=0.01) for k in a)
+    far = mixing.mix(df, cells_on_driver=1, rounds=3)
+    key = lambda r: (str(r.doc_id), r.n_tokens, str(r.source), str(r.lang), r.topic, r.probability, r.drawn)
+    a, b = (sorted(map(key, x.collect())) for x in (near, far))
+    assert a == b  # the same probabilities to the last digit, and the same rows
+    cells = {k[2:5]: [0, k[5]] for k in a}
+    for k in a:
+        cells[k[2:5]][0] += k[1]
+    assert math.isclose(sum(n * p for n, p in cells.values()), 0.5 * sum(n for n, _ in cells.values()), rel_tol=1e-6)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -67,3 +71,17 @@ def test_given_targets_are_met():
     w = mixing.rake(rng.integers(1, 1000, 24).astype(float), codes, goals)
     for code, goal in zip(codes, goals):
         assert np.allclose(np.bincount(code, weights=w), goal, atol=1e-6)
+
+
+def test_scale_is_exact():
+    rng = np.random.default_rng(2)
+    tokens, ratio = rng.integers(1, 1000, 300).astype(float), rng.random(300) ** 4
+
+    def sums(f):
+        full = f * ratio >= 1
+        return tokens[full].sum(), (tokens * ratio)[~full].sum()
+
+    for share in (0.0, 0.01, 0.5, 0.99):
+        f = mixing.scale_for(sums, share * tokens.sum())
+        assert math.isclose((tokens * np.minimum(1, f * ratio)).sum(), share * tokens.sum(), rel_tol=1e-12)
+    assert mixing.scale_for(sums, 2 * tokens.sum()) == float("inf")
