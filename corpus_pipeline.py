@@ -22,10 +22,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that share an id, or have none and share a text, count as one document, of which one row stays."""
+    """Rows of one id and one text are one document, of which the least row stays; rows that share an id but not a text all stay."""
     gone = minhash.components(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))))
-    return docs.join(gone, "doc_id", "left_anti").withColumn("__key", key).dropDuplicates(["__key"]).drop("__key").select(docs.columns)
+    text = F.sha2(F.col("text").cast("binary"), 256)
+    rows = docs.join(gone, "doc_id", "left_anti").groupBy(F.col("doc_id").alias("__id"), text.alias("__text"))
+    return rows.agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
