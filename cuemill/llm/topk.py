@@ -1,31 +1,40 @@
 """Exact top-k inner-product search by a three-phase uniform threshold.
 
-The score of a vector is a sum over lists, one for each stretch of dimensions. Phase 1: every block of rows gives, for each query, the
-exact scores of the heads of its local lists; the k-th best of all of them is a safe cutoff. Phase 2: a score of at least the cutoff
-needs at least cutoff / lists in some list, so with the cutoff sent to all blocks only entries above that uniform threshold are
-collected, and those whose upper bound falls short are dropped. Phase 3: the missing list scores of what remains are resolved exactly.
+The score of a vector is a sum over `lists` lists, one for each stretch of dimensions. Rows are packed where they lie into blocks of at
+most `BLOCK` rows; a block holds, for each query, a local score list for each stretch.
 
-Queries meet rows as packed blocks: rows are dealt to groups of about `block` rows by a hash of the id, queries to blocks of the same
-kind, and every pair of blocks is one bounded task. Per query a block hands on k entries at most, enough for an exact result.
+1. Every block sorts its lists down to `DEPTH` entries, the heads, and adds up exactly the k best rows met there. The k-th best sum over
+   all blocks is a safe cutoff of the query.
+2. A score of at least the cutoff needs at least cutoff / lists, the uniform threshold, in some list. With the cutoff back at the blocks,
+   the entries above that threshold are read from the kept heads, and a row's bound is what it is known for, plus the last head entry of
+   each list that doesn't show it. Rows whose bound is below the cutoff are dropped. Heads that end above the threshold can lack entries;
+   where the ends of a query's heads together reach the cutoff, a row outside of all could too, and the block makes its lists again.
+3. Of the rows that remain, the missing list scores, and only these, are computed; the exact sums give the k best of the block.
+
+Queries go to the blocks in rounds of at most `QUERIES` (checked), each sent once; rows are shuffled once at most, to meet their heads.
+Integers are compared as integers, so results are exact for any 64-bit sums.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and null ids, take no part; candidates have the
 query's number of dimensions and another id; ties go to the smaller id; repeated candidate rows repeat; of rows that share a query
-id the smallest vector is the query.
+id the smallest vector is the query; columns other than id and vector are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import pickle
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import read_table
+from cuemill.llm.common import cut_lineage, read_table, released
 
-LISTS, BLOCK = 4, 2048
+#: Lists of a query, rows of a block, entries of a head, queries of a round, queries that a block works on at a time.
+LISTS, BLOCK, DEPTH, QUERIES, STEP = 4, 2048, 128, 4096, 256
 
 
 def usable(vector: str) -> Column:
@@ -38,84 +47,186 @@ def quantised(vector: str, scale: float = 256.0) -> Column:
     return F.transform(vector, lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("long"))
 
 
-def matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return flat.reshape(len(column), -1)
+def packed_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """name, d, ids and vectors of blocks of rows (vec_id, v) of equal dimension d, packed where the rows lie, in the order of ids."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, made, held, n = TaskContext.get().partitionId(), 0, {}, 0
+
+        def flush(d: int) -> pa.RecordBatch:
+            nonlocal made
+            parts = held.pop(d)
+            ids, x = (np.concatenate([h[j] for h in parts]) for j in range(2))
+            order = np.argsort(ids, kind="stable")
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([f"{home}.{made}"]), pa.array([d], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(x[order]).tobytes()], pa.binary())], names=["name", "d", "ids", "vectors"])
+
+        for batch in batches:
+            sizes, ids = batch.column("v").value_lengths().to_numpy(zero_copy_only=False), batch.column("vec_id").to_numpy(zero_copy_only=False)
+            flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            at = np.cumsum(sizes) - sizes
+            for d in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == d)
+                for k in range(0, len(mine), block):
+                    part = mine[k : k + block]
+                    if sum(len(i) for i, _ in held.get(d, ())) + len(part) > block:
+                        yield flush(d)
+                    held.setdefault(d, []).append((ids[part].astype(np.int64), flat[at[part][:, None] + np.arange(d)]))
+            while sum(len(i) for h in held.values() for i, _ in h) > 4 * block:
+                yield flush(max(held, key=lambda d: sum(len(i) for i, _ in held[d])))
+        for d in list(held):
+            yield flush(d)
+
+    return rows.mapInArrow(run, "name string, d int, ids binary, vectors binary")
 
 
-def paired(rows: DataFrame, queries: DataFrame, work: Callable, schema: str, n_rows: int, n_queries: int, block: int) -> DataFrame:
-    """work(rows, queries) for each pair of a group of rows and a block of queries of the same dimension, as Arrow tables."""
-    groups, blocks = max(1, math.ceil(n_rows / block)), max(1, math.ceil(n_queries / block))
-    key = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
-    left = rows.withColumn("g", key("vec_id", groups, 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("d", F.size("v"))
-    right = queries.withColumn("b", key("query_id", blocks, 2)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("d", F.size("q"))
-    return left.groupBy("g", "b", "d").cogroup(right.groupBy("g", "b", "d")).applyInArrow(work, schema)
+def stretches(d: int, lists: int) -> list[slice]:
+    return [slice(int(s[0]), int(s[-1]) + 1) for s in np.array_split(np.arange(d), min(lists, d))]
 
 
-def _lists(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Exact list scores; doubles while every sum stays within 53 bits."""
+def score_lists(q: np.ndarray, x: np.ndarray, lists: int) -> list[np.ndarray]:
+    """Exact list scores of all rows, as integers; by doubles while every sum stays within 53 bits."""
     if float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**52:
-        q, x = q.astype(float), x.astype(float)
-    return [q[:, s] @ x[:, s].T for s in np.array_split(np.arange(q.shape[1]), min(lists, q.shape[1]))]
-
-
-def _heads(k: int, lists: int):
-    def work(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[list, list]] = [([], [])]
-        if rows.num_rows and queries.num_rows:
-            ids, own = rows.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
-            parts = _lists(matrix(queries.column("q"), np.int64), matrix(rows.column("v"), np.int64), lists)
-            total = sum(parts)
-            low = np.iinfo(np.int64).min if total.dtype.kind == "i" else -np.inf
-            seen = np.zeros(total.shape, bool)
-            h = min(k + 1, len(ids))
-            for p in parts:
-                np.put_along_axis(seen, np.argpartition(-p, h - 1, axis=1)[:, :h], True, axis=1)
-            seen &= ids[None, :] != own[:, None]
-            best = -np.sort(-np.where(seen, total, low), axis=1)[:, :k]
-            out = [(own.tolist(), [[int(v) for v in row if v > low] for row in best])]
-        return pa.table({"query_id": pa.array(out[0][0], pa.int64()), "scores": pa.array(out[0][1], pa.list_(pa.int64()))})
-
-    return work
-
-
-def _resolve(k: int, lists: int):
-    def work(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[list] = [[], [], []]
-        if rows.num_rows and queries.num_rows:
-            order = np.argsort(rows.column("vec_id").to_numpy(), kind="stable")
-            ids, own = rows.column("vec_id").to_numpy()[order], queries.column("query_id").to_numpy()
-            parts = _lists(matrix(queries.column("q"), np.int64), matrix(rows.column("v"), np.int64)[order], lists)
-            cutoff = queries.column("cutoff").to_numpy(zero_copy_only=False).astype(float)
-            cutoff = np.where(np.isnan(cutoff), -np.inf, cutoff)[:, None]
-            uniform = cutoff / len(parts)
-            met = [p >= uniform for p in parts]
-            bound = sum(np.where(m, p, uniform) for m, p in zip(met, parts))
-            left = np.logical_or.reduce(met) & (bound >= cutoff - 1e-6 * np.abs(cutoff) - 1) & (ids[None, :] != own[:, None])
-            at, place = np.nonzero(left)
-            score = sum(p[at, place] for p in parts)
-            good = score >= cutoff[at, 0]
-            at, place, score = at[good], place[good], score[good]
-            best = np.lexsort((place, -score, at))
-            at, place, score = at[best], place[best], score[best]
-            rank = np.arange(len(at)) - np.searchsorted(at, at)
-            keep = rank < k
-            found = [own[at[keep]], ids[place[keep]], score[keep].astype(np.int64)]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), found)})
-
-    return work
-
-
-def search(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, block: int = BLOCK) -> DataFrame:
+        return [(q[:, s].astype(float) @ x[:, s].T.astype(float)).astype(np.int64) for s in stretches(q.shape[1], lists)]
+    return [q[:, s] @ x[:, s].T for s in stretches(q.shape[1], lists)]
+
+
+def heads_of(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, k: int, lists: int, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 1: places and scores of the sorted heads (query, list, depth), and the k best sums of rows met there, padded with the least."""
+    low = np.iinfo(np.int64).min
+    h = min(max(depth, k + 1), len(ids))
+    scored = score_lists(q, x, lists)
+    place, score = (np.empty((len(q), len(scored), h), np.int64) for _ in range(2))
+    met = np.zeros((len(q), len(ids)), bool)
+    for j, p in enumerate(scored):
+        top = np.argpartition(-p, h - 1, axis=1)[:, :h] if h < len(ids) else np.broadcast_to(np.arange(h), (len(q), h))
+        value = np.take_along_axis(p, top, 1)
+        order = np.argsort(-value, 1, kind="stable")
+        place[:, j], score[:, j] = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+        np.put_along_axis(met, place[:, j, : k + 1], True, axis=1)
+    at, row = np.nonzero(met & (ids[None, :] != own[:, None]))
+    best = np.full((len(q), k), low)
+    total = sum(p[at, row] for p in scored)
+    order = np.lexsort((-total, at))
+    at, total = at[order], total[order]
+    rank = np.arange(len(at)) - np.searchsorted(at, at)
+    best[at[rank < k], rank[rank < k]] = total[rank < k]
+    return place, score, best
+
+
+def resolved(ids: np.ndarray, x: np.ndarray, own: np.ndarray, q: np.ndarray, place: np.ndarray, score: np.ndarray, cutoff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Phases 2 and 3: query (index), row and exact score of the k best of the block that reach the cutoff; and the list scores computed."""
+    lists, h = place.shape[1:]
+    threshold = cutoff // lists + (cutoff % lists > 0)
+    unsure = (score[:, :, -1] >= threshold[:, None]).any(1) & (h < len(ids))  # entries above the threshold may be missing
+    short = unsure & (score[:, :, -1].sum(1) >= cutoff)
+    found: list[tuple[np.ndarray, ...]] = []
+    work = 0
+    if short.any():
+        who = np.flatnonzero(short)
+        scored = score_lists(q[who], x, lists)
+        work += len(scored) * len(who) * len(ids)
+        total = sum(scored)
+        at, row = np.nonzero((total >= cutoff[who, None]) & (ids[None, :] != own[who, None]))
+        found.append((who[at], row, total[at, row]))
+    if not short.all():
+        who = np.flatnonzero(~short)
+        last = score[who][:, :, -1]
+        bound = np.broadcast_to(last.sum(1)[:, None], (len(who), len(ids))).copy()
+        each = np.arange(len(who))[:, None]
+        for j in range(lists):
+            bound[each, place[who, j]] += score[who, j] - last[:, j, None]
+        at, row = np.nonzero((bound >= cutoff[who, None]) & (ids[None, :] != own[who, None]))
+        total = np.zeros(len(at), np.int64)
+        spot = np.full((len(who), len(ids)), -1, np.int16 if h < 1 << 15 else np.int32)
+        for j, s in enumerate(stretches(q.shape[1], lists)):
+            spot[:] = -1
+            spot[each, place[who, j]] = np.arange(h)
+            mine = spot[at, row]
+            seen = mine >= 0
+            total[seen] += score[who[at[seen]], j, mine[seen]]
+            miss = np.flatnonzero(~seen)
+            work += len(miss)
+            for a in range(0, len(miss), 1 << 15):
+                m = miss[a : a + (1 << 15)]
+                total[m] += np.einsum("nd,nd->n", q[who[at[m]], s], x[row[m], s])
+        good = total >= cutoff[who[at]]
+        found.append((who[at[good]], row[good], total[good]))
+    at, row, total = (np.concatenate([f[j] for f in found]) for j in range(3))
+    order = np.lexsort((ids[row], -total, at))
+    at, row, total = at[order], row[order], total[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], row[keep], total[keep], work
+
+
+def _unpacked(ids: pa.Scalar, vectors: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(ids.as_buffer(), np.int64)
+    return own, np.frombuffer(vectors.as_buffer(), np.int64).reshape(len(own), -1)
+
+
+def _by_dimension(table: pa.Table, *more: str) -> dict[int, tuple[np.ndarray, ...]]:
+    """Query ids, vectors and further columns of the queries of each dimension."""
+    sizes = np.array([len(x) for x in table.column("q")])
+    out = {}
+    for d in np.unique(sizes).tolist():
+        part = table.take(pa.array(np.flatnonzero(sizes == d)))
+        flat = part.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        out[d] = (part.column("query_id").to_numpy(), flat.reshape(-1, d), *(part.column(c).to_numpy() for c in more))
+    return out
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of rows (vec_id, v) with queries (query_id, q); v, q: array<long>."""
-    queries = queries.groupBy("query_id").agg(F.min("q").alias("q"))
-    n_rows, n_queries = rows.count(), queries.count()
-    heads = paired(rows, queries, _heads(k, lists), "query_id long, scores array<long>", n_rows, n_queries, block)
-    top = lambda c: F.slice(F.sort_array(F.flatten(F.collect_list(c)), asc=False), 1, k)
-    gathered = heads.groupBy("query_id", F.pmod(F.xxhash64("scores"), F.lit(64)).alias("part")).agg(top("scores").alias("scores")).groupBy("query_id").agg(top("scores").alias("scores"))
-    cut = queries.join(gathered, "query_id", "left").select("query_id", "q", F.try_element_at("scores", F.lit(k)).alias("cutoff"))
-    found = paired(rows, cut, _resolve(k, lists), "query_id long, vec_id long, score long", n_rows, n_queries, block)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    sc = rows.sparkSession.sparkContext
+    queries = cut_lineage(queries.groupBy("query_id").agg(F.min("q").alias("q")))
+    blocks = cut_lineage(packed_blocks(rows.select("vec_id", "v"), block))
+    rounds = max(1, math.ceil(queries.count() / QUERIES))
+    least = np.iinfo(np.int64).min
+    out = None
+    for r in range(rounds):
+        mine = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r).toArrow()  # some QUERIES rows
+        sent = sc.broadcast(_by_dimension(mine))
+
+        def heads(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, d, ids, vectors in zip(*(batch.column(c) for c in ("name", "d", "ids", "vectors"))):
+                    if d.as_py() not in sent.value:
+                        continue
+                    own, q = sent.value[d.as_py()]
+                    ids, x = _unpacked(ids, vectors)
+                    found = [heads_of(ids, x, own[a : a + STEP], q[a : a + STEP], k, lists, depth) for a in range(0, len(q), STEP)]
+                    place, score, best = (np.concatenate([f[j] for f in found]) for j in range(3))
+                    small = np.abs(score).max() < 1 << 31
+                    kept = pickle.dumps((place.astype(np.uint16 if len(ids) <= 1 << 16 else np.int64), score.astype(np.int32) if small else score))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([kept], pa.binary()), pa.array([own.tobytes()], pa.binary()), pa.array([best.tobytes()], pa.binary())], names=["name", "heads", "own", "best"])
+
+        def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for own, best in zip(batch.column("own"), batch.column("best")):
+                    own = np.frombuffer(own.as_buffer(), np.int64)
+                    best = np.frombuffer(best.as_buffer(), np.int64)
+                    good = best > least
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, k)[good]), pa.array(best[good])], names=["query_id", "score"])
+
+        lists_kept = cut_lineage(blocks.mapInArrow(released(heads), "name string, heads binary, own binary, best binary"))
+        ranked = lists_kept.select("own", "best").mapInArrow(sums, "query_id long, score long").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+        cut = {x["query_id"]: x["score"] for x in ranked.filter(F.col("n") == k).select("query_id", "score").toLocalIterator()}  # one for each query of the round
+        cutoffs = sc.broadcast(_by_dimension(mine.append_column("cutoff", pa.array([cut.get(i, least) for i in mine.column("query_id").to_pylist()], pa.int64())), "cutoff"))
+
+        def resolve(batches: Iterable[pa.RecordBatch], cutoffs=cutoffs) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d, ids, vectors, kept in zip(*(batch.column(c) for c in ("d", "ids", "vectors", "heads"))):
+                    own, q, cutoff = cutoffs.value[d.as_py()]
+                    ids, x = _unpacked(ids, vectors)
+                    place, score = pickle.loads(kept.as_buffer())
+                    for a in range(0, len(q), STEP):
+                        b = slice(a, a + STEP)
+                        at, row, total, _ = resolved(ids, x, own[b], q[b], place[b].astype(np.int64), score[b].astype(np.int64), cutoff[b], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(own[b][at]), pa.array(ids[row]), pa.array(total)], names=["query_id", "vec_id", "score"])
+
+        found = blocks.join(lists_kept.select("name", "heads"), "name").select("d", "ids", "vectors", "heads").mapInArrow(released(resolve), "query_id long, vec_id long, score long")
+        out = found if out is None else out.unionByName(found)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -30,12 +30,47 @@ def test_topk_equals_brute_force(spark):
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
     rows = df.filter(topk.usable("embedding")).filter("vec_id is not null").select("vec_id", topk.quantised("embedding").alias("v"))
     queries = rows.filter("vec_id % 50 = 0").selectExpr("vec_id query_id", "v q")
-    for lists, block in ((4, 64), (3, 1000)):
-        got = sorted(map(tuple, topk.search(rows, queries, 5, lists, block).collect()))
+    clashing = rows.selectExpr("*", "'x' as score", "1 as rank", "2 as name", "3 as query_id", "4 as d")
+    for lists, block, depth in ((4, 64, 8), (3, 1000, 64), (4, 300, 6), (8, 16, 1)):
+        got = sorted(map(tuple, topk.search(clashing, queries, 5, lists, block, depth).collect()))
         assert got == brute_topk(data, 50, 5)
     assert topk.search(rows.limit(0), queries.limit(0), 5).count() == 0
 
 
+def test_topk_in_rounds_with_repeated_rows_and_large_sums(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-(2**29), 2**29, (90, 6))
+    x[40:60] = x[39]  # ties
+    x[5, 0] += 1
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 3
+    rows = spark.createDataFrame(data, "vec_id long, v array<long>")
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    got = sorted(map(tuple, topk.search(rows, rows.selectExpr("vec_id query_id", "v q"), 4, 4, 32, 8).collect()))
+    want = []
+    for q in range(90):
+        best = sorted((-int(x[q] @ np.array(v)), i) for i, v in data if i != q)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+    assert max(abs(s) for *_, s in got) > 2**53
+
+
+def test_the_cutoff_saves_work():
+    rng = np.random.default_rng(6)
+    ids, x, q = np.arange(2048), rng.integers(-100, 100, (2048, 64)), rng.integers(-100, 100, (50, 64))
+    own = np.full(50, -1)
+    place, score, best = topk.heads_of(ids, x, own, q, 5, 4, topk.DEPTH)
+    true = np.sort(q @ x.T, 1)[:, ::-1]
+    assert (np.diff(score, axis=2) <= 0).all()
+    assert (best[:, -1] <= true[:, 4]).all()  # safe
+    scored = topk.score_lists(q, x, 4)
+    assert all((np.take_along_axis(p, place[:, j], 1) == score[:, j]).all() and (score[:, j, 0] == p.max(1)).all() for j, p in enumerate(scored))
+    cutoff = true[:, 4] * 5 // 4  # other blocks hold better rows
+    at, row, total, work = topk.resolved(ids, x, own, q, place, score, cutoff, 5)
+    assert sorted(zip(at.tolist(), total.tolist())) == sorted((i, int(v)) for i in range(50) for v in true[i, :5] if v >= cutoff[i])
+    assert work < 0.1 * 4 * 50 * 2048
+    print("list scores computed in phase 3:", work / (4 * 50 * 2048))
+
+
 def test_topk_table(spark):
     ids, x = table(spark, "sf0.001")
     got = sorted(map(tuple, topk.op1_topk(spark, "/root/testdata/sf0.001").collect()))
