@@ -1,11 +1,17 @@
 """HTML extraction by layout-aware rendering.
 
-A tokenizer feeds a tree builder that knows void elements, implied ends (a new <p>, <li>, <tr>, <td>, <option> ... closes what it must) and
-raw-text elements; a renderer then walks the tree, skips what is not visible (head, script, style, hidden attributes, display:none), and
-writes text with block spacing, list marks with nesting and numbers, and tables whose cells are aligned in columns.
-
-Defined results: null or empty html gives empty text; broken markup is read as far as it goes, stray ends are ignored; nesting of any
-depth works (no recursion); an extra column passes through.
+A scanner that never looks back feeds a tree builder that knows void elements, implied ends (a new <p>, <li>, <tr>, <td>, <option> ... closes
+what it must) and raw-text elements; a renderer then walks the tree, skips what is not visible, and writes text with block spacing, list
+marks with nesting and numbers, and tables whose cells are aligned in columns, spans included.
+
+Not visible: head, script, style, noscript, template, datalist and the contents of embedded media; `hidden` attributes, display:none,
+visibility:hidden (until a descendant is visible again), closed dialogs, all but the summary of closed details. What only hides from
+screen readers (aria-hidden) is visible, as are options, text areas, formulas and the text of drawings; an image shows its alt text.
+
+Defined results: null or empty html gives empty text; broken markup is read as browsers do (a tag that never ends is dropped), stray ends
+are ignored; nesting of any depth works (no recursion), but lists indent 16 levels at most, tables nested deeper than 8 are not laid
+out, columns beyond 256 are not aligned, nor tables whose padding would exceed four times their text; an extra column passes through,
+an own `text` column is replaced. Time and memory are linear in the page.
 """
 
 from __future__ import annotations
@@ -19,100 +25,201 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import read_table, slices
+from cuemill.llm.common import read_table, released, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+BETWEEN = re.compile(r"[\s/]*")
+KEY = re.compile(r"=?[^\s/>=]*")
+BLANKS = re.compile(r"\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
+LONG_REFERENCE = re.compile(r"&#(?:0*([0-9]{8,})|[xX]0*([0-9a-fA-F]{7,}));?")
+ZEROS = re.compile(r"(&#[xX]?)0{8,}")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp".split())
-UNSEEN = frozenset("head script style title noscript template iframe object svg math select datalist audio video canvas textarea meta link".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table ul caption tr thead tbody tfoot td th".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure article section header footer".split())
-_P = frozenset(["p"])
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+UNSEEN = frozenset("head script style title noscript template iframe object datalist audio video canvas meta link noembed noframes desc defs metadata annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search section summary table textarea ul caption tr thead tbody tfoot td th xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure article section header footer xmp".split())
+CELLS, GROUPS = frozenset(["td", "th"]), frozenset(["thead", "tbody", "tfoot", "colgroup", "form"])
 #: A start tag closes open elements of these names, up to the nearest boundary.
-CLOSES = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "tr": (frozenset(["tr", "td", "th", "caption"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "option": (frozenset(["option"]), frozenset(["select"])), "body": (frozenset(["head"]), frozenset())} | {t: (frozenset(["tr", "td", "th", "thead", "tbody", "tfoot", "caption"]), frozenset(["table"])) for t in ("thead", "tbody", "tfoot")}
-_BARRIER = frozenset(["table", "td", "th", "caption", "button", "object"])
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, set())} | {t: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")}
+BARRIER = ("table", "td", "th", "caption", "button", "object")
+#: A block closes an open paragraph unless one of these stands between.
+SHELTER = (*BARRIER, "li", "div", "article", "section")
+FREE = frozenset([*BARRIER, "tr", "tbody", "thead", "tfoot", "html", "body"])
 SPACE = re.compile(r"[ \t\n\r\f]+")
+INDENT, TABLES, COLUMNS, PADDING, SPARE = 16, 8, 256, 4, 1 << 12
 
 
 class Node:
     __slots__ = ("name", "attributes", "children")
 
-    def __init__(self, name: str, attributes: str = ""):
+    def __init__(self, name: str, attributes: dict[str, str] | None = None):
         self.name, self.attributes = name, attributes
         self.children: list[Node | str] = []
 
 
-def parse(source: str) -> Node:
-    root = Node("#root")
-    stack = [root]
-    at, end = 0, len(source)
-    while at < end:
-        m = TOKEN.search(source, at)
-        text = source[at : m.start()] if m else source[at:]
+def unescaped(text: str) -> str:
+    """Character references as characters; numbers that name none, however long, are replacement characters."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = LONG_REFERENCE.sub("\ufffd", ZEROS.sub(r"\g<1>0", text))
+    return entities.unescape(text)
+
+
+def scan_tag(source: str, at: int) -> tuple[int, dict[str, str] | None, bool]:
+    """From behind a tag's name: the place behind the tag (-1 if it never ends), its attributes, whether it closes itself."""
+    found: dict[str, str] | None = None
+    end = len(source)
+    while True:
+        start = at
+        at = BETWEEN.match(source, at).end()
+        if at >= end:
+            return -1, None, False
+        if source[at] == ">":
+            return at + 1, found, at > start and source[at - 1] == "/"
+        m = KEY.match(source, at)
+        key, at = m[0].lower(), m.end()
+        value, behind = "", BLANKS.match(source, at).end()
+        if behind < end and source[behind] == "=":
+            at = BLANKS.match(source, behind + 1).end()
+            if at < end and source[at] in "\"'":
+                stop = source.find(source[at], at + 1)
+                if stop < 0:
+                    return -1, None, False
+                value, at = source[at + 1 : stop], stop + 1
+            else:
+                m = UNQUOTED.match(source, at)
+                value, at = m[0], m.end()
+        if found is None:
+            found = {}
+        found.setdefault(key, value)
+
+
+class Builder:
+    """The stack of open elements, with the places of each name in it."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root")
+        self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().name].pop()
+
+    def text(self, text: str) -> None:
         if text:
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in _BARRIER and name not in _BARRIER and name not in ("tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
-            continue
+            self.stack[-1].children.append(unescaped(text))
+
+    def end(self, name: str) -> None:
+        place = self.last((name,))
+        if place and (name in FREE or place > self.last(BARRIER)):
+            self.cut(place)
+
+    def start(self, node: Node, closed: bool) -> None:
+        name = node.name
         rule = CLOSES.get(name)
         if rule:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in rule[1]:
-                    break
-                if stack[k].name in rule[0]:
-                    cut = k
-                    while cut > 1 and stack[cut - 1].name in rule[0]:
-                        cut -= 1
-                    del stack[cut:]
-                    break
+            place = self.last(rule[0])
+            if place > self.last(rule[1]):
+                while place > 1 and self.stack[place - 1].name in rule[0]:
+                    place -= 1
+                self.cut(place)
         if name in BLOCK and name not in ("html", "body"):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in _BARRIER or stack[k].name in ("li", "div", "article", "section"):
-                    break
-        node = Node(name, m[3])
-        stack[-1].children.append(node)
-        if name in VOID or m[3].endswith("/") and name in ("svg", "path"):
+            place = self.last(("p",))
+            if place > self.last(SHELTER):
+                self.cut(place)
+        self.stack[-1].children.append(node)
+        if name not in VOID and name not in RAW and not (closed and (self.places.get("svg") or self.places.get("math") or name in ("svg", "math"))):
+            self.push(node)
+
+
+def parse(source: str) -> Node:
+    tree = Builder()
+    at, end, begin = 0, len(source), 0
+    ends: dict[str, re.Pattern] = {}
+    while True:
+        at = source.find("<", at)
+        if at < 0 or at + 1 >= end:
+            tree.text(source[begin:])
+            return tree.root
+        sign = source[at + 1]
+        if sign == "!" or sign == "?" or sign == "/" and not NAME.match(source, at + 2):
+            tree.text(source[begin:at])
+            mark, skip = ("-->", 4) if source.startswith("<!--", at) else (">", 2)
+            stop = source.find(mark, at + skip)
+            if stop < 0:
+                return tree.root
+            begin = at = stop + len(mark)
             continue
+        m = NAME.match(source, at + 1 + (sign == "/"))
+        if not m:
+            at += 1
+            continue
+        tree.text(source[begin:at])
+        begin, attributes, closed = scan_tag(source, m.end())
+        if begin < 0:
+            return tree.root
+        at, name = begin, m[0].lower()
+        if sign == "/":
+            if name in ("br", "p") and not tree.places.get(name):
+                name == "br" and tree.start(Node("br"), False)
+            else:
+                tree.end(name)
+            continue
+        node = Node(name, attributes)
+        tree.start(node, closed)
         if name in RAW:
-            close = re.compile("</" + re.escape(name) + r"[\s/>]", re.I).search(source, at)
+            if name not in ends:
+                ends[name] = re.compile("</" + name + r"(?=[\s/>])", re.I)
+            close = ends[name].search(source, at)
             stop = close.start() if close else end
             if name == "textarea":
+                node.children.append(unescaped(source[at:stop]))
+            elif name == "xmp":
                 node.children.append(source[at:stop])
-            at = stop
+            begin = at = stop
             if close:
-                after = source.find(">", stop)
-                at = after + 1 if after >= 0 else end
-            continue
-        stack.append(node)
-    return root
+                begin = at = scan_tag(source, close.end())[0]
+                if at < 0:
+                    return tree.root
+
+
+def style(node: Node) -> dict[str, str]:
+    found = {}
+    for part in re.sub(r"/\*.*?(?:\*/|\Z)", " ", node.attributes.get("style", ""), flags=re.S).lower().split(";"):
+        key, _, value = part.partition(":")
+        found[key.strip()] = value.replace("!important", "").strip()
+    return found
 
 
-def hidden(node: Node) -> bool:
+def shown(node: Node, visible: bool) -> bool | None:
+    """Whether text in a node is visible, from its parent's; None where nothing below can be."""
     if node.name in UNSEEN:
-        return True
+        return None
     a = node.attributes
-    if not a or ("hidden" not in (low := a.lower()) and "display" not in low and "visibility" not in low):
-        return node.name == "dialog"
-    for key, value in ATTRIBUTE.findall(a):
-        key, value = key.lower(), value.strip("\"'").lower().replace(" ", "")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "type" and value == "hidden" or key == "style" and ("display:none" in value or "visibility:hidden" in value):
-            return True
-    return False
+    if node.name == "dialog" and not (a and "open" in a):
+        return None
+    if a:
+        if "hidden" in a:
+            return None
+        if "style" in a:
+            rules = style(node)
+            if rules.get("display") == "none":
+                return None
+            if rules.get("visibility") in ("hidden", "collapse"):
+                return False
+            if rules.get("visibility") == "visible":
+                return True
+    return visible
 
 
 class Lines:
@@ -122,6 +229,18 @@ class Lines:
         self.done: list[str] = []
         self.now: list[str] = []
         self.blank = True  # nothing, or a space, stands before
+        self.marks = 0  # list marks that wait for their text
+
+    def mark(self, indent: str, mark: str) -> None:
+        self.now += [mark] if self.marks else [indent + mark]
+        self.marks += 1
+        self.blank = True
+
+    def item_end(self) -> None:
+        if self.marks:  # an item without text
+            self.now.pop()
+            self.marks -= 1
+        self.end()
 
     def text(self, s: str) -> None:
         s = SPACE.sub(" ", s)
@@ -129,7 +248,7 @@ class Lines:
             s = s.lstrip(" ")
         if s:
             self.now.append(s)
-            self.blank = s[-1] == " "
+            self.blank, self.marks = s[-1] == " ", 0
 
     def fixed(self, s: str) -> None:
         for k, line in enumerate(s.split("\n")):
@@ -137,9 +256,11 @@ class Lines:
                 self.end(force=True)
             if line:
                 self.now.append(line)
-                self.blank = False
+                self.blank, self.marks = False, 0
 
     def end(self, force: bool = False) -> None:
+        if self.marks:
+            return
         line = "".join(self.now).rstrip(" ")
         if line or force:
             self.done.append(line)
@@ -147,118 +268,180 @@ class Lines:
 
     def gap(self) -> None:
         self.end()
-        if self.done and self.done[-1]:
+        if self.done and not self.marks and self.done[-1]:
             self.done.append("")
 
-    def result(self) -> str:
+    def result(self) -> list[str]:
+        self.marks = 0
         self.end()
-        while self.done and not self.done[-1]:
-            self.done.pop()
-        while self.done and not self.done[0]:
-            self.done.pop(0)
-        return "\n".join(self.done)
-
-
-def _grid(rows: list[list[str]]) -> list[str]:
-    """Cells padded to the width of their column; a cell of several lines spans as many lines."""
-    width: list[int] = []
-    split = [[c.split("\n") for c in row] for row in rows]
-    for row in split:
-        for k, cell in enumerate(row):
-            w = max(map(len, cell))
-            if k == len(width):
-                width.append(w)
-            width[k] = max(width[k], w)
-    out = []
-    for row in split:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(width[k]) for k, cell in enumerate(row)).rstrip())
-    return out
+        first, last = 0, len(self.done)
+        while first < last and not self.done[first]:
+            first += 1
+        while last > first and not self.done[last - 1]:
+            last -= 1
+        return self.done[first:last]
+
+
+def span(node: Node, name: str, most: int) -> int:
+    value = (node.attributes or {}).get(name, "").strip()
+    return min(most, max(1, int(value))) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+
+
+class Table:
+    """Cells by row, each with its first column; columns that a cell of an earlier row reaches down to are passed over."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, int, Lines]]] = []
+        self.taken: dict[int, int] = {}  # the last row that a cell from above takes, by column
+        self.at = 0
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.at = 0
+
+    def cell(self, node: Node) -> Lines:
+        if not self.rows:
+            self.row()
+        here = len(self.rows) - 1
+        while self.at < COLUMNS and self.taken.get(self.at, -1) >= here:
+            self.at += 1
+        wide, high = span(node, "colspan", 1000), span(node, "rowspan", 65534)
+        lines = Lines()
+        self.rows[-1].append((self.at, wide, lines))
+        if high > 1:
+            for c in range(self.at, min(self.at + wide, COLUMNS)):
+                self.taken[c] = here + high - 1
+        self.at += wide
+        return lines
+
+    def lines(self) -> list[str]:
+        rows = [[(a, w, c.result()) for a, w, c in row] for row in self.rows]
+        columns = sorted({a for row in rows for a, _, _ in row if a < COLUMNS})
+        index = {a: i for i, a in enumerate(columns)}
+        width = [0] * len(columns)
+        size, spans = 0, []
+        for row in rows:
+            for a, w, cell in row:
+                size += sum(map(len, cell))
+                if a in index:
+                    inside = 1
+                    while inside < w and index[a] + inside < len(columns) and columns[index[a] + inside] < a + w:
+                        inside += 1
+                    most = max(map(len, cell), default=0)
+                    if inside == 1:
+                        width[index[a]] = max(width[index[a]], most)
+                    else:
+                        spans.append((index[a], inside, most))
+        for i, n, most in spans:  # what does not fit widens the last column
+            width[i + n - 1] += max(0, most - sum(width[i : i + n]) - 2 * (n - 1))
+        starts = [0]
+        for w in width:
+            starts.append(starts[-1] + w + 2)
+        tall = [max((len(c) for _, _, c in row), default=0) for row in rows]
+        reach = [max((starts[index[a]] for a, _, c in row if a in index), default=0) for row in rows]
+        aligned = sum(t * r for t, r in zip(tall, reach)) <= PADDING * size + SPARE
+        out = []
+        for row, height in zip(rows, tall):
+            for i in range(height):
+                line, long = [], 0
+                for k, (a, _, cell) in enumerate(row):
+                    pad = max(2 * (k > 0 and long > 0), starts[index[a]] - long if a in index and aligned else 0)
+                    text = cell[i] if i < len(cell) else ""
+                    if text:
+                        line += [" " * pad, text]
+                        long += pad + len(text)
+                out.append("".join(line))
+        return out
 
 
 def render(root: Node) -> str:
     """Visible text. A stack of steps stands for recursion; cells of tables render into their own lines."""
     out = Lines()
-    steps: list[tuple] = [("node", root, out, (), False)]
+    # what to do, with what, where to write, the list around it, preformatted, visible, tables around it
+    steps: list[tuple] = [("node", root, out, None, False, True, 0)]
     while steps:
-        kind, item, into, lists, pre = steps.pop()
+        kind, item, into, around, pre, visible, deep = steps.pop()
         if kind == "call":
             item()
             continue
         if isinstance(item, str):
-            (into.fixed if pre else into.text)(item)
+            if visible:
+                (into.fixed if pre else into.text)(item)
             continue
-        node = item
-        if node.name != "#root" and hidden(node):
+        node, name = item, item.name
+        visible = shown(node, visible)
+        if visible is None:
             continue
-        name = node.name
         if name == "br":
             into.end(force=True)
             continue
         if name == "hr":
             into.gap()
             continue
+        if name == "wbr":
+            continue
         if name == "img":
-            for key, value in ATTRIBUTE.findall(node.attributes):
-                if key.lower() == "alt" and value.strip("\"'"):
-                    into.text(entities.unescape(value.strip("\"'")))
+            if visible and node.attributes and node.attributes.get("alt"):
+                into.text(unescaped(node.attributes["alt"]))
             continue
-        if name == "table":
+        if name == "table" and deep < TABLES:
             into.gap()
-            rows: list[list[Lines]] = []
+            table = Table()
             inner: list[tuple] = []
-            todo: list[Node | str] = list(reversed(node.children))
-            captions: list[tuple] = []
+            outer: list[tuple] = []
+            todo: list[tuple[Node | str, bool]] = [(x, visible) for x in reversed(node.children)]
             while todo:
-                x = todo.pop()
+                x, seen = todo.pop()
                 if isinstance(x, str):
                     if x.strip():
-                        captions.append(("node", x, into, lists, False))
-                elif hidden(x):
+                        outer.append(("node", x, into, around, False, seen, deep))
+                    continue
+                own = shown(x, seen)
+                if own is None:
                     continue
-                elif x.name in ("thead", "tbody", "tfoot", "colgroup", "form"):
-                    todo.extend(reversed(x.children))
-                elif x.name == "tr":
-                    rows.append([])
-                    todo.extend(reversed(x.children))
-                elif x.name in ("td", "th"):
-                    if not rows:
-                        rows.append([])
-                    rows[-1].append(cell := Lines())
-                    inner += [("node", c, cell, (), False) for c in x.children]
+                if x.name in GROUPS or x.name == "tr":
+                    if x.name == "tr":
+                        table.row()
+                    todo.extend((c, own) for c in reversed(x.children))
+                elif x.name in CELLS:
+                    cell = table.cell(x)
+                    inner += [("node", c, cell, None, False, own, deep + 1) for c in x.children]
                 else:
-                    captions.append(("node", x, into, lists, False))
+                    outer.append(("node", x, into, around, False, seen, deep))
 
-            def write(rows: list[list[Lines]] = rows, into: Lines = into) -> None:
+            def write(table: Table = table, into: Lines = into) -> None:
                 into.end()
-                for line in _grid([[c.result() for c in row] for row in rows]):
-                    into.fixed(line)
-                    into.end(force=True)
+                into.done += table.lines()
                 into.gap()
 
-            steps.append(("call", write, into, lists, pre))
-            steps.extend(reversed(captions + inner))
+            steps.append(("call", write, into, around, pre, visible, deep))
+            steps.extend(reversed(outer + inner))
             continue
-        block = name in BLOCK
-        if name in SPACED and not (name in ("ul", "ol") and lists):
+        spaced = name in SPACED and not (name in ("ul", "ol") and around)
+        if spaced:
             into.gap()
-        elif block:
+        elif name in BLOCK:
             into.end()
-        inside = lists
+        inside = around
         if name in ("ul", "ol", "menu"):
-            inside = (*lists, [name, 0])
+            first = span(node, "start", 99999) if name == "ol" else 1
+            inside = [name, first - 1, 1 + (around[2] if around else 0)]
         elif name == "li":
             mark = "- "
-            if lists:
-                lists[-1][1] += 1
-                mark = f"{lists[-1][1]}. " if lists[-1][0] == "ol" else "- "
-            into.now.append("  " * (len(lists) - 1) + mark)
-            into.blank = True
-        if block or name in SPACED:
-            spaced = name in SPACED and not (name in ("ul", "ol") and lists)
-            steps.append(("call", into.gap if spaced else into.end, into, lists, pre))
-        steps.extend(("node", c, into, inside, pre or name == "pre") for c in reversed(node.children))
-    return out.result()
+            if around:
+                around[1] += 1
+                mark = f"{around[1]}. " if around[0] == "ol" else "- "
+            if visible:
+                into.mark("  " * min(INDENT, around[2] - 1 if around else 0), mark)
+        if name in BLOCK or spaced:
+            steps.append(("call", into.gap if spaced else into.item_end if name == "li" and visible else into.end, into, around, pre, visible, deep))
+        children = node.children
+        if name == "details" and not (node.attributes and "open" in node.attributes):
+            children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
+        if name in ("pre", "textarea") and children and isinstance(children[0], str) and children[0].startswith("\n"):
+            children = [children[0][1:], *children[1:]]
+        steps.extend(("node", c, into, inside, pre or name in ("pre", "textarea", "xmp"), visible, deep) for c in reversed(children))
+    return "\n".join(out.result())
 
 
 def extract(source: str | None) -> str:
@@ -275,7 +458,7 @@ def extract_text(pages: DataFrame, html: str = "html", into: str = "text") -> Da
             texts = pa.array([extract(s) for s in part.column(html).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), texts], names=[*(f.name for f in fields), into])
 
-    return kept.mapInArrow(run, T.StructType([*fields, T.StructField(into, T.StringType(), False)]))
+    return kept.mapInArrow(released(run), T.StructType([*fields, T.StructField(into, T.StringType(), False)]))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
