@@ -35,8 +35,8 @@ NONE = "\x00none"
 def form_topic(text: Column, tokens: Column) -> Column:
     """empty; figures (a tenth of the characters or more are digits); lines (a line end for every ten tokens or more); short, medium, long."""
     t = F.coalesce(text, F.lit(""))
-    digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
-    ends = F.length(t) - F.length(F.translate(t, "\n", ""))
+    digits = F.regexp_count(t, F.lit("[0-9]"))
+    ends = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     return (
         F.when(tokens == 0, "empty")
         .when(10 * digits >= F.length(t), "figures")

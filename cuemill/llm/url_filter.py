@@ -1,42 +1,33 @@
 """URL filters: host and path rules, then logistic regression on hashed character n-grams of host and path.
 
-Main path of built-in functions only. The model is trained on a small labelled table of host and path pairs (at most `TRAIN_ROWS`
-rows, checked): the same expressions hash its n-grams, and gradient steps on the driver fit the weights, which enter the plan as one
-array literal. Scoring is a narrow projection that reads the url column alone.
+Main path of built-in functions only. The model is trained on a small labelled table of URLs (at most `TRAIN_ROWS` rows, checked), by
+default the one that ships with the module: the same expressions hash its n-grams, digits counting as one character, and gradient steps on
+the driver fit the weights, which enter the plan as one array literal. Scoring is a narrow projection that reads the url column alone.
 
 Defined results: a null url, or one without `://`, has empty host and path, fits no rule and is judged by the method; repeated rows
-repeat; other columns are not read.
+repeat; other columns pass through, but for own ones named host, path, rule, verdict and bad_probability, which are replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.llm import labelled_urls as table
 from cuemill.llm.common import read_table
 
 #: Bound of the labelled table, number of weights, n-gram lengths, and the probability from which the method blocks.
 TRAIN_ROWS, WEIGHTS, GRAMS, THRESHOLD = 10_000, 4096, (3, 4), 0.5
 #: verdict, host suffix, path prefix
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-_BAD = "adult casino bets poker spam farm porn viagra pills loan xxx jackpot escort crack warez torrent slots lottery".split()
-_TAIL = "win x free online best hot".split()
-_GOOD = "news blog docs wiki school library museum health city garden science recipes history weather forum sports music travel".split()
-_PLACES = "www m blog shop the".split()
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small table that ships with the module: host, path, bad (0 or 1), composed from two word lists."""
-    rows = []
-    for i, (bad, good) in enumerate(zip(_BAD, _GOOD)):
-        tail, place = _TAIL[i % len(_TAIL)], _PLACES[i % len(_PLACES)]
-        end, lang = ["com", "net", "org"][i % 3], ["en", "de", "fr", "es"][i % 4]
-        rows += [(f"{bad}-{tail}.example.{end}", f"/{lang}/{i * 37}", 1), (f"{place}.{tail}-{bad}.site.{end}", f"/{lang}/{i * 53}.html", 1), (f"{place}.{bad}{tail}.{end}", f"/{bad}/{i}", 1)]
-        rows += [(f"{good}.example.{end}", f"/{lang}/{i * 41}", 0), (f"{place}.{good}.site.{end}", f"/{lang}/{i * 59}.html", 0), (f"{place}.th{good}er.{end}", f"/{good}/{i}/", 0)]
-    return spark.createDataFrame(rows, "host string, path string, bad int")
+def labelled_urls(spark: SparkSession, rows: dict[int, str] = table.LABELLED) -> DataFrame:
+    """url, bad (0 or 1), host, path of a labelled table."""
+    return with_parts(spark.createDataFrame(table.rows(rows), "url string, bad int"))
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -62,7 +53,8 @@ def rule_columns(rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]
 
 def _grams(name: str, n: int) -> Column:
     """Slots of the n-grams, built from the array of characters in linear time however long the text is."""
-    chars = F.split(F.concat(F.lit("^"), F.col(name), F.lit("$")), "")
+    plain = F.translate(name, "0123456789", "0000000000")
+    chars = F.split(F.concat(F.lit("^"), plain, F.lit("$")), "")
     grams = chars
     for k in range(2, n + 1):
         grams = F.zip_with(grams, F.slice(chars, k, F.size(chars)), lambda x, y: F.concat(x, y))
@@ -74,26 +66,28 @@ def slots() -> Column:
     return F.concat(*[_grams(name, n) for name in ("host", "path") for n in GRAMS])
 
 
-def fit(labelled: DataFrame, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> list[float]:
-    """WEIGHTS weights and the bias; features are slot counts over the number of n-grams' root."""
+def fit(labelled: DataFrame, steps: int = 400, rate: float = 0.3, decay: float = 2e-4) -> list[float]:
+    """WEIGHTS weights and the bias of a regularised logistic regression; features are slot counts over the number of n-grams' root."""
     rows = labelled.filter("bad is not null").select("bad", slots().alias("s")).limit(TRAIN_ROWS + 1).collect()
     if len(rows) > TRAIN_ROWS:
         raise ValueError(f"the labelled table is meant to be small: at most {TRAIN_ROWS} rows")
-    data = sorted((r["bad"], r["s"]) for r in rows)
-    w, b = [0.0] * WEIGHTS, 0.0
-    for t in range(steps):
-        g, gb = {}, 0.0
-        for bad, s in data:
-            k = 1 / math.sqrt(max(1, len(s)))
-            e = 1 / (1 + math.exp(-max(-30.0, min(30.0, b + k * sum(w[j] for j in s))))) - bad
-            gb += e
-            for j in s:
-                g[j] = g.get(j, 0.0) + e * k
-        step = rate * 8 / max(1, len(data)) ** 0.5 / (1 + t / 100)
-        b -= step * gb * 0.1
-        for j, x in g.items():
-            w[j] -= step * (x + decay * w[j])
-    return [*w, b]
+    if not rows:
+        return [0.0] * (WEIGHTS + 1)
+    rows = sorted((r["bad"], r["s"]) for r in rows)
+    y = np.array([bad for bad, _ in rows], float)
+    own = np.repeat(np.arange(len(rows)), [len(s) for _, s in rows])
+    slot = np.concatenate([np.array(s, np.int64) for _, s in rows])
+    each = 1 / np.sqrt(np.maximum(1, np.bincount(own, minlength=len(rows))))[own]
+    w, b = np.zeros(WEIGHTS), 0.0
+    m, v = np.zeros(WEIGHTS + 1), np.zeros(WEIGHTS + 1)
+    for t in range(1, steps + 1):  # Adam
+        z = b + np.bincount(own, weights=w[slot] * each, minlength=len(rows))
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
+        g = np.append(np.bincount(slot, weights=e[own] * each, minlength=WEIGHTS) + decay * w, e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = rate * min(1.0, 2 * (1 - t / (steps + 1))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return [*w.tolist(), float(b)]
 
 
 def probability(model: list[float]) -> Column:
@@ -106,7 +100,7 @@ def probability(model: list[float]) -> Column:
 def judge(pages: DataFrame, model: list[float], rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages (page_id, url) with host, path, rule, bad_probability and verdict."""
     rule, verdict = rule_columns(rules)
-    parts = with_parts(pages).withColumn("__slots", slots()).withColumn("bad_probability", probability(model)).drop("__slots")
+    parts = with_parts(pages.drop("rule", "verdict", "bad_probability")).withColumn("__slots", slots()).withColumn("bad_probability", probability(model)).drop("__slots")
     return parts.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("bad_probability") >= THRESHOLD, "block").otherwise("allow")))
 
 
