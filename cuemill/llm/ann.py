@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import cut_lineage, read_table
+from cuemill.llm.common import bounded_batches, cut_lineage, read_table, released
 from cuemill.llm.topk import usable
 
 SAMPLE, CENTROIDS, REPLICAS, SHARD = 20_000, 4096, 8, 2048
@@ -205,6 +205,7 @@ def fit(rows: DataFrame, n_rows: int, k: int, sample: int = SAMPLE) -> tuple[Cen
 def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found; rows (vec_id, v), queries (query_id, q): array<float>."""
     schema = "query_id long, rank int, vec_id long, score double"
+    bounded_batches(rows.sparkSession)
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None:
         return rows.sparkSession.createDataFrame([], schema)
@@ -220,7 +221,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, sh
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(first), batch.column("vec_id").take(pick), batch.column("v").take(pick)], names=["list", "first", "vec_id", "v"])
 
-    postings = cut_lineage(rows.select("vec_id", "v").mapInArrow(post, "list int, first boolean, vec_id long, v array<float>"))
+    postings = cut_lineage(rows.select("vec_id", "v").mapInArrow(released(post), "list int, first boolean, vec_id long, v array<float>"))
     counts = postings.groupBy("list").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("long")).alias("own")).collect()  # a row for each centroid
     own, shards = np.zeros(len(graph.value.c), np.int64), np.ones(len(graph.value.c), np.int64)
     for r in counts:
@@ -233,7 +234,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, sh
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(shards[lists], pa.int32()), batch.column("query_id").take(pick), batch.column("q").take(pick)], names=["list", "shards", "query_id", "q"])
 
-    opened = queries.mapInArrow(ask, "list int, shards int, query_id long, q array<float>").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    opened = queries.mapInArrow(released(ask), "list int, shards int, query_id long, q array<float>").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     of = F.element_at(F.lit([int(s) for s in shards]), F.col("list") + 1)
     dealt = postings.withColumn("shard", F.pmod(F.xxhash64("vec_id"), of).cast("int"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import read_table, released, slices
+from cuemill.llm.common import bounded_batches, read_table, released, slices
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -244,6 +244,7 @@ def loaded(kind: type, path: str) -> object:
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids") -> DataFrame:
     """docs with the array<int> column `into`; a column of that name is replaced. Narrow: no shuffle."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -253,13 +254,14 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "to
             ids, ends = bpe.encode(part.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
-        bpe._reset()
+        _LOADED.clear()  # the worker lives on
 
     return docs.mapInArrow(released(run, 4), schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """docs with the string column `into`; a null list decodes to empty text."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StringType(), False)])
 

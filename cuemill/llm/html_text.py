@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import read_table, released, slices
+from cuemill.llm.common import bounded_batches, read_table, released, slices
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 BETWEEN = re.compile(r"[\s/]*")
@@ -450,6 +450,7 @@ def extract(source: str | None) -> str:
 
 def extract_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """pages with the visible text in `into` in place of the html column. Narrow."""
+    bounded_batches(pages.sparkSession)
     kept = pages.drop(into)
     fields = [f for f in kept.schema.fields if f.name != html]
 

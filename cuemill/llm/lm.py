@@ -1,20 +1,23 @@
 """LM scoring with a probabilistic suffix tree.
 
-A text is scored as the byte string of its tokens (words parted by one space, an end mark last), so the model's probability is one of the
-token sequence. Contexts of up to `DEPTH` bytes are counted over all training texts. A context is a candidate if it makes up `SHARE`
-of all training symbols, which bounds the tree by DEPTH / SHARE nodes at any corpus size; it is retained if its next-symbol
-distribution diverges from its suffix's by more than the description length of its own parameters, or if a retained context extends
-it. Distributions are smoothed towards the suffix's (Witten-Bell), and scoring walks the automaton of longest retained suffixes.
+A text is scored as the byte string of its tokens (each followed by a space, the last by an end mark), so the model's probability is one of
+the token sequence. All contexts of up to `DEPTH` bytes are counted over all training texts. A context that was seen `LEAST` times is
+retained if its next-symbol distribution diverges from its suffix's by more than the description length of its own parameters, or if a
+retained context extends it; the tree so grows with the corpus. Distributions are smoothed towards the suffix's (Witten-Bell), and each
+symbol is scored by the longest suffix state of its context.
 
-The unigram base counts every training word: words travel as 64-bit hashes, once for each batch, to the bucket that counts them, and
-the counts return to their batch; nothing is collected but the bounded tree.
+The tree is never gathered. It is cut at contexts of `ROOTS` bytes: what stands above them is bounded by 256 ** ROOTS distributions (checked)
+and sent to all workers; every subtree below is built in the bucket of its root. Texts are packed into batches of about `BATCH_BYTES`;
+a batch sends its distinct (context, symbol) codes, with training counts, to the buckets and gets their log-probabilities back, rounded
+to 1 / `STEPS`. Words travel in the same way for the unigram base, as 64-bit hashes.
 
 Defined results: a null or empty text is the end token alone; a null id hashes as empty text; repeated rows repeat; without training
-texts all counts are 0.
+texts all counts are 0; columns other than doc_id and text are not read. A text longer than a batch is a batch of its own, read in pieces.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterable, Iterator
 
@@ -27,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.llm.bpe import spread
-from cuemill.llm.common import LOWER, crc_bucket, cut_lineage, read_table, shuffle_width, slices, text_bytes, word_hashes
+from cuemill.llm.common import LOWER, bounded_batches, crc_bucket, cut_lineage, read_table, release, released, slices, text_bytes, word_hashes
 
-DEPTH, SHARE = 6, 1e-5
-END, SPACE, PIECE, BATCH_BYTES = 10, 32, 1024, 2 << 20
+DEPTH, ROOTS, LEAST = 6, 2, 50
+END, SPACE, PIECE_BYTES, BATCH_BYTES = 10, 32, 1 << 20, 8 << 20
+#: Log-probabilities travel as whole numbers of 1 / STEPS.
+STEPS = 4096
 END_HASH = np.uint64(0x5EED0E4D)
 
 
@@ -42,8 +47,8 @@ def unpacked(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-def token_stream(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row as DEPTH end marks, its words parted by spaces, an end mark; and the n + 1 offsets."""
+def token_stream(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row as DEPTH end marks, its words with a space after each, an end mark in place of the last space; and the n + 1 offsets."""
     words = np.diff(at)
     cum = np.concatenate(([0], np.cumsum(lengths)))
     size = DEPTH + np.maximum(words, 1) + cum[at[1:]] - cum[at[:-1]]
@@ -71,75 +76,182 @@ def gram_codes(stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return code[scored]
 
 
+def coded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of all rows, and the row of each, some `limit` symbols at a time; a long row goes on from piece to piece."""
+    cum = np.concatenate(([0], np.cumsum(lengths + 1)))
+    rows = len(at) - 1
+    a = 0
+    while a < rows:
+        b = max(a + 1, int(np.searchsorted(cum[at], cum[at[a]] + limit, "right")) - 1)
+        b = min(b, rows, a + limit)
+        if b > a + 1 or cum[at[b]] - cum[at[a]] <= 2 * limit:
+            stream, ends = token_stream(data, starts[at[a] : at[b]], lengths[at[a] : at[b]], at[a : b + 1] - at[a])
+            yield gram_codes(stream, ends), np.repeat(np.arange(a, b), np.diff(ends) - DEPTH)
+        else:
+            before, i = np.full(DEPTH, END, np.uint8), at[a]
+            while i < at[b]:
+                j = min(max(i + 1, int(np.searchsorted(cum, cum[i] + limit, "right")) - 1), at[b])
+                stream, ends = token_stream(data, starts[i:j], lengths[i:j], np.array([0, j - i]))
+                stream[:DEPTH] = before
+                if j < at[b]:
+                    stream[-1] = SPACE
+                yield gram_codes(stream, ends), np.full(len(stream) - DEPTH, a)
+                before, i = stream[-DEPTH:].copy(), j
+        a = b
+
+
 def shorter(code: np.ndarray, depth: int) -> np.ndarray:
     """Codes cut to a context of `depth` bytes."""
     return (code >> np.uint64(8 * (DEPTH + 1 - depth))) << np.uint64(8) | (code & np.uint64(255))
 
 
-def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def parent(code: np.ndarray) -> np.ndarray:
+    """Cut codes without the oldest byte of their context."""
+    return (code >> np.uint64(16)) << np.uint64(8) | (code & np.uint64(255))
+
+
+def summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and their counts."""
+    if not len(code):
+        return code, count
     order = np.argsort(code, kind="stable")
     code, count = code[order], count[order]
-    cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else np.zeros(0, np.int64)
-    return code[cuts], np.add.reduceat(count, cuts) if len(cuts) else count
+    cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[cuts], np.add.reduceat(count, cuts)
 
 
-def _spread_bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+def spread_bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _gathered(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows by kind: docs (of a batch), words (of a batch and bucket), grams (of a bucket and depth), total."""
+def root_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a code's subtree: its root is the context of ROOTS + 1 bytes."""
+    return spread_bucket(code >> np.uint64(8 * (DEPTH - ROOTS)), buckets)
+
+
+def known_codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of a batch and their counts in training rows."""
+    codes, counts = [], []
+    for code, row in coded(data, starts, lengths, at):
+        learned = train[row]
+        u, n = np.unique(code[learned], return_counts=True)
+        other = np.unique(code[~learned])
+        codes += [u, other]
+        counts += [n.astype(np.int64), np.zeros(len(other), np.int64)]
+        if len(codes) > 16:
+            codes, counts = ([x] for x in summed(np.concatenate(codes), np.concatenate(counts)))
+    return summed(np.concatenate(codes), np.concatenate(counts)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+class Level:
+    """The (context, symbol) pairs of one depth in order, with smoothed probabilities, and those of the longest retained suffix."""
+
+    def __init__(self, code: np.ndarray, count: np.ndarray, up: Level | None):
+        self.code = code
+        if up is None:
+            self.smooth = self.used = (count + 1.0) / (count.sum() + 256.0)
+            self.retained = 1
+            return
+        place = np.searchsorted(up.code, parent(code))
+        smooth, used = up.smooth[place], up.used[place]
+        context = code >> np.uint64(8)
+        cuts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(code) else np.zeros(0, np.int64)
+        if not len(cuts):
+            self.smooth, self.used, self.retained = smooth, used, 0
+            return
+        per = np.diff(np.append(cuts, len(code)))
+        each = lambda x: np.repeat(np.add.reduceat(x, cuts), per)
+        n, kinds = each(count), each((count > 0).astype(np.int64))
+        enough = n >= LEAST
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = each(np.where(count > 0, count * np.log(count / n / smooth), 0.0))
+        kept = enough & (gain > 0.5 * kinds * np.log(n + 1.0))
+        self.smooth = np.where(enough, (count + kinds * smooth) / np.maximum(n + kinds, 1), smooth)
+        self.used = np.where(kept, self.smooth, used)
+        self.retained = int(kept[cuts].sum())
+
+
+def above_roots(code: np.ndarray, count: np.ndarray) -> Level:
+    """The tree down to contexts of ROOTS bytes, from the counts of (context of ROOTS bytes, symbol)."""
+    level = None
+    cut = [(code, count)]
+    for _ in range(ROOTS):
+        cut.append(summed(parent(cut[-1][0]), cut[-1][1]))
+    for c, n in reversed(cut):
+        level = Level(c, n, level)
+    return level
+
+
+def below_roots(code: np.ndarray, count: np.ndarray, level: Level) -> np.ndarray:
+    """The probability of each of a bucket's distinct codes."""
+    for depth in range(ROOTS + 1, DEPTH + 1):
+        level = Level(*summed(shorter(code, depth), count), level)
+    return level.used
+
+
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """Batches of rows (id, none, held, text): name, bytes, payload."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, made = TaskContext.get().partitionId(), 0
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
-        symbols = 0
+        home, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def rows(kind: str, name: str, items: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(items)), pa.array([name] * len(items)), pa.array([b for b, _ in items], pa.int32()), pa.array([p for _, p in items], pa.binary())], names=["kind", "batch", "bucket", "payload"])
+        def flush() -> pa.RecordBatch:
+            data, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            ids, none, back = (np.concatenate([h[j] for h in held]) for j in (2, 3, 4))
+            payload = pickle.dumps((zstandard.ZstdCompressor(level=3).compress(data.tobytes()), n, ids, none, back))
+            return pa.RecordBatch.from_arrays([pa.array([f"{home}.{made}"]), pa.array([len(data)], pa.int64()), pa.array([payload], pa.binary())], names=["batch", "bytes", "payload"])
 
-        for part in slices(batches, "text", BATCH_BYTES):
+        for part in slices(batches):
             data, offsets = text_bytes(part.column("text"))
-            hashes, starts, lengths, at = word_hashes(data, offsets)
-            train = ~part.column("held").to_numpy(zero_copy_only=False).astype(bool)
-            n = len(train)
-            stream, ends = token_stream(data, offsets, starts, lengths, at)
-            sizes = np.diff(ends)[train]
-            code = gram_codes(stream[spread(ends[:-1][train], sizes)], np.concatenate(([0], np.cumsum(sizes))))
-            symbols += len(code)
-            step = 1 << 20
-            for i in range(0, len(code), step):
-                grams.append(np.unique(code[i : i + step], return_counts=True))
-            if len(grams) >= 8:
-                grams = [_summed(np.concatenate([g for g, _ in grams]), np.concatenate([c for _, c in grams]))]
-            # words, and an end token in each row
-            doc = np.concatenate((np.repeat(np.arange(n), np.diff(at)), np.arange(n)))
-            word, index = np.unique(np.concatenate((hashes, np.full(n, END_HASH))), return_inverse=True)
-            bucket = _spread_bucket(word, buckets)
-            dealt = np.argsort(bucket, kind="stable")
-            place = np.empty(len(word), np.int64)
-            place[dealt] = np.arange(len(word))
-            pair, times = np.unique(doc * len(word) + place[index], return_counts=True)
-            learned = np.bincount(place[index], weights=train[doc], minlength=len(word)).astype(np.int64)
-            word, bucket = word[dealt], bucket[dealt]
-            name = f"{home}.{made}"
-            made += 1
-            doc_of, entry = pair // max(1, len(word)), pair % max(1, len(word))
-            yield rows("docs", name, [(-1, packed({"id": part.column("__id").to_numpy(zero_copy_only=False), "key": part.column("__text").to_numpy(zero_copy_only=False), "per": np.bincount(doc_of, minlength=n).astype(np.int32), "entry": entry.astype(np.int32), "times": times.astype(np.int32), "tokens": np.diff(at) + 1}))])
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-            yield rows("words", name, [(int(bucket[a]), packed((word[a:b], learned[a:b]))) for a, b in zip(cuts, cuts[1:])])
-        if grams:
-            code, count = _summed(np.concatenate([g for g, _ in grams]), np.concatenate([c for _, c in grams]).astype(np.int64))
-            for depth in range(DEPTH, -1, -1):
-                c, k = _summed(shorter(code, depth), count)
-                bucket = _spread_bucket(c >> np.uint64(8), buckets)
-                order = np.argsort(bucket, kind="stable")
-                c, k, bucket = c[order], k[order], bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-                yield rows("grams", str(depth), [(int(bucket[a]), packed((c[a:b], k[a:b]))) for a, b in zip(cuts, cuts[1:])])
-        yield rows("total", "", [(0, packed(symbols))])
-
-    return docs.mapInArrow(run, "kind string, batch string, bucket int, payload binary")
+            if held and size + len(data) > BATCH_BYTES:
+                yield flush()
+                held, size, made = [], 0, made + 1
+            held.append((data, np.diff(offsets), *(part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "none", "held"))))
+            size += len(data)
+        if held:
+            yield flush()
+
+    return docs.mapInArrow(released(run, 1), "batch string, bytes long, payload binary")
+
+
+def _opened(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, n, ids, none, held = pickle.loads(payload)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return data, np.concatenate(([0], np.cumsum(n))), ids, none.astype(bool), held.astype(bool)
+
+
+def _in_buckets(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order by bucket, and each bucket's stretch of it."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, [(b, slice(int(cuts[b]), int(cuts[b + 1]))) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+
+
+def _gathered(batches: DataFrame, buckets: int) -> DataFrame:
+    """Rows by kind: words and grams (of a batch and bucket), top (of a batch)."""
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows:
+            for name, payload in zip(some.column("batch").to_pylist(), some.column("payload")):
+                data, offsets, _, _, held = _opened(payload.as_buffer())
+                hashes, starts, lengths, at = word_hashes(data, offsets)
+                n = len(held)
+                out = []
+                word, back = np.unique(np.concatenate((hashes, np.full(n, END_HASH))), return_inverse=True)
+                learned = np.bincount(back, weights=np.concatenate((np.repeat(~held, np.diff(at)), ~held)), minlength=len(word)).astype(np.int64)
+                del back, hashes
+                order, cuts = _in_buckets(spread_bucket(word, buckets), buckets)
+                word, learned = word[order], learned[order]
+                out += [("words", b, packed((word[s], learned[s]))) for b, s in cuts]
+                code, count = known_codes(data, starts, lengths, at, ~held)
+                out.append(("top", 0, packed(summed(shorter(code, ROOTS), count))))
+                order, cuts = _in_buckets(root_bucket(code, buckets), buckets)
+                code, count = code[order], count[order]
+                out += [("grams", b, packed((np.diff(code[s], prepend=np.uint64(0)), count[s].astype(np.int32)))) for b, s in cuts]
+                kind, bucket, payloads = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array([name] * len(out)), pa.array(bucket, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "batch", "bucket", "payload"])
+
+    return batches.select("batch", "payload").mapInArrow(released(run, 1), "kind string, batch string, bucket int, payload binary")
 
 
 def _count_words(frame: pd.DataFrame) -> pd.DataFrame:
@@ -153,96 +265,65 @@ def _count_words(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, pd.DataFrame({"kind": ["stat"], "batch": [""], "bucket": [0], "payload": [b""], "tokens": [int(total.sum())], "types": [int((total > 0).sum())]})])
 
 
-def _base_sums(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("bucket")
-    docs = unpacked(frame["payload"].iloc[0])
-    count = np.concatenate([unpacked(x) for x in frame["payload"].iloc[1:]])[docs["entry"]]
-    row = np.repeat(np.arange(len(docs["per"])), docs["per"])
-    log = np.bincount(row, weights=docs["times"] * np.log10(count + 1.0), minlength=len(docs["per"]))
-    known = np.bincount(row, weights=docs["times"] * (count > 0), minlength=len(docs["per"])).astype(np.int64)
-    return pd.DataFrame({"__id": docs["id"], "__text": docs["key"], "n_tokens": docs["tokens"], "n_known": known, "log_sum": log})
+def _sum_tops(frame: pd.DataFrame) -> pd.DataFrame:
+    code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for x in frame["payload"]:
+        c, n = unpacked(x)
+        code, count = summed(np.concatenate((code, c)), np.concatenate((count, n)))
+    return pd.DataFrame({"payload": [packed((code, count))]})
 
 
-def _frequent(least: float):
-    """Contexts with at least `least` symbols, as (depth, context, symbols, counts)."""
+def _answers(top: Level):
+    """The rounded log-probability of each batch's codes, from the subtrees of a bucket."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(x) for x in frame["payload"]]
-        code, count = _summed(np.concatenate([c for c, _ in parts]), np.concatenate([k for _, k in parts]))
-        context = code >> np.uint64(8)
-        cuts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        enough = np.add.reduceat(count, cuts) >= least
-        stops = np.append(cuts[1:], len(code))
-        keep = [(int(context[a]), (code[a:b] & np.uint64(255)).astype(np.uint8).tobytes(), count[a:b].tolist()) for a, b in zip(cuts[enough], stops[enough])]
-        # object columns, since a bucket may keep no context
-        return pd.DataFrame({"depth": pd.Series(int(frame["batch"].iloc[0]), range(len(keep)), "int32"), "context": pd.Series([c for c, _, _ in keep], dtype="int64"), "symbols": pd.Series([s for _, s, _ in keep], dtype=object), "counts": pd.Series([k for _, _, k in keep], dtype=object)})
+        parts = [np.cumsum(unpacked(x)[0], dtype=np.uint64) for x in frame["payload"]]
+        code, back = np.unique(np.concatenate(parts), return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate([unpacked(x)[1] for x in frame["payload"]]), minlength=len(code)).astype(np.int64)
+        p = below_roots(code, count, top)
+        steps = np.minimum(np.rint(-np.log10(p) * STEPS), 2**16 - 1).astype(np.uint16)[back]
+        split = np.split(steps, np.cumsum([len(c) for c in parts])[:-1])
+        out = pd.DataFrame({"kind": "answers", "batch": frame["batch"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "payload": [packed(s) for s in split]})
+        del parts, code, back, count, p, steps, split
+        release()
+        return out
 
     return run
 
 
-class SuffixTree:
-    """The retained contexts (bytes, oldest first) with log10 distributions, and the automaton over them and their prefixes."""
-
-    def __init__(self, contexts: dict[bytes, tuple[np.ndarray, np.ndarray]]):
-        root_symbols, root_counts = contexts.get(b"", (np.zeros(0, np.uint8), np.zeros(0)))
-        root = np.ones(256)
-        root[root_symbols] += root_counts
-        p = {b"": root / root.sum()}
-        kept, own_p = {b""}, {b"": p[b""]}
-        before: dict[bytes, np.ndarray] = p
-        for depth in range(1, DEPTH + 1):
-            now: dict[bytes, np.ndarray] = {}
-            for s in (s for s in contexts if len(s) == depth and s[1:] in before):
-                symbols, counts = contexts[s]
-                parent = before[s[1:]]
-                gain = float((counts * np.log(counts / counts.sum() / parent[symbols])).sum())
-                full = len(symbols) * parent
-                full[symbols] += counts
-                now[s] = full / full.sum()
-                if gain > 0.5 * len(symbols) * np.log(counts.sum() + 1):
-                    kept.add(s)
-                    own_p[s] = now[s]
-            before = now
-        kept.update([s[i:] for s in kept for i in range(len(s))])
-        states = kept | {s[:i] for s in kept for i in range(len(s))}
-        order = sorted(states, key=lambda s: (len(s), s))
-        self.retained = len(kept)
-        self.state = {s: k for k, s in enumerate(order)}
-        grown: dict[bytes, list[tuple[int, int]]] = {}
-        for s in order[1:]:
-            grown.setdefault(s[:-1], []).append((s[-1], self.state[s]))
-        self.next = np.zeros((len(order), 256), np.int32)
-        self.log = np.zeros((len(order), 256), np.float32)
-        for k, s in enumerate(order):  # by length, so what a state falls back to is final
-            if s:
-                up = self.state[next(s[i:] for i in range(1, len(s) + 1) if s[i:] in self.state)]
-                self.next[k], self.log[k] = self.next[up], self.log[up]
-            if s in own_p:
-                self.log[k] = np.log10(own_p[s])
-            for a, to in grown.get(s, ()):
-                self.next[k, a] = to
-
-    def scores(self, stream: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """log10 probability of each row of a token stream; long rows are walked in pieces side by side."""
-        size = np.diff(ends) - DEPTH
-        pieces = np.maximum(1, -(-size // PIECE))
-        row = np.repeat(np.arange(len(size)), pieces)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = ends[row] + k * PIECE
-        length = np.minimum(PIECE, size[row] - k * PIECE)
-        order = np.argsort(-length, kind="stable")
-        row, start, length = row[order], start[order], length[order]
-        state, total = np.zeros(len(row), np.int64), np.zeros(len(row))
-        next_, log = self.next.ravel(), self.log.ravel()
-        for t in range(DEPTH):
-            state = next_[state * 256 + stream[start + t]].astype(np.int64)
-        live = np.searchsorted(-length, -np.arange(1, PIECE + 1), "right")
-        for t in range(int(length[0]) if len(length) else 0):
-            n = live[t]
-            at = state[:n] * 256 + stream[start[:n] + DEPTH + t]
-            total[:n] += log[at]
-            state[:n] = next_[at]
-        return np.bincount(row, weights=total, minlength=len(size))
+def _scored(buckets: int, tokens: int, types: int):
+    """A batch's scores, from its texts and what came back for its words and codes."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        of = {k: f.sort_values("bucket")["payload"] for k, f in frame.groupby("kind")}
+        data, offsets, ids, none, held = _opened(of["docs"].iloc[0])
+        hashes, starts, lengths, at = word_hashes(data, offsets)
+        rows = len(held)
+        owner = np.concatenate((np.repeat(np.arange(rows), np.diff(at)), np.arange(rows)))
+        word, back = np.unique(np.concatenate((hashes, np.full(rows, END_HASH))), return_inverse=True)
+        order, _ = _in_buckets(spread_bucket(word, buckets), buckets)
+        counts = np.empty(len(word), np.int64)
+        counts[order] = np.concatenate([unpacked(x) for x in of["counts"]])
+        base = np.bincount(owner, weights=np.log10(counts + 1.0)[back], minlength=rows)
+        known = np.bincount(owner, weights=(counts > 0)[back], minlength=rows).astype(np.int64)
+        del owner, back, hashes, counts
+        code, _ = known_codes(data, starts, lengths, at, np.zeros(rows, bool))
+        order, _ = _in_buckets(root_bucket(code, buckets), buckets)
+        steps = np.empty(len(code), np.uint16)
+        steps[order] = np.concatenate([unpacked(x) for x in of["answers"]])
+        total = np.zeros(rows)
+        for c, row in coded(data, starts, lengths, at):
+            u, back = np.unique(c, return_inverse=True)
+            found = steps[np.searchsorted(code, u)].astype(np.int64)
+            total += np.bincount(row, weights=found[back], minlength=rows)
+        n = np.diff(at) + 1
+        out = {"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base - n * math.log10(tokens + types + 1.0), "score": -total / STEPS}
+        out["doc_id"][none] = pd.NA
+        del data, code, steps, c, row, u, back
+        release()
+        return pd.DataFrame(out)
+
+    return run
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,38 +333,23 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of docs (doc_id, text); crc32(doc_id) mod 7 = 2 is held out."""
     spark = docs.sparkSession
-    buckets = 2 * shuffle_width(spark)
-    held = crc_bucket("doc_id", 7) == 2
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("__id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("none"))
-    gathered = cut_lineage(_gathered(keyed.drop("none"), buckets))
-    symbols = sum(unpacked(r["payload"]) for r in gathered.filter("kind = 'total'").select("payload").toLocalIterator())
-    schema = "kind string, batch string, bucket int, payload binary, tokens long, types long"
-    counted = cut_lineage(gathered.filter("kind = 'words'").groupBy("bucket").applyInPandas(_count_words, schema))
+    bounded_batches(spark)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), (crc_bucket("doc_id", 7) == 2).alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    batches = cut_lineage(_packed_texts(keyed))
+    size = batches.agg(F.sum("bytes")).first()[0]
+    if size is None:
+        return spark.createDataFrame([], schema)
+    buckets = max(1, math.ceil(size / BATCH_BYTES))
+    gathered = cut_lineage(_gathered(batches, buckets))
+    counted = cut_lineage(gathered.filter("kind = 'words'").groupBy("bucket").applyInPandas(_count_words, "kind string, batch string, bucket int, payload binary, tokens long, types long"))
     tokens, types = counted.filter("kind = 'stat'").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    back = gathered.filter("kind = 'docs'").unionByName(counted.filter("kind = 'counts'").select("kind", "batch", "bucket", "payload"))
-    base = back.groupBy("batch").applyInPandas(_base_sums, "__id long, __text long, n_tokens long, n_known long, log_sum double")
-    found = gathered.filter("kind = 'grams'").groupBy("batch", "bucket").applyInPandas(_frequent(SHARE * symbols), "depth int, context long, symbols binary, counts array<long>")
-    contexts = {}
-    for r in found.toLocalIterator():  # at most (DEPTH + 1) / SHARE contexts
-        # the byte before the symbol stands highest in a code
-        contexts[int(r["context"]).to_bytes(8, "big")[8 - r["depth"] :][::-1]] = (np.frombuffer(r["symbols"], np.uint8), np.array(r["counts"], float))
-    tree = spark.sparkContext.broadcast(SuffixTree(contexts))
-
-    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            data, offsets = text_bytes(part.column("text"))
-            _, starts, lengths, at = word_hashes(data, offsets)
-            got = tree.value.scores(*token_stream(data, offsets, starts, lengths, at))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("__id", "__text", "held", "none")), pa.array(got, pa.float64())], names=["__id", "__text", "held", "none", "score"])
-
-    scored = keyed.mapInArrow(walk, "__id long, __text long, held boolean, none boolean, score double")
-    out = scored.join(base.dropDuplicates(["__id", "__text"]), ["__id", "__text"])
-    return out.select(
-        F.when(~F.col("none"), F.col("__id")).alias("doc_id"),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("log_sum") - F.col("n_tokens") * F.log10(F.lit(float(tokens + types + 1)))).alias("base_score"),
-        "score",
-    )
+    tops = gathered.filter("kind = 'top'").groupBy(F.pmod(F.xxhash64("batch"), F.lit(max(1, math.ceil(math.sqrt(buckets))))).alias("part")).applyInPandas(_sum_tops, "payload binary")
+    code, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for r in tops.toLocalIterator():  # at most 256 ** (ROOTS + 1) pairs each
+        c, n = unpacked(r["payload"])
+        code, count = summed(np.concatenate((code, c)), np.concatenate((count, n)))
+    answers = gathered.filter("kind = 'grams'").groupBy("bucket").applyInPandas(_answers(above_roots(code, count)), "kind string, batch string, bucket int, payload binary")
+    texts = batches.select(F.lit("docs").alias("kind"), "batch", F.lit(-1).alias("bucket"), "payload")
+    back = texts.unionByName(counted.filter("kind = 'counts'").select("kind", "batch", "bucket", "payload")).unionByName(answers)
+    return back.groupBy("batch").applyInPandas(_scored(buckets, int(tokens), int(types)), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import cut_lineage, mix64, read_table, released, slices, text_bytes, word_hashes
+from cuemill.llm.common import bounded_batches, cut_lineage, mix64, read_table, released, slices, text_bytes, word_hashes
 
 #: Bands and rows of a band: a pair at 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -262,6 +262,7 @@ def _apart(active: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, stars: tuple[int, ...] = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     rows = cut_lineage(sketch_rows(docs, k))
     known = rows.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("cls", "r.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import BLANK, SLICE_BYTES, crc_bucket, mix64, read_table, released, slices, text_bytes, word_hashes
+from cuemill.llm.common import BLANK, SLICE_BYTES, bounded_batches, crc_bucket, mix64, read_table, released, slices, text_bytes, word_hashes
 
 #: Rows of either kind that fitting reads, as expected.
 SAMPLE = 20_000
@@ -108,6 +108,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, docs: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
+        bounded_batches(docs.sparkSession)
         docs = docs.drop(into)
         schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType(), False)])
 
@@ -188,6 +189,7 @@ def drawn(ids: DataFrame, n: int, sample: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
     """Learns from documents whose crc32(doc_id) mod 5 is not 0; `sample` bounds the rows of either kind."""
+    bounded_batches(docs.sparkSession)
     train = (crc_bucket("doc_id", 5) != 0) & F.col("doc_id").isNotNull()
     positive = labels.filter(train & (F.col("quality") == 1)).select("doc_id").distinct()
     ones, n = positive.count(), docs.filter(train).count()

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import BLANK, SLICE_BYTES, byte_weights, cut_lineage, mix64, read_table, release, released, shuffle_width, slices, text_bytes
+from cuemill.llm.common import BLANK, SLICE_BYTES, bounded_batches, byte_weights, cut_lineage, mix64, read_table, release, released, shuffle_width, slices, text_bytes
 
 #: Anchors of a shard, and contexts that one step of the edge check holds; an anchor with more contexts goes by windows.
 SHARD_ANCHORS, EDGE_CONTEXTS = 1 << 15, 2048
@@ -270,7 +270,11 @@ class Shard:
             yield int(self.bucket[a]), transform(self.strings[a:b]), self.counts[a:b]
 
 
-def _shards(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+#: What a pass reads of a batch of documents (__id, __text, text): all of it, or what this makes of it.
+View = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def _shards(docs: DataFrame, length: int, buckets: int, view: View | None) -> DataFrame:
     """Rows of runs (bucket >= 0, with their number of strings) and of the places of their entries (bucket -1), by shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +291,7 @@ def _shards(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f"{home}.{made}"] * len(out)), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary())))], names=["shard", "bucket", "n", "payload"])
 
         for part in slices(batches):
+            part = view(part) if view else part
             keys = np.stack([part.column("__id").to_numpy(zero_copy_only=False), part.column("__text").to_numpy(zero_copy_only=False)], 1)
             for shift, data, offsets in pieces(part, length - 1):
                 row, p, lo, hi, gram = anchors(data, offsets, length)
@@ -366,23 +371,24 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), ends[last].tolist()))
 
 
-def compressed(docs: DataFrame, text: str) -> DataFrame:
+def compressed(docs: DataFrame, text: str, view: View | None = None) -> DataFrame:
     """docs with the text as compressed bytes, for a shuffle."""
     schema = T.StructType([f if f.name != text else T.StructField(text, T.BinaryType()) for f in docs.schema.fields])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3).compress
         for part in slices(batches, text):
+            part = view(part) if view else part
             small = pa.array([None if t is None else zip_(t.encode()) for t in part.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([small if n == text else c for n, c in zip(part.schema.names, part.columns)], names=part.schema.names)
 
     return docs.mapInArrow(released(run), schema)
 
 
-def _contexts(docs: DataFrame, asks: DataFrame, length: int) -> DataFrame:
+def _contexts(docs: DataFrame, asks: DataFrame, length: int, view: View | None) -> DataFrame:
     """The bytes of the asked contexts, cut out of the texts."""
     wanted = asks.groupBy("__id", "__text").agg(F.collect_list(F.struct("gram", "p", "lo", "hi", "whole", "many")).alias("asks"))
-    rows = compressed(docs.select("__id", "__text", "text"), "text").join(wanted, ["__id", "__text"]).select("__id", "__text", "text", "asks")
+    rows = compressed(docs.select("__id", "__text", "text"), "text", view).join(wanted, ["__id", "__text"]).select("__id", "__text", "text", "asks")
     schema = "__id long, __text long, gram long, lo int, hi int, whole boolean, many boolean, bytes binary"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
 
@@ -468,11 +474,11 @@ def _frequent_spans(contexts: DataFrame, length: int) -> DataFrame:
     return windows.filter("not whole").join(again, ["window", "other"]).select("__id", "__text", "start", (F.col("start") + length).alias("stop"))
 
 
-def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS, hot: int = HOT_ENTRIES) -> DataFrame:
-    """__id, __text and the repeated spans (start, stop) of docs (__id, __text, text)."""
+def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS, hot: int = HOT_ENTRIES, view: View | None = None) -> DataFrame:
+    """__id, __text and the repeated spans (start, stop) of docs (__id, __text, text), as the view shows them."""
     docs = docs.select("__id", "__text", "text")
-    size = docs.filter(F.octet_length("text") >= length).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = cut_lineage(_shards(docs, length, max(1, math.ceil(size / BUCKET_BYTES))))
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = cut_lineage(_shards(docs, length, max(1, math.ceil(size / BUCKET_BYTES)), view))
     runs = shards.filter("bucket >= 0")
     ways = runs.groupBy("bucket").agg(F.ceil(F.sum("n") * 2 / hot).cast("int").alias("ways")).filter("ways > 2").collect()  # few: each has that many strings
     split = F.col("bucket").isin([r["bucket"] for r in ways])
@@ -486,7 +492,7 @@ def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS
     whole = found.filter("whole").select("__id", "__text", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     asks = found.filter("ask").dropDuplicates(["__id", "__text", "p", "lo"]).drop("ask")
     many = asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram", F.lit(True).alias("many"))
-    contexts = _contexts(docs, asks.join(many, "gram", "left").withColumn("many", F.coalesce("many", F.lit(False))), length)
+    contexts = _contexts(docs, asks.join(many, "gram", "left").withColumn("many", F.coalesce("many", F.lit(False))), length, view)
     parts = shuffle_width(docs.sparkSession)
     few = contexts.filter("not many").repartition(parts, "gram").sortWithinPartitions("gram")
     return whole.unionByName(_edge_spans(few, length)).unionByName(_frequent_spans(contexts.filter("many"), length))
@@ -529,39 +535,33 @@ def word_values(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return out
 
 
-def word_coded(docs: DataFrame) -> DataFrame:
-    """docs (__id, __text, text) with each word of the text as `CODE` characters and nothing between them."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            data, offsets = text_bytes(part.column("text"))
-            starts, stops, at = word_bounds(data, offsets)
-            value = word_values(data, starts, stops)
-            code = (value[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64) & np.uint64(63)).astype(np.uint8) + np.uint8(48)
-            texts = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(at.astype(np.int64) * CODE), pa.py_buffer(np.ascontiguousarray(code)))
-            yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), texts.cast(pa.string())], names=["__id", "__text", "text"])
-
-    return docs.mapInArrow(released(run), "__id long, __text long, text string")
+def word_coded(part: pa.RecordBatch) -> pa.RecordBatch:
+    """A view: each word of the text as `CODE` characters and nothing between them."""
+    data, offsets = text_bytes(part.column("text"))
+    starts, stops, at = word_bounds(data, offsets)
+    value = word_values(data, starts, stops)
+    code = (value[:, None] >> np.arange(0, 6 * CODE, 6, dtype=np.uint64) & np.uint64(63)).astype(np.uint8) + np.uint8(48)
+    texts = pa.LargeStringArray.from_buffers(part.num_rows, pa.py_buffer(at.astype(np.int64) * CODE), pa.py_buffer(np.ascontiguousarray(code)))
+    return pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), texts.cast(pa.string())], names=["__id", "__text", "text"])
 
 
-def with_long_words(docs: DataFrame, length: int, words: int) -> DataFrame:
-    """The docs (__id, __text, text) that have `length` bytes in a row with `words` whole words at most.
+def with_long_words(length: int, words: int) -> View:
+    """A view: the documents that have `length` bytes in a row with `words` whole words at most.
 
     A window's edges can cut a word in one document and not in another, so two words more pass.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            data, offsets = text_bytes(part.column("text"))
-            starts, stops, at = word_bounds(data, offsets)
-            row = np.concatenate((np.arange(part.num_rows), np.repeat(np.arange(part.num_rows), np.diff(at))))
-            first = np.concatenate((offsets[:-1], starts + 1))
-            end = np.concatenate((at[:-1], np.arange(len(starts)) + 1)) + words + 2  # the word that the window must not hold whole
-            stop = np.where(end < at[row + 1], np.append(stops, 0)[np.minimum(end, len(stops))], len(data) + length + 1)
-            some = np.bincount(row[(stop > first + length) & (first + length <= offsets[row + 1])], minlength=part.num_rows) > 0
-            yield part.filter(pa.array(some))
+    def view(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(part.column("text"))
+        starts, stops, at = word_bounds(data, offsets)
+        row = np.concatenate((np.arange(part.num_rows), np.repeat(np.arange(part.num_rows), np.diff(at))))
+        first = np.concatenate((offsets[:-1], starts + 1))
+        end = np.concatenate((at[:-1], np.arange(len(starts)) + 1)) + words + 2  # the word that the window must not hold whole
+        stop = np.where(end < at[row + 1], np.append(stops, 0)[np.minimum(end, len(stops))], len(data) + length + 1)
+        some = np.bincount(row[(stop > first + length) & (first + length <= offsets[row + 1])], minlength=part.num_rows) > 0
+        return part.filter(pa.array(some))
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return view
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", edge_limit: int = EDGE_CONTEXTS, words: int | None = None) -> DataFrame:
@@ -569,13 +569,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
 
     With `words`, passages of more than so many words go too, from their first word to their last.
     """
+    bounded_batches(docs.sparkSession)
     docs = keyed(docs.drop("repeats", "kept"), doc_id, text)
     plain_docs = docs.select("__id", "__text", F.coalesce(F.col(text), F.lit("")).alias("text"))
     if words is None:
         spans = repeated_spans(plain_docs, length, edge_limit).withColumn("unit", F.lit(1))
     else:  # what repeats over `length` bytes and has more words is found by its words
-        spans = repeated_spans(word_coded(plain_docs), (words + 1) * CODE, edge_limit).withColumn("unit", F.lit(CODE))
-        spans = spans.unionByName(repeated_spans(with_long_words(plain_docs, length, words), length, edge_limit).withColumn("unit", F.lit(1)))
+        spans = repeated_spans(plain_docs, (words + 1) * CODE, edge_limit, view=word_coded).withColumn("unit", F.lit(CODE))
+        spans = spans.unionByName(repeated_spans(plain_docs, length, edge_limit, view=with_long_words(length, words)).withColumn("unit", F.lit(1)))
     by_doc = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop", "unit")).alias("repeats"))
     texts = next(f for f in docs.schema.fields if f.name == text)
     joined = compressed(docs, text).join(by_doc, ["__id", "__text"], "left").drop("__id", "__text")

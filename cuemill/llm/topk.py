@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import cut_lineage, read_table, released
+from cuemill.llm.common import bounded_batches, cut_lineage, read_table, released
 
 #: Lists of a query, rows of a block, entries of a head, queries of a round, queries that a block works on at a time.
 LISTS, BLOCK, DEPTH, QUERIES, STEP = 4, 2048, 128, 4096, 256
@@ -178,6 +178,7 @@ def _by_dimension(table: pa.Table, *more: str) -> dict[int, tuple[np.ndarray, ..
 def search(rows: DataFrame, queries: DataFrame, k: int, lists: int = LISTS, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """query_id, rank, vec_id, score of the k highest inner products of rows (vec_id, v) with queries (query_id, q); v, q: array<long>."""
     sc = rows.sparkSession.sparkContext
+    bounded_batches(rows.sparkSession)
     queries = cut_lineage(queries.groupBy("query_id").agg(F.min("q").alias("q")))
     blocks = cut_lineage(packed_blocks(rows.select("vec_id", "v"), block))
     rounds = max(1, math.ceil(queries.count() / QUERIES))
