@@ -47,6 +47,22 @@ def unpacked(x: bytes) -> object:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+def squeezed(x: np.ndarray) -> bytes:
+    """An array with the bytes of equal weight together, compressed: neighbours that differ little leave long runs."""
+    turned = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros(0, np.uint8)
+    return x.dtype.str.encode().ljust(4) + zstandard.ZstdCompressor(level=1).compress(turned.tobytes())
+
+
+def unsqueezed(b: bytes) -> np.ndarray:
+    kind = np.dtype(b[:4].decode().strip())
+    turned = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4:]), np.uint8)
+    return np.ascontiguousarray(turned.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def rises(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.uint64(0))
+
+
 def token_stream(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row as DEPTH end marks, its words with a space after each, an end mark in place of the last space; and the n + 1 offsets."""
     words = np.diff(at)
@@ -129,18 +145,45 @@ def root_bucket(code: np.ndarray, buckets: int) -> np.ndarray:
     return spread_bucket(code >> np.uint64(8 * (DEPTH - ROOTS)), buckets)
 
 
-def known_codes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes of a batch and their counts in training rows."""
-    codes, counts = [], []
-    for code, row in coded(data, starts, lengths, at):
-        learned = train[row]
-        u, n = np.unique(code[learned], return_counts=True)
-        other = np.unique(code[~learned])
-        codes += [u, other]
-        counts += [n.astype(np.int64), np.zeros(len(other), np.int64)]
-        if len(codes) > 16:
-            codes, counts = ([x] for x in summed(np.concatenate(codes), np.concatenate(counts)))
-    return summed(np.concatenate(codes), np.concatenate(counts)) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def known_codes(pieces: Iterable[tuple[np.ndarray, np.ndarray]], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of a batch in order, and their counts in training rows."""
+    codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for code, row in pieces:
+        label, distinct = pd.factorize(code)
+        codes.append(distinct)
+        counts.append(np.bincount(label[train[row]], minlength=len(distinct)))
+        if len(codes) > 8:
+            label, distinct = pd.factorize(np.concatenate(codes))
+            codes, counts = [distinct], [np.bincount(label, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)]
+    label, distinct = pd.factorize(np.concatenate(codes))
+    count = np.bincount(label, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    order = np.argsort(distinct)
+    return distinct[order], count[order]
+
+
+class Looked:
+    """Codes of a batch piece by piece, kept as places among the batch's distinct codes."""
+
+    def __init__(self, pieces: Iterable[tuple[np.ndarray, np.ndarray]]):
+        self.rows, self.labels, found = [], [], []
+        for code, row in pieces:
+            label, distinct = pd.factorize(code)
+            self.labels.append(label.astype(np.int32))
+            self.rows.append(row.astype(np.int32))
+            found.append(distinct)
+        label, distinct = pd.factorize(np.concatenate([np.zeros(0, np.uint64), *found]))
+        order = np.argsort(distinct)
+        self.code = distinct[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.places = np.split(place[label], np.cumsum([len(f) for f in found])[:-1]) if found else []
+
+    def sums(self, value: np.ndarray, rows: int) -> np.ndarray:
+        """The sum of the values of each row's codes; value: whole numbers by code."""
+        total = np.zeros(rows)
+        for row, label, place in zip(self.rows, self.labels, self.places):
+            total += np.bincount(row, weights=value[place][label], minlength=rows)
+        return total
 
 
 class Level:
@@ -237,17 +280,19 @@ def _gathered(batches: DataFrame, buckets: int) -> DataFrame:
                 hashes, starts, lengths, at = word_hashes(data, offsets)
                 n = len(held)
                 out = []
-                word, back = np.unique(np.concatenate((hashes, np.full(n, END_HASH))), return_inverse=True)
-                learned = np.bincount(back, weights=np.concatenate((np.repeat(~held, np.diff(at)), ~held)), minlength=len(word)).astype(np.int64)
+                back, word = pd.factorize(np.concatenate((hashes, np.full(n, END_HASH))))
+                learned = np.bincount(back[np.concatenate((np.repeat(~held, np.diff(at)), ~held))], minlength=len(word))
                 del back, hashes
-                order, cuts = _in_buckets(spread_bucket(word, buckets), buckets)
+                order = np.argsort(word)
                 word, learned = word[order], learned[order]
-                out += [("words", b, packed((word[s], learned[s]))) for b, s in cuts]
-                code, count = known_codes(data, starts, lengths, at, ~held)
+                order, cuts = _in_buckets(spread_bucket(word, buckets), buckets)
+                word, learned = word[order], learned[order].astype(np.int32)
+                out += [("words", b, pickle.dumps((squeezed(rises(word[s])), squeezed(learned[s])))) for b, s in cuts]
+                code, count = known_codes(coded(data, starts, lengths, at), ~held)
                 out.append(("top", 0, packed(summed(shorter(code, ROOTS), count))))
                 order, cuts = _in_buckets(root_bucket(code, buckets), buckets)
-                code, count = code[order], count[order]
-                out += [("grams", b, packed((np.diff(code[s], prepend=np.uint64(0)), count[s].astype(np.int32)))) for b, s in cuts]
+                code, count = code[order], count[order].astype(np.int32)
+                out += [("grams", b, pickle.dumps((squeezed(rises(code[s])), squeezed(count[s])))) for b, s in cuts]
                 kind, bucket, payloads = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array([name] * len(out)), pa.array(bucket, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "batch", "bucket", "payload"])
 
@@ -256,12 +301,11 @@ def _gathered(batches: DataFrame, buckets: int) -> DataFrame:
 
 def _count_words(frame: pd.DataFrame) -> pd.DataFrame:
     """The training count of each batch's words, and the bucket's tokens and types."""
-    parts = [unpacked(x) for x in frame["payload"]]
-    word, count = np.concatenate([w for w, _ in parts]), np.concatenate([c for _, c in parts])
-    _, back = np.unique(word, return_inverse=True)
-    total = np.bincount(back, weights=count).astype(np.int64)
+    parts = [(np.cumsum(unsqueezed(w), dtype=np.uint64), unsqueezed(c)) for w, c in map(pickle.loads, frame["payload"])]
+    back, _ = pd.factorize(np.concatenate([w for w, _ in parts]))
+    total = np.bincount(back, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
     split = np.split(total[back], np.cumsum([len(w) for w, _ in parts])[:-1])
-    out = pd.DataFrame({"kind": "counts", "batch": frame["batch"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "payload": [packed(s) for s in split], "tokens": 0, "types": 0})
+    out = pd.DataFrame({"kind": "counts", "batch": frame["batch"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "payload": [squeezed(s) for s in split], "tokens": 0, "types": 0})
     return pd.concat([out, pd.DataFrame({"kind": ["stat"], "batch": [""], "bucket": [0], "payload": [b""], "tokens": [int(total.sum())], "types": [int((total > 0).sum())]})])
 
 
@@ -277,14 +321,16 @@ def _answers(top: Level):
     """The rounded log-probability of each batch's codes, from the subtrees of a bucket."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.cumsum(unpacked(x)[0], dtype=np.uint64) for x in frame["payload"]]
-        code, back = np.unique(np.concatenate(parts), return_inverse=True)
-        count = np.bincount(back, weights=np.concatenate([unpacked(x)[1] for x in frame["payload"]]), minlength=len(code)).astype(np.int64)
-        p = below_roots(code, count, top)
+        parts, counts = zip(*[(np.cumsum(unsqueezed(c), dtype=np.uint64), unsqueezed(n)) for c, n in map(pickle.loads, frame["payload"])])
+        back, code = pd.factorize(np.concatenate(parts))
+        count = np.bincount(back, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+        order = np.argsort(code)
+        p = np.empty(len(code))
+        p[order] = below_roots(code[order], count[order], top)
         steps = np.minimum(np.rint(-np.log10(p) * STEPS), 2**16 - 1).astype(np.uint16)[back]
         split = np.split(steps, np.cumsum([len(c) for c in parts])[:-1])
-        out = pd.DataFrame({"kind": "answers", "batch": frame["batch"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "payload": [packed(s) for s in split]})
-        del parts, code, back, count, p, steps, split
+        out = pd.DataFrame({"kind": "answers", "batch": frame["batch"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "payload": [squeezed(s) for s in split]})
+        del parts, counts, order, code, back, count, p, steps, split
         release()
         return out
 
@@ -300,26 +346,23 @@ def _scored(buckets: int, tokens: int, types: int):
         hashes, starts, lengths, at = word_hashes(data, offsets)
         rows = len(held)
         owner = np.concatenate((np.repeat(np.arange(rows), np.diff(at)), np.arange(rows)))
-        word, back = np.unique(np.concatenate((hashes, np.full(rows, END_HASH))), return_inverse=True)
-        order, _ = _in_buckets(spread_bucket(word, buckets), buckets)
+        back, word = pd.factorize(np.concatenate((hashes, np.full(rows, END_HASH))))
+        order = np.argsort(word)
+        order = order[_in_buckets(spread_bucket(word[order], buckets), buckets)[0]]
         counts = np.empty(len(word), np.int64)
-        counts[order] = np.concatenate([unpacked(x) for x in of["counts"]])
+        counts[order] = np.concatenate([unsqueezed(x) for x in of["counts"]])
         base = np.bincount(owner, weights=np.log10(counts + 1.0)[back], minlength=rows)
         known = np.bincount(owner, weights=(counts > 0)[back], minlength=rows).astype(np.int64)
-        del owner, back, hashes, counts
-        code, _ = known_codes(data, starts, lengths, at, np.zeros(rows, bool))
-        order, _ = _in_buckets(root_bucket(code, buckets), buckets)
-        steps = np.empty(len(code), np.uint16)
-        steps[order] = np.concatenate([unpacked(x) for x in of["answers"]])
-        total = np.zeros(rows)
-        for c, row in coded(data, starts, lengths, at):
-            u, back = np.unique(c, return_inverse=True)
-            found = steps[np.searchsorted(code, u)].astype(np.int64)
-            total += np.bincount(row, weights=found[back], minlength=rows)
+        del owner, back, hashes, counts, word
+        looked = Looked(coded(data, starts, lengths, at))
+        order, _ = _in_buckets(root_bucket(looked.code, buckets), buckets)
+        steps = np.empty(len(looked.code), np.uint16)
+        steps[order] = np.concatenate([unsqueezed(x) for x in of["answers"]])
+        total = looked.sums(steps, rows)
         n = np.diff(at) + 1
         out = {"doc_id": pd.array(ids, "Int64"), "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": np.full(rows, tokens), "base_score": base - n * math.log10(tokens + types + 1.0), "score": -total / STEPS}
         out["doc_id"][none] = pd.NA
-        del data, code, steps, c, row, u, back
+        del data, looked, steps, order
         release()
         return pd.DataFrame(out)
 

@@ -95,6 +95,12 @@ def test_scores_are_those_of_a_plain_tree(spark, monkeypatch):
         assert math.isclose(r.score, want, rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("kind", [np.uint64, np.int32, np.uint16, np.int64])
+def test_squeezed_arrays_come_back(kind):
+    x = np.random.default_rng(1).integers(0, 2**15, 1000).astype(kind)
+    assert (lm.unsqueezed(lm.squeezed(x)) == x).all() and len(lm.unsqueezed(lm.squeezed(x[:0]))) == 0
+
+
 def test_distributions_sum_to_one():
     codes = np.array([(c << 8) | a for c in (5, 9) for a in range(256)], np.uint64)
     count = np.random.default_rng(0).integers(0, 60, 512) * (np.arange(512) % 3 == 0)
@@ -108,7 +114,7 @@ def test_tree_grows_with_the_corpus():
     vocabulary = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(5000)]
     kept = []  # a corpus whose vocabulary is not used up
     for n in (20_000, 160_000):
-        code, count = lm.known_codes(*laid_out([" ".join(rng.choice(vocabulary, n))]), np.ones(1, bool))
+        code, count = lm.known_codes(lm.coded(*laid_out([" ".join(rng.choice(vocabulary, n))])), np.ones(1, bool))
         level = lm.above_roots(*lm.summed(lm.shorter(code, lm.ROOTS), count))
         retained = 0
         for depth in range(lm.ROOTS + 1, lm.DEPTH + 1):
