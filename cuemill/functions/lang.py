@@ -119,24 +119,43 @@ def fold_accents(text: Column, language: str, protected: Column | None = None) -
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(kept, "")).otherwise(text)
 
 
-def stopword_rows(spark, stopwords: dict[str, str] = STOPWORDS) -> DataFrame:
-    """language, word and an integer weight: 12 over the number of lists that hold the word (at most 4 do)."""
+def word_weights(stopwords: dict[str, str] = STOPWORDS) -> dict[str, int]:
+    """12 over the number of lists that hold a word (for the default lists a whole number: at most 4 do)."""
     held: dict[str, int] = {}
     for words in stopwords.values():
         for w in set(words.split()):
             held[w] = held.get(w, 0) + 1
-    return spark.createDataFrame([(k, w, 12 // held[w]) for k, ws in stopwords.items() for w in dict.fromkeys(ws.split())], "language string, word string, weight int")
+    return {w: 12 // n for w, n in held.items()}
 
 
-def detect(docs: DataFrame, key: str, text: str, stopwords: dict[str, str] = STOPWORDS, floor: int = 6) -> DataFrame:
-    """key, language, best and second (in twelfths): null unless the best score reaches the floor and 1.4 times the second.
+def stopword_rows(spark, stopwords: dict[str, str] = STOPWORDS) -> DataFrame:
+    """language, word and weight."""
+    weight = word_weights(stopwords)
+    return spark.createDataFrame([(k, w, weight[w]) for k, ws in stopwords.items() for w in dict.fromkeys(ws.split())], "language string, word string, weight int")
+
+
+def detected(docs: DataFrame, text: str, stopwords: dict[str, str] = STOPWORDS, floor: int = 6) -> DataFrame:
+    """docs with language, best and second (in twelfths): null unless the best score reaches the floor and 1.4 times the second.
 
-    The stopword table is fixed and small, so it is broadcast before the words meet it; only hits are shuffled.
+    The stopword table is fixed and small, so each row counts its own hits by hashed sets of literals: no join, no shuffle.
     """
-    words = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(text, "</?i>", "")), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
-    hits = words.join(F.broadcast(stopword_rows(docs.sparkSession, stopwords)), "word")
-    scores = hits.groupBy(key, "language").agg(F.sum("weight").alias("score"))
-    top = scores.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("score", "language")), asc=False).alias("s"))
-    best, second = F.col("s")[0]["score"], F.coalesce(F.try_element_at("s", F.lit(2))["score"], F.lit(0))
-    found = top.select(key, F.when((best >= 12 * floor) & (10 * best >= 14 * second), F.col("s")[0]["language"]).alias("language"), best.alias("best"), second.alias("second"))
-    return docs.select(key).join(found, key, "left").select(key, "language", F.coalesce("best", F.lit(0)).alias("best"), F.coalesce("second", F.lit(0)).alias("second"))
+    weight = word_weights(stopwords)
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "</?i>", "")), F.lit(r"(\p{L}+)"), F.lit(1))
+    hits = F.filter(words, lambda w: w.isin(list(weight)))
+
+    def score(language: str) -> Column:
+        own = dict.fromkeys(stopwords[language].split())
+        kinds = sorted({weight[w] for w in own})
+        each = lambda w: F.coalesce(*[F.when(w.isin([x for x in own if weight[x] == k]), k) for k in kinds], F.lit(0))
+        return F.aggregate("__hits", F.lit(0).cast("long"), lambda s, w: s + each(w))
+
+    scored = F.array(*[F.struct(score(k).alias("score"), F.lit(k).alias("language")) for k in stopwords])
+    ranked = docs.withColumn("__hits", hits).withColumn("__s", F.sort_array(F.filter(scored, lambda s: s["score"] > 0), asc=False))
+    best, second = (F.coalesce(F.try_element_at("__s", F.lit(i))["score"], F.lit(0)) for i in (1, 2))
+    name = F.when((best >= 12 * floor) & (10 * best >= 14 * second), F.col("__s")[0]["language"])
+    return ranked.withColumns({"language": name, "best": best, "second": second}).drop("__hits", "__s")
+
+
+def detect(docs: DataFrame, key: str, text: str, stopwords: dict[str, str] = STOPWORDS, floor: int = 6) -> DataFrame:
+    """key, language, best and second of every row, whatever its key."""
+    return detected(docs.select(key, F.col(text).alias("__text")), "__text", stopwords, floor).select(key, "language", "best", "second")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ def resolve_ends(packets: DataFrame, track: str = "track") -> DataFrame:
     return packets.withColumn("end", end).filter("decodable")
 
 
+# What may stand after a sentence's last mark, and before a cue's first letter.
 TRAILING = r"(?:</?i>|[\s\u0085\p{Z}])+$"
 LEADING = r"^(?:</?i>|[\s\u0085\p{Z}\-‐‑–—\"'“‘¿¡(\[])+"
 
@@ -71,6 +74,7 @@ def sentence_case(cues: DataFrame, track: str = "track", order: str = "seq") ->
     return cues.withColumn("text", F.when(first | ends_sentence(before), capitalize(F.col("text"))).otherwise(F.col("text")))
 
 
+# Fixed value: a line that opens with a bracket, after a dash and a label in capitals.
 SOUND_CUE = r"(?md)^[ \t]*[-–—]?[ \t]*(?:\p{Lu}[\p{Lu} ]*:[ \t]*)?[\[(][ \t]*\p{L}"
 
 
@@ -136,3 +140,34 @@ def italic_spans(text: Column) -> Column:
         )
 
     return F.aggregate(pieces, start, step, lambda s: F.struct(s["text"].alias("text"), closed(s).alias("spans")))
+
+
+def italic_runs(text: Column) -> Column:
+    """array<struct(italic, text)>: the text without <i> tags in runs.
+
+    An unclosed run ends with the text, empty runs are dropped, a second opening starts the run anew, a stray closing tag goes.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(</?i>|(?:(?!</?i>).)+)"), F.lit(1))
+    none = F.array().cast("array<struct<italic:boolean,text:string>>")
+    run = lambda italic, t: F.array(F.struct(F.lit(italic).alias("italic"), t.alias("text")))
+    start = F.struct(none.alias("runs"), F.lit(False).alias("open"), F.lit("").alias("held"))
+
+    def closed(s: Column, italic: bool) -> Column:
+        return F.when(s["held"] != "", F.concat(s["runs"], run(italic, s["held"]))).otherwise(s["runs"])
+
+    def step(s: Column, p: Column) -> Column:
+        opens, ends = p == "<i>", p == "</i>"
+        plain = F.concat(s["held"], p)
+        return F.struct(
+            F.when(opens, closed(s, False)).when(ends & s["open"], closed(s, True)).otherwise(s["runs"]).alias("runs"),
+            F.when(opens, True).when(ends, False).otherwise(s["open"]).alias("open"),
+            F.when(opens | ends & s["open"], "").when(ends, s["held"]).otherwise(plain).alias("held"),
+        )
+
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["open"], closed(s, True)).otherwise(closed(s, False)))
+
+
+def emit_italics(runs: Column, opening: str, closing: str, plain: Callable[[Column], Column] = lambda t: t) -> Column:
+    """Text of runs, italic ones between the marks of a format; of abutting runs the first closes before the second opens."""
+    marked = F.transform(runs, lambda r: F.when(r["italic"], F.concat(F.lit(opening), plain(r["text"]), F.lit(closing))).otherwise(plain(r["text"])))
+    return F.array_join(marked, "")

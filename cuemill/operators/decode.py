@@ -218,7 +218,7 @@ def decode_pgs(packets: DataFrame, keys: list[str], data: str = "data") -> DataF
 
 
 def decode_vobsub(packets: DataFrame, keys: list[str], data: str = "data", palette: str = "palette") -> DataFrame:
-    """keys, decodable, forced, own (ticks), bitmap of VobSub packets with their 16-colour palette. Narrow."""
+    """keys, decodable, forced, own (whole milliseconds, as all times of cues), bitmap of VobSub packets with their 16-colour palette. Narrow."""
     kinds = dict(packets.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", decodable boolean, forced boolean, own long, bitmap {BITMAP}"
 
@@ -228,7 +228,7 @@ def decode_vobsub(packets: DataFrame, keys: list[str], data: str = "data", palet
             out = frame[keys].copy()
             out["decodable"] = [f is not None for f in found]
             out["forced"] = [bool(f and f["forced"]) for f in found]
-            out["own"] = pd.array([f["duration"] if f else None for f in found], dtype="Int64")
+            out["own"] = pd.array([f["duration"] // 10_000 if f and f["duration"] is not None else None for f in found], dtype="Int64")
             out["bitmap"] = [_struct(f and f["bitmap"]) for f in found]
             yield out
 

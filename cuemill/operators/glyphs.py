@@ -14,9 +14,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuemill.operators.imaging import binarize, split_glyphs, to_array
 
+#: Sizes whose points a matcher keeps, and blobs whose glyph it remembers: captions repeat few shapes.
+SIZES_KEPT, BLOBS_KEPT = 256, 20_000
 SENSITIVE = frozenset("Oo0'-:\"")
 # Fixed values, a row for each pass: least allowance, thorough only, aspect, size, margin (differences below), least strokes,
 # sensitive glyphs (None: either), errors allowed (None: the caller's).
@@ -138,9 +141,9 @@ class Matcher:
     def __init__(self, glyphs: list[Glyph]):
         self.single = [g for g in glyphs if g.expand == 0]
         self.multi = sorted((g for g in glyphs if g.expand > 1), key=lambda g: -g.expand)
-        self.by_size: dict[tuple[int, int], list[Glyph]] = {}
-        for g in self.single:
-            self.by_size.setdefault((g.width, g.height), []).append(g)
+        self.shape = tuple(np.array(v) for v in zip(*[(g.width, g.height, g.margin, g.strokes, g.text in SENSITIVE) for g in self.single])) if self.single else ()
+        self.stacked: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.known: dict[tuple, int | None] = {}
 
     @staticmethod
     def errors(bits: np.ndarray, g: Glyph) -> int | None:
@@ -150,29 +153,60 @@ class Matcher:
         flat = bits.ravel()
         return int((~flat[fg]).sum() + flat[bg].sum())
 
+    def _points(self, height: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Glyph, flat place and whether it has to be ink, of all stroke points of all single glyphs at a size; the last sizes are kept."""
+        if (height, width) not in self.stacked:
+            if len(self.stacked) >= SIZES_KEPT:
+                self.stacked.pop(next(iter(self.stacked)))
+            sets = [(k, p, ink) for k, g in enumerate(self.single) for p, ink in zip((stroke_points(x, g.width, g.height, width, height) for x in (g.fg, g.bg)), (True, False))]
+            sizes = [len(p) for _, p, _ in sets]
+            self.stacked[height, width] = (
+                np.repeat([k for k, _, _ in sets], sizes).astype(np.int32),
+                np.concatenate([p for _, p, _ in sets]).astype(np.int32) if sets else np.zeros(0, np.int32),
+                np.repeat([ink for _, _, ink in sets], sizes).astype(bool),
+            )
+        return self.stacked[height, width]
+
+    def all_errors(self, bits: np.ndarray) -> np.ndarray:
+        """Errors of every single glyph, in load order."""
+        owner, place, ink = self._points(*bits.shape)
+        return np.bincount(owner[bits.ravel()[place] != ink], minlength=len(self.single))
+
     def match(self, bits: np.ndarray, top: int, thorough: bool = True, allowed: int = 25) -> Glyph | None:
         """An exact glyph, else of the first pass that has any the one of fewest errors, then best fit, then load order."""
+        if not self.single:
+            return None
+        key = (bits.tobytes(), bits.shape, top, thorough, allowed)
+        if key not in self.known:
+            if len(self.known) >= BLOBS_KEPT:
+                self.known.clear()
+            self.known[key] = self._matched(bits, top, thorough, allowed)
+        place = self.known[key]
+        return None if place is None else self.single[place]
+
+    def _matched(self, bits: np.ndarray, top: int, thorough: bool, allowed: int) -> int | None:
         h, w = bits.shape
-        for g in self.by_size.get((w, h), []):
-            if abs(g.margin - top) < 5 and self.errors(bits, g) == 0:
-                return g
-        aspect = h * 100.0 / w
-        for least, deep, d_aspect, d_size, d_margin, strokes, sensitive, budget in PASSES:
+        width, height, margin, strokes, sensitive = self.shape
+        errors, off = self.all_errors(bits), abs(margin - top)
+        exact = np.flatnonzero((width == w) & (height == h) & (off < 5) & (errors == 0) & (strokes > 0))
+        if len(exact):
+            return int(exact[0])
+        aspect, size = abs(h * 100.0 / w - height * 100.0 / width), np.maximum(abs(width - w), abs(height - h))
+        fit = off + abs(height - h) + abs(width - w)
+        for least, deep, d_aspect, d_size, d_margin, at_least, kind, budget in PASSES:
             if deep and not thorough or allowed < least:
                 continue
             budget = allowed if budget is None else min(budget, allowed) if budget in (3, 20) else budget
-            best = None
-            for k, g in enumerate(self.single):
-                if d_aspect is not None and abs(aspect - g.height * 100.0 / g.width) >= d_aspect or d_size is not None and max(abs(w - g.width), abs(h - g.height)) >= d_size:
-                    continue
-                if abs(g.margin - top) >= d_margin or g.strokes < strokes or sensitive is not None and sensitive != (g.text in SENSITIVE):
-                    continue
-                e = self.errors(bits, g)
-                if e is not None and e <= budget:
-                    rank = (e, abs(g.margin - top) + abs(g.height - h) + abs(g.width - w), k)
-                    best = min(best or (rank, g), (rank, g), key=lambda x: x[0])
-            if best:
-                return best[1]
+            good = (strokes > 0) & (strokes >= at_least) & (off < d_margin) & (errors <= budget)
+            if d_aspect is not None:
+                good &= aspect < d_aspect
+            if d_size is not None:
+                good &= size < d_size
+            if kind is not None:
+                good &= sensitive == kind
+            found = np.flatnonzero(good)
+            if len(found):
+                return int(found[np.lexsort((fit[found], errors[found]))[0]])
         return None
 
     def match_run(self, bits: np.ndarray, n: int, allowed: int) -> Glyph | None:
@@ -277,6 +311,18 @@ class Matcher:
         return out + "</i>" * shown
 
 
+def exact_size(blobs: DataFrame, glyphs: DataFrame, keys: list[str], size: list[str], within: int = 5) -> DataFrame:
+    """keys, glyph: the first glyph (glyph, size..., top) of exactly the blob's size whose top margin differs by less than `within`. An equi-join."""
+    near = glyphs.select("glyph", *size, F.col("top").alias("__top"))
+    return blobs.join(near, size).filter(F.abs(F.col("__top") - F.col("top")) < within).groupBy(*keys).agg(F.min("glyph").alias("glyph"))
+
+
+def fewest_errors(pairs: DataFrame, keys: list[str], allowed: int) -> DataFrame:
+    """keys, glyph, errors, fit of the best of scored pairs (keys, glyph, errors, fit): fewest errors, then best fit, then load order."""
+    best = pairs.filter(F.col("errors") <= allowed).groupBy(*keys).agg(F.min(F.struct("errors", "fit", "glyph")).alias("__m"))
+    return best.select(*keys, "__m.glyph", "__m.errors", "__m.fit")
+
+
 def recognize(images: DataFrame, keys: list[str], database: bytes, bitmap: str = "bitmap", inverted: str | None = None, allowed: int = 25) -> DataFrame:
     """keys, text, glyphs, unknown and the fill colour of each image. Narrow; the database is one bounded broadcast (about 700 glyphs)."""
     kinds = dict(images.dtypes)

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions import lang, textfix
-from cuemill.operators import cues, spell, state
+from cuemill.operators import cues, glyphs, spell, state
+from cuemill.plans import captions
 from cuemill.sources import probe, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,14 +82,15 @@ def resolve_end(spark, sf_dir):
     return cues.resolve_ends(packets).select("track", "seq", "end")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN lower(left(text, 1)) || regexp_replace(substr(text, 2), '[.!?]$', '') ELSE text END AS text FROM conversations),
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN lower(left(text, 1)) || substr(text, 2) WHEN (conv_id + turn) % 6 = 2 THEN regexp_replace(text, '[.!?]$', '') ELSE text END AS text FROM conversations),
 l AS (SELECT *, lag(text) OVER w AS p, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 t AS (SELECT *, regexp_replace(p, '(?:</?i>|[\\s\\p{Z}])+$', '') AS q, regexp_extract(text, '^(?:</?i>|[\\s\\p{Z}\\-‐‑–—"''“‘¿¡(\\[])+') AS h FROM l),
 e AS (SELECT *, CASE WHEN n = 1 THEN true WHEN q = '' OR regexp_matches(q, '(?:\\.[\\s\\p{Z}]*){2,}$|…$') THEN false WHEN right(q, 1) IN (')', ']') THEN true
   WHEN right(q, 1) IN ('"', '''', '”', '’') THEN length(q) > 1 AND substr(q, length(q) - 1, 1) IN ('.', '!', '?') ELSE right(q, 1) IN ('.', '!', '?') END AS s FROM t)
 SELECT conv_id, turn, CASE WHEN s AND regexp_matches(substr(text, length(h) + 1, 1), '\\p{Ll}') THEN h || upper(substr(text, length(h) + 1, 1)) || substr(text, length(h) + 2) ELSE text END AS text FROM e""".replace("\\\\", "\\"))
 def sentence_case(spark, sf_dir):
-    damaged = F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.concat(F.lower(F.substr("text", F.lit(1), F.lit(1))), F.regexp_replace(F.substr("text", F.lit(2)), r"[.!?]$", ""))).otherwise(F.col("text"))
+    k = F.col("conv_id") + F.col("turn")
+    damaged = F.when(k % 3 == 0, F.concat(F.lower(F.substr("text", F.lit(1), F.lit(1))), F.substr("text", F.lit(2)))).when(k % 6 == 2, F.regexp_replace("text", r"[.!?]$", "")).otherwise(F.col("text"))
     return cues.sentence_case(table(spark, sf_dir, "conversations").withColumn("text", damaged), "conv_id", "turn").select("conv_id", "turn", "text")
 
 
@@ -101,22 +103,21 @@ def sdh_flag(spark, sf_dir):
     return cues.hearing_impaired(docs, "source")
 
 
-@query("""WITH g AS (SELECT source, length(text) AS glyphs, CASE WHEN doc_id % 3 = 0 THEN length(text) - length(translate(text, 'aeioutnr', '')) ELSE doc_id % 5 END AS unknown FROM documents)
+@query("""WITH g AS (SELECT source, length(text) AS glyphs, CASE WHEN doc_id % 3 = 0 THEN length(text) - length(translate(text, 'aeioutnr', '')) ELSE doc_id % 5 END AS unknown FROM documents WHERE length(text) > 0)
 SELECT source, count(*) AS cues, count(*) FILTER (unknown > glyphs * 0.4) AS dropped, count(*) FILTER (unknown > glyphs * 0.4) > count(*) * 0.25 AS discard FROM g GROUP BY source""")
 def dropped_gate(spark, sf_dir):
-    glyphs = F.length("text")
-    unknown = F.when(F.col("doc_id") % 3 == 0, glyphs - F.length(F.translate("text", "aeioutnr", ""))).otherwise(F.col("doc_id") % 5)
-    drop = F.count_if(unknown > glyphs * 0.4)
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("cues"), drop.alias("dropped"), (drop > F.count("*") * 0.25).alias("discard"))
+    glyphs_ = F.length("text")
+    unknown = F.when(F.col("doc_id") % 3 == 0, glyphs_ - F.length(F.translate("text", "aeioutnr", ""))).otherwise(F.col("doc_id") % 5)
+    found = table(spark, sf_dir, "documents").select("source", glyphs_.alias("glyphs"), unknown.alias("unknown"))
+    return captions.dropped_gate(captions.legible(found), "source")
 
 
-@query("""WITH t AS (SELECT source, CASE WHEN doc_id % 4 = 0 THEN replace(text, 'e', '□') ELSE text END AS text FROM documents)
-SELECT source, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(replace(text, '□', ''))) AS BIGINT) AS unread,
-  sum(length(text) - length(replace(text, '□', ''))) > sum(length(text)) * 0.05 AS discard FROM t GROUP BY source""")
+@query(r"""WITH t AS (SELECT source, CASE WHEN doc_id % 4 = 0 THEN replace(text, 'e', '□') ELSE text END AS text FROM documents),
+n AS (SELECT source, length(regexp_replace(text, '[\x{10000}-\x{10FFFF}]', 'xx', 'g')) AS n, length(text) - length(replace(text, '□', '')) AS unread FROM t)
+SELECT source, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(unread) AS BIGINT) AS unread, sum(unread) > sum(n) * 0.05 AS discard FROM n GROUP BY source""")
 def placeholder_gate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit("e"), F.lit("□"))).otherwise(F.col("text")).alias("text"))
-    unread = F.sum(F.length("text") - F.length(F.replace("text", F.lit("□"), F.lit(""))))
-    return docs.groupBy("source").agg(F.sum(F.length("text")).alias("chars"), unread.alias("unread"), (unread > F.sum(F.length("text")) * 0.05).alias("discard"))
+    return captions.placeholder_gate(docs, "source")
 
 
 # --- colours ------------------------------------------------------------------------------------------------------------------------
@@ -298,6 +299,30 @@ def italic_tidy(spark, sf_dir):
     return damaged(spark, sf_dir, 5, {k: swap(*p) for k, p in _TAGS.items()}).select("doc_id", textfix.italic_tags(F.col("text")).alias("text"))
 
 
+_LONG = r"length(regexp_replace({}, '[\x{{10000}}-\x{{10FFFF}}]', 'xx', 'g'))"
+_SPANNED = _swapped(5, {1: (" the ", " <i>the</i> "), 2: (" a ", "<i></i> a "), 3: (". ", "</i>. <i>x</i> ")}).replace(" ELSE text END", " WHEN 4 THEN text || ' <i>end' ELSE text END")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, {_SPANNED} AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(t, '<i>')) AS piece, generate_subscripts(string_split(t, '<i>'), 1) AS k FROM t),
+q AS (SELECT doc_id, k, CASE WHEN k = 1 THEN 0 ELSE {_LONG.format("split_part(piece, '</i>', 1)")} END AS inside, {_LONG.format("replace(piece, '</i>', '')")} AS total FROM p),
+w AS (SELECT *, coalesce(sum(total) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM q),
+s AS (SELECT doc_id, coalesce(string_agg(CAST(place AS BIGINT) || ':' || inside, ',' ORDER BY k) FILTER (inside > 0), '') AS spans FROM w GROUP BY doc_id)
+SELECT doc_id, replace(replace(t, '<i>', ''), '</i>', '') AS text, spans FROM t JOIN s USING (doc_id)""")
+def italic_spans(spark, sf_dir):
+    changes = {1: swap(" the ", " <i>the</i> "), 2: swap(" a ", "<i></i> a "), 3: swap(". ", "</i>. <i>x</i> "), 4: lambda t: F.concat(t, F.lit(" <i>end"))}
+    found = damaged(spark, sf_dir, 5, changes).select("doc_id", cues.italic_spans(F.col("text")).alias("p"))
+    shown = F.transform("p.spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["len"].cast("string")))
+    return found.select("doc_id", "p.text", F.array_join(shown, ",").alias("spans"))
+
+
+@query(rf"""SELECT doc_id, replace(replace(replace(replace(replace(t, '{{', '\{{'), '}}', '\}}'), chr(10), '\N'), '<i>', '{{\i1}}'), '</i>', '{{\i0}}') || CASE WHEN doc_id % 5 = 4 THEN '{{\i0}}' ELSE '' END AS body
+FROM (SELECT doc_id, {_SPANNED.replace("'<i></i> a '", "' {a} '").replace("'</i>. <i>x</i> '", "'. <i>x</i> '")} AS t FROM documents)""")
+def ass_bodies(spark, sf_dir):
+    changes = {1: swap(" the ", " <i>the</i> "), 2: swap(" a ", " {a} "), 3: swap(". ", ". <i>x</i> "), 4: lambda t: F.concat(t, F.lit(" <i>end"))}
+    return damaged(spark, sf_dir, 5, changes).select("doc_id", writers.ass_body(F.col("text")).alias("body"))
+
+
 _FIX = {"the": "thé", "of": "0f", "and": "&", "que": "quê", "der": "dér"}
 
 
@@ -307,6 +332,19 @@ def fix_list_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", spell.fix_words(F.col("text"), _FIX).alias("text"))
 
 
+_SHOUT = {w: w.upper() for w in lang.word_weights() if w.isascii()}
+_RULES = [("([a-z])nn([a-z])", "$1m$2"), ("(?i)qu([aeiou])", "k$1"), ("[0-9]{3,}", "#")]
+
+
+@query(r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '([a-z])nn([a-z])', '\1m\2', 'g'), '(?i)qu([aeiou])', 'k\1', 'g'), '[0-9]{3,}', '#', 'g') AS t FROM documents),
+w(w) AS (VALUES """ + ", ".join(f"('{w}')" for w in _SHOUT) + r""")
+SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda s: array_to_string(list_transform(string_split(s, ' '), lambda x: CASE WHEN x IN (SELECT w FROM w) THEN upper(x)
+  WHEN regexp_replace(x, '[^\p{L}\p{Nd}]+$', '') IN (SELECT w FROM w) THEN upper(regexp_replace(x, '[^\p{L}\p{Nd}]+$', '')) || substr(x, length(regexp_replace(x, '[^\p{L}\p{Nd}]+$', '')) + 1) ELSE x END), ' ')), chr(10)), '^\n+', '') AS text FROM r""".replace("IN (SELECT w FROM w)", "IN (" + ", ".join(f"'{w}'" for w in _SHOUT) + ")"))
+def fix_list_rules(spark, sf_dir):
+    """Regular expressions, then a list too long to be a literal in the plan."""
+    return table(spark, sf_dir, "documents").select("doc_id", spell.fix_words(F.col("text"), _SHOUT, _RULES).alias("text"))
+
+
 @query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), d AS (SELECT unnest(string_split(p_name, ' ')) AS m, count(*) AS freq FROM part GROUP BY 1),
 x AS (SELECT DISTINCT CASE length(w) % 3 WHEN 0 THEN substr(w, 2) WHEN 1 THEN w || 'x' ELSE 'z' || substr(w, 2) END AS word FROM w),
 p AS (SELECT word, m, freq, levenshtein(word, m) AS dist FROM x, d WHERE length(word) >= 3 AND levenshtein(word, m) <= CASE WHEN length(word) >= 8 THEN 2 ELSE 1 END)
@@ -318,6 +356,19 @@ def close_match(spark, sf_dir):
     return spell.close_matches(broken, names.groupBy("word").agg(F.count("*").alias("freq")))
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) || 'ings' AS w FROM part), d AS (SELECT unnest(string_split(p_name, ' ')) || 'ings' AS m, count(*) AS freq FROM part GROUP BY 1),
+x AS (SELECT DISTINCT CASE length(w) % 3 WHEN 0 THEN substr(w, 1, 1) || substr(w, 3, 2) || substr(w, 6) WHEN 1 THEN '#' || substr(w, 2, 2) || '#' || substr(w, 5) ELSE substr(w, 1, 2) || '#' || substr(w, 3, 3) || '#' || substr(w, 6) END AS word FROM w),
+p AS (SELECT word, m, freq, levenshtein(word, m) AS dist FROM x, d WHERE length(word) >= 3 AND levenshtein(word, m) <= CASE WHEN length(word) >= 8 THEN 2 ELSE 1 END)
+SELECT word, m AS match, CAST(dist AS INTEGER) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY dist, freq DESC, m) = 1""")
+def close_match_two(spark, sf_dir):
+    """Words two edits away: two letters lost, two changed, two added."""
+    names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).select(F.concat("word", F.lit("ings")).alias("word"))
+    w, n = F.col("word"), F.length("word") % 3
+    cut = lambda a, k=None: F.substr(w, F.lit(a)) if k is None else F.substr(w, F.lit(a), F.lit(k))
+    broken = F.when(n == 0, F.concat(cut(1, 1), cut(3, 2), cut(6))).when(n == 1, F.concat(F.lit("#"), cut(2, 2), F.lit("#"), cut(5))).otherwise(F.concat(cut(1, 2), F.lit("#"), cut(3, 3), F.lit("#"), cut(6)))
+    return spell.close_matches(names.select(broken.alias("word")), names.groupBy("word").agg(F.count("*").alias("freq")))
+
+
 @query("""WITH k AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS m FROM part), w AS (SELECT DISTINCT substr(m, 1, 1) || '□' || substr(m, 3) AS word FROM k WHERE length(m) >= 2),
 p AS (SELECT word, m FROM w JOIN k ON length(word) = length(m) AND substr(word, 1, 1) = substr(m, 1, 1) AND substr(word, 3) = substr(m, 3))
 SELECT word, min(m) AS match FROM p GROUP BY word HAVING count(*) = 1""")
@@ -370,27 +421,32 @@ def payload_offsets(spark, sf_dir):
 
 @query("""SELECT doc_id, lang FROM documents d WHERE lang IN ('en', 'de', 'fr') AND NOT EXISTS (SELECT 1 FROM documents c WHERE c.doc_id % 50 = 0 AND c.source = d.source AND c.lang = d.lang)""")
 def language_allow_cover(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    covered = docs.filter("doc_id % 50 = 0").select("source", "lang").distinct()
-    return docs.filter(F.col("lang").isin("en", "de", "fr")).join(covered, ["source", "lang"], "left_anti").select("doc_id", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", state.tagged_language("lang").alias("normalized"))
+    covered = docs.filter("doc_id % 50 = 0").select("source", "normalized")
+    return state.uncovered(state.allowed(docs, ["en", "ger", "fre"]), covered, "source").select("doc_id", "lang")
+
+
+@query("""SELECT c_nationkey, CAST(count(*) AS BIGINT) AS tracks, CAST(sum(alike) AS BIGINT) AS alike FROM (SELECT c_nationkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS alike FROM customer) GROUP BY c_nationkey""")
+def language_counts(spark, sf_dir):
+    tracks = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("normalized"))
+    return state.with_language_counts(tracks, "c_nationkey").groupBy("c_nationkey").agg(F.count("*").alias("tracks"), F.sum("alike").alias("alike"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_size, p_brand, CAST(floor(p_retailprice) AS BIGINT) % 20 AS top FROM part), g AS (SELECT * FROM b WHERE p_partkey % 10 = 0)
 SELECT b.p_partkey, min(g.p_partkey) AS glyph FROM b JOIN g ON g.p_size = b.p_size AND g.p_brand = b.p_brand AND abs(g.top - b.top) < 5 GROUP BY b.p_partkey""")
 def exact_size_probe(spark, sf_dir):
     blobs = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", (F.floor("p_retailprice") % 20).alias("top"))
-    glyphs = blobs.filter("p_partkey % 10 = 0").select("p_size", "p_brand", F.col("p_partkey").alias("glyph"), F.col("top").alias("gtop"))
-    return blobs.join(glyphs, ["p_size", "p_brand"]).filter(F.abs(F.col("gtop") - F.col("top")) < 5).groupBy("p_partkey").agg(F.min("glyph").alias("glyph"))
+    return glyphs.exact_size(blobs, blobs.filter("p_partkey % 10 = 0").withColumnRenamed("p_partkey", "glyph"), ["p_partkey"], ["p_size", "p_brand"])
 
 
 @query("""WITH m AS (SELECT c_custkey, n_nationkey, abs(c_custkey % 97 - n_nationkey * 4) AS errors, abs(c_nationkey - n_nationkey) AS fit FROM customer, nation)
 SELECT c_custkey, n_nationkey AS glyph, CAST(errors AS BIGINT) AS errors, CAST(fit AS INTEGER) AS fit FROM m WHERE errors <= 20 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY errors, fit, n_nationkey) = 1""")
 def glyph_argmin(spark, sf_dir):
-    """Fewest errors, then best fit, then load order: a theta join with the 25 templates of a fixed table, and a minimum of structs."""
-    glyphs = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey"))
+    """A theta join with the 25 templates of a fixed table, scored; the best of each."""
+    templates = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey"))
     errors, fit = F.abs(F.col("c_custkey") % 97 - F.col("n_nationkey") * 4), F.abs(F.col("c_nationkey") - F.col("n_nationkey"))
-    met = table(spark, sf_dir, "customer").join(glyphs, errors <= 20)
-    return met.groupBy("c_custkey").agg(F.min(F.struct(errors.cast("long").alias("errors"), fit.alias("fit"), F.col("n_nationkey").alias("glyph"))).alias("m")).select("c_custkey", "m.glyph", "m.errors", "m.fit")
+    met = table(spark, sf_dir, "customer").join(templates, errors <= 20)
+    return glyphs.fewest_errors(met.select("c_custkey", F.col("n_nationkey").alias("glyph"), errors.cast("long").alias("errors"), fit.alias("fit")), ["c_custkey"], 20)
 
 
 CONVERSATION_CUES = """cues AS (SELECT conv_id AS track, turn AS seq, turn * 61234 + 7 AS start, turn * 61234 + 3456007 AS "end", CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS text,
@@ -448,3 +504,37 @@ def hex_dump(spark, sf_dir):
     digits = F.hex(F.concat("p_name", "p_brand", "p_type").cast("binary"))
     lines = F.transform(F.sequence(F.lit(0), F.ceil(F.length(digits) / 32).cast("int") - 1), lambda i: F.concat(F.lit("0000: "), F.regexp_replace(F.substr(digits, i * 32 + 1, F.lit(32)), "(....)", "$1 "), F.lit("  ab cd")))
     return table(spark, sf_dir, "part").select("p_partkey", F.hex(probe.parse_hex_dump(F.array_join(lines, "\n"))).alias("bytes"))
+
+
+@query(r"""WITH t AS (SELECT c_custkey AS item_id, unnest(regexp_extract_all(lower(c_name || ' ' || c_mktsegment), '\p{L}{2,}')) AS word FROM customer),
+p AS (SELECT s_nationkey AS nation, s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 0),
+r AS (SELECT c_custkey AS item_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Self ' || s_name ELSE s_name END AS role, CASE WHEN s_suppkey % 2 = 0 THEN 'Actor Number' ELSE '' END AS name FROM customer JOIN p ON nation = c_nationkey)
+SELECT item_id, word FROM t UNION SELECT item_id, unnest(regexp_extract_all(lower(role || ' ' || name), '\p{L}{2,}')) FROM r""")
+def item_words(spark, sf_dir):
+    """Titles of an item, and roles of the people of its series; a name counts only where the role says so."""
+    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), (-1 - F.col("c_nationkey")).cast("long").alias("series_id"), F.array("c_name", "c_mktsegment").alias("titles"))
+    own = F.col("s_suppkey") % 2 == 0
+    people = table(spark, sf_dir, "supplier").select((-1 - F.col("s_nationkey")).cast("long").alias("owner_id"), F.when(F.col("s_suppkey") % 3 == 0, "Director").otherwise("Actor").alias("type"), F.when(own, F.concat(F.lit("Self "), "s_name")).otherwise(F.col("s_name")).alias("role"), F.lit("Actor Number").alias("name"))
+    return probe.metadata_words(items, people)
+
+
+@query("""SELECT CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS written, count(*) FILTER (o_orderkey % 4 > 0) AS with_streams, count(*) FILTER (o_orderstatus = 'O') AS positioned FROM orders""")
+def run_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("long").alias("written"), (F.col("o_orderkey") % 4).alias("image_streams"), (F.col("o_orderstatus") == "O").alias("positioned"))
+    return state.run_totals(rows)
+
+
+@query("""SELECT o_custkey AS item_id, min(o_orderkey) AS first, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS records FROM orders GROUP BY o_custkey""")
+def log_by_item(spark, sf_dir):
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id"), F.col("o_orderkey").alias("seq"))
+    return state.log_by_item(log).select("item_id", "first", F.array_join(F.transform("records", lambda r: r["seq"].cast("string")), ",").alias("records"))
+
+
+@query("""WITH l AS (SELECT DISTINCT lang FROM documents), n AS (SELECT lang, CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'deu' WHEN 'fr' THEN 'fra' WHEN 'es' THEN 'spa' ELSE lang END AS normalized FROM l)
+SELECT normalized, CASE normalized WHEN 'eng' THEN '/a/e.nocr' WHEN 'deu' THEN '/db/g.nocr' WHEN 'fra' THEN '/db/fra.nocr' ELSE '/db/all.nocr' END AS database FROM n""")
+def database_paths(spark, sf_dir):
+    """Configured, dropped in, general."""
+    languages = table(spark, sf_dir, "documents").select(lang.normalize_language(F.col("lang")).alias("normalized"))
+    configured = spark.createDataFrame([("ger", "g.nocr", 1), ("de", "late.nocr", 2), ("en", "/a/e.nocr", 0), ("fr", " ", 3)], "language string, path string, position int")
+    dropped_in = spark.createDataFrame([("fra.nocr",), ("deu.nocr",), ("notes.txt",)], "name string")
+    return state.database_paths(languages, configured, dropped_in, "all.nocr", "/db")

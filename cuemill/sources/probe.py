@@ -50,10 +50,15 @@ def header_words(head: DataFrame) -> DataFrame:
 
 
 def parse_hex_dump(dump: Column) -> Column:
-    """Bytes of a dump: after the first colon of a line up to 16 bytes, ended by two blanks or what is no pair of digits."""
-    lines = F.filter(F.split(dump, "\n"), lambda s: s.contains(":"))
-    body = lambda s: F.regexp_replace(F.regexp_extract(s, r"^[^:]*: ?((?:[0-9a-fA-F]{2} ?)*)", 1), " ", "")
-    return F.unhex(F.array_join(F.transform(lines, lambda s: F.substr(body(s), F.lit(1), F.lit(32))), ""))
+    """Bytes of a dump: of each line, after its first colon if it has one, up to 16 bytes, ended by two blanks or what is no pair of digits."""
+    body = lambda s: F.regexp_replace(F.regexp_extract(s, r"^(?:[^:]*:)?((?: ?[0-9a-fA-F]{2})*)", 1), " ", "")
+    return F.unhex(F.array_join(F.transform(F.split(F.coalesce(dump, F.lit("")), "\n"), lambda s: F.substr(body(s), F.lit(1), F.lit(32))), ""))
+
+
+def stream_palettes(streams: DataFrame) -> DataFrame:
+    """Image streams with `palette`: the dump in their extradata read as text, the default without one."""
+    text = parse_hex_dump(F.col("extradata")).cast("string")
+    return streams.withColumn("palette", parse_palette(F.when(F.col("extradata").isNotNull(), text)))
 
 
 def parse_palette(text: Column) -> Column:
@@ -65,11 +70,16 @@ def parse_palette(text: Column) -> Column:
 
 
 def packet_index(spark: SparkSession, path: str, streams: DataFrame) -> DataFrame:
-    """stream_index, seq, pts, duration, size of index lines `stream,pts,duration,size`; bad rows and unwanted streams go."""
-    raw = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).withColumn("f", F.split("value", ","))
+    """path, stream_index, seq, pts, duration, size of index lines `stream,pts,duration,size`; bad rows and unwanted streams go.
+
+    An index is read whole, so seq is a line's number in its file, whatever the partitions. streams: stream_index, and path if it matters.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "value"))
+    raw = lines.withColumn("f", F.split("value", ","))
     number = lambda i, kind: F.expr(f"try_cast(f[{i}] as {kind})")
-    rows = raw.filter(F.size("f") >= 4).select(number(0, "int").alias("stream_index"), "seq", F.coalesce(number(1, "double"), F.lit(0.0)).alias("pts"), number(2, "double").alias("duration"), number(3, "int").alias("size"))
-    return rows.filter("stream_index is not null and size >= 0").join(streams.select("stream_index").distinct(), "stream_index", "left_semi")
+    rows = raw.filter(F.size("f") >= 4).select("path", number(0, "int").alias("stream_index"), "seq", F.coalesce(number(1, "double"), F.lit(0.0)).alias("pts"), number(2, "double").alias("duration"), number(3, "int").alias("size"))
+    keys = [c for c in ("path", "stream_index") if c in streams.columns]
+    return rows.filter("stream_index is not null and size >= 0").join(streams.select(*keys).distinct(), keys, "left_semi")
 
 
 def slice_payloads(placed: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -77,22 +87,72 @@ def slice_payloads(placed: DataFrame, payloads: DataFrame) -> DataFrame:
     return placed.join(payloads, "stream_index").withColumn("data", F.substring("payload", F.col("offset").cast("int") + 1, F.col("size"))).drop("payload")
 
 
-def fix_list(spark: SparkSession, path: str) -> dict[str, str]:
-    """Whole-word fixes of an XML list, a small driver-side table; of equal words the last wins."""
+def fix_list(spark: SparkSession, path: str) -> tuple[dict[str, str], list[tuple[str, str]]]:
+    """Whole-word fixes (of equal words the last wins) and regular expressions (find, replacement), in order, of one XML list.
+
+    A list is a small file that the driver reads. Sections of partial words are not used; expressions that are invalid are skipped, a
+    file that is missing or no XML gives an empty list. Expressions are Java's.
+    """
     import xml.etree.ElementTree as tree
 
-    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
-    return {w.get("from"): w.get("to") for part in tree.fromstring(text).iter("WholeWords") for w in part.iter("Word") if w.get("from") and w.get("to") is not None}
+    try:
+        root = tree.fromstring(spark.read.text(path, wholetext=True).first()["value"])
+    except (tree.ParseError, TypeError):
+        return {}, []
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}, []
+    words = {w.get("from"): w.get("to") for part in root.findall("WholeWords") for w in part.findall("Word") if w.get("from") and w.get("to") is not None}
+    rules = [(r.get("find"), r.get("replaceWith")) for part in root.findall("RegularExpressions")[:1] for r in part.findall("RegularExpression")]
+    return words, [(find, to) for find, to in rules if find and to is not None and _compiles(spark, find)]
+
+
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    from pyspark.errors import IllegalArgumentException
+
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:  # what an invalid pattern raises is one
+        return False
+    return True
+
+
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """word (lower case), freq of a word list: a word a line, flags after a slash, a first line that counts; a missing list is empty."""
+    try:
+        lines = spark.read.text(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "word string, freq int")
+    word = F.lower(F.trim(F.regexp_replace("value", r"(?<!\\)/.*$|\t.*$", "")))
+    return lines.select(word.alias("word")).filter((F.col("word") != "") & ~F.col("word").rlike(r"^\d+$")).distinct().withColumn("freq", F.lit(1))
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Writes a state table as JSON beside the old one and then takes its place, so that a reader never meets half a table."""
+    fs = state.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(state.sparkSession._jsc.hadoopConfiguration())
+    at = lambda p: state.sparkSession._jvm.org.apache.hadoop.fs.Path(p)
+    fresh, old = path.rstrip("/") + ".next", path.rstrip("/") + ".last"
+    state.write.mode("overwrite").json(fresh)
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(fresh), at(path))
+    fs.delete(at(old), True)
 
 
 def json_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A state table kept as JSON; a missing one is empty."""
+    """A state table kept as JSON; a missing one is empty, lines that are no JSON go."""
     try:
-        return spark.read.schema(schema).json(path).filter("true")
+        lines = spark.read.text(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    parsed = lines.select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("s")).filter("s is not null")
+    return parsed.select("s.*").filter("_bad is null").drop("_bad")
 
 
 def metadata_words(items: DataFrame, people: DataFrame) -> DataFrame:

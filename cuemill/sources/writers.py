@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.operators.cues import bucket, modal_color
+from cuemill.operators.cues import bucket, emit_italics, italic_runs, modal_color
 
 # The format of the files.
 ASS_HEAD = (
@@ -44,9 +44,14 @@ def color_override(r: Column, g: Column, b: Column, sr: Column, sg: Column, sb:
 
 
 def ass_body(marked: Column) -> Column:
-    """Text with <i> tags: braces of the text escaped, line breaks as \\N, tags as override codes."""
-    t = F.replace(F.replace(marked, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
-    return F.replace(F.replace(F.replace(t, F.lit("\n"), F.lit("\\N")), F.lit("<i>"), F.lit("{\\i1}")), F.lit("</i>"), F.lit("{\\i0}"))
+    """Text with <i> tags by its italic runs: braces of the text escaped, line breaks as \\N, runs between override codes."""
+    escaped = lambda t: F.replace(F.replace(F.replace(t, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}")), F.lit("\n"), F.lit("\\N"))
+    return F.when(marked.contains("<"), emit_italics(italic_runs(marked), "{\\i1}", "{\\i0}", escaped)).otherwise(escaped(marked))
+
+
+def srt_body(marked: Column) -> Column:
+    """Text with <i> tags by its italic runs: every run closed, none empty."""
+    return F.when(marked.contains("<"), emit_italics(italic_runs(marked), "<i>", "</i>")).otherwise(marked)
 
 
 def _joined(lines: DataFrame, track: str, order: str = "start") -> DataFrame:
@@ -58,7 +63,7 @@ def srt(cues: DataFrame, track: str = "track") -> DataFrame:
     """track, body: blank cues go, the rest is numbered from 1; a track's cues are one file, so they are gathered per track."""
     kept = cues.filter(F.regexp_replace("text", r"[\s\p{Z}\u0085]+", "") != "")
     number = F.row_number().over(Window.partitionBy(track).orderBy("start", "seq"))
-    line = F.concat(number.cast("string"), F.lit("\r\n"), srt_time(F.col("start")), F.lit(" --> "), srt_time(F.col("end")), F.lit("\r\n"), F.replace("text", F.lit("\n"), F.lit("\r\n")), F.lit("\r\n\r\n"))
+    line = F.concat(number.cast("string"), F.lit("\r\n"), srt_time(F.col("start")), F.lit(" --> "), srt_time(F.col("end")), F.lit("\r\n"), F.replace(srt_body(F.col("text")), F.lit("\n"), F.lit("\r\n")), F.lit("\r\n\r\n"))
     return _joined(kept.withColumn("line", line), track)
 
 
@@ -85,6 +90,12 @@ def output_path(media: Column, language: Column, descriptor: Column, forced: Col
     return F.concat(folder, F.concat_ws(".", stem, language, blank(descriptor), F.when(forced, "forced"), F.when(sdh, "sdh"), blank(sanitize_tag(tag)), index.cast("string"), extension))
 
 
+def merge_files(current: DataFrame, written: DataFrame, stale: DataFrame) -> DataFrame:
+    """The table of files (path, body) after a run: written ones replace what stood at their path, stale paths (path) go."""
+    gone = written.select("path").unionByName(stale.select("path")).distinct()
+    return current.select("path", "body").join(gone, "path", "left_anti").unionByName(written.select("path", "body"))
+
+
 def write_files(files: DataFrame, folder: str) -> None:
     """One Parquet row for each file (path, body): a distributed, atomic sink; single files are cut from it where they are served."""
     files.write.mode("overwrite").parquet(folder)
