@@ -28,10 +28,10 @@ from cuemill.llm.common import bounded_batches, read_table, released, slices
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of segments and tokens that a worker's memo holds before it starts anew; what a segment and its entries take besides its text.
-MEMO_BYTES, ENTRY_BYTES = 48 << 20, 160
+MEMO_BYTES, ENTRY_BYTES = 24 << 20, 160
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text of one encoding step (many words share the work of a rank), and bytes of distinct words that are merged at a time.
-STEP_BYTES, MERGE_BYTES = 2 << 20, 1 << 20
+STEP_BYTES, MERGE_BYTES = 1 << 20, 1 << 20
 
 
 def byte_symbols() -> list[str]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles; bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 18
+#: Bytes of its input for which a table gets a partition, where it is small.
+PARTITION_BYTES = 4 << 20
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -27,15 +29,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; only a single local JVM gets a folder of its own where none is set."""
+def useful_partitions(df: DataFrame) -> int:
+    """Partitions that a table of df's size is worth: PARTITION_BYTES each, by the size of its files, and two for each core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1_000_000, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)))
+
+
+def cut_lineage(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir; only a single local JVM gets a folder of its own where none is set.
+
+    most: partitions that the table is worth; more are merged, so that a small table isn't written as a crowd of tiny files.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuemill-"))
-    return df.checkpoint()
+    return (df if most is None else df.coalesce(most)).checkpoint()
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import bounded_batches, cut_lineage, mix64, read_table, released, slices, text_bytes, word_hashes
+from cuemill.llm.common import bounded_batches, cut_lineage, mix64, read_table, released, slices, text_bytes, useful_partitions, word_hashes
 
 #: Bands and rows of a band: a pair at 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -145,15 +145,15 @@ def two_steps(links: DataFrame) -> DataFrame:
     return again.withColumnRenamed("u", "node")
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, most: int | None = None) -> DataFrame:
     """node, component (its smallest node), by minimum labels with pointer jumping; links (u, v) in either order."""
-    edges = cut_lineage(both_ways(links).distinct())
+    edges = cut_lineage(both_ways(links).distinct(), most)
     label = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component")).withColumnRenamed("u", "node")
     while True:
         near = edges.join(label.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
         step = label.join(near, label.node == near.u).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = cut_lineage(step.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")))
+        moved = cut_lineage(step.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")), most)
         label = moved.select("node", "component")
         if not moved.filter("old <> component").head(1):
             return label
@@ -253,36 +253,37 @@ def _pairs_in_buckets(apart: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return grouped.mapInArrow(released(run), "u long, v long").filter("u <> v").distinct()
 
 
-def _apart(active: DataFrame, links: DataFrame) -> DataFrame:
+def _apart(active: DataFrame, links: DataFrame, most: int) -> DataFrame:
     """The buckets that hold more than one component, with the members' components as far as two links show them."""
     marked = active.join(two_steps(links), "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     split = marked.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-    return cut_lineage(marked.join(split, "band"))
+    return cut_lineage(marked.join(split, "band"), most)
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80, stars: tuple[int, ...] = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     bounded_batches(docs.sparkSession)
-    rows = cut_lineage(sketch_rows(docs, k))
+    most = useful_partitions(docs)
+    rows = cut_lineage(sketch_rows(docs, k), most)
     known = rows.filter(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("cls", "r.*")
     banded = reps.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    active = cut_lineage(banded.join(shared, "band").select("band", "node", "n", "c"))
+    active = cut_lineage(banded.join(shared, "band").select("band", "node", "n", "c"), most)
     #: how often a node meets others: what a family was copied from meets most, so it makes the best centre
     active = active.join(active.groupBy("node").agg(F.sum("c").alias("w")), "node").select("band", "node", "n", "w")
     member = known.select("doc_id", "cls").distinct().join(reps.select("cls", F.col("doc_id").alias("rep")), "cls").select("doc_id", "rep")
     #: ids with several texts belong to several classes
     links = (member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("vs")).filter(F.size("vs") > 1).select("u", F.explode("vs").alias("v")).filter("u <> v"))
     wanted = active.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut_lineage(set_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), k))
+    sets = cut_lineage(set_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), k), most)
     near = F.expr(f"100 * least(n, cn) >= {percent} * greatest(n, cn)")
     apart = active.withColumn("comp", F.col("node"))
     for centres in stars:
-        links = cut_lineage(links.unionByName(verified(_star_pairs(apart, centres, near), sets, percent)))
-        apart = _apart(active, links)
+        links = cut_lineage(links.unionByName(verified(_star_pairs(apart, centres, near), sets, percent)), most)
+        apart = _apart(active, links, most)
     rest = _pairs_in_buckets(apart, sets, percent)
-    label = connected(links.unionByName(verified(rest, sets, percent)))
+    label = connected(links.unionByName(verified(rest, sets, percent)), most)
     final = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import cut_lineage, read_table
+from cuemill.llm.common import cut_lineage, read_table, useful_partitions
 
 #: Cells that the driver rakes itself.
 CELLS = 100_000
@@ -169,7 +169,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, pow
     """
     known = with_cells(docs.drop("n_tokens", "weight", "probability", "drawn"))
     keys = [f"__{d}" for d in DIMENSIONS]
-    cells = cut_lineage(known.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")))
+    cells = cut_lineage(known.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")), useful_partitions(docs))
     if cells.count() <= cells_on_driver:
         found = F.broadcast(_on_driver(cells, targets or {}, power, budget, docs.sparkSession, rounds))
     else:

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.llm.common import BLANK, SLICE_BYTES, bounded_batches, byte_weights, cut_lineage, mix64, read_table, release, released, shuffle_width, slices, text_bytes
+from cuemill.llm.common import BLANK, SLICE_BYTES, bounded_batches, byte_weights, cut_lineage, mix64, read_table, release, released, shuffle_width, slices, text_bytes, useful_partitions
 
 #: Anchors of a shard, and contexts that one step of the edge check holds; an anchor with more contexts goes by windows.
 SHARD_ANCHORS, EDGE_CONTEXTS = 1 << 15, 2048
@@ -385,25 +385,38 @@ def compressed(docs: DataFrame, text: str, view: View | None = None) -> DataFram
     return docs.mapInArrow(released(run), schema)
 
 
-def _contexts(docs: DataFrame, asks: DataFrame, length: int, view: View | None) -> DataFrame:
+def _asked(docs: DataFrame, asks: DataFrame, view: View | None) -> DataFrame:
+    """Compressed texts with what is asked of them. Joined by shuffle, whatever the sizes: Python passes of one stage would add up in memory."""
+    wanted = asks.groupBy("__id", "__text").agg(F.collect_list(F.struct("gram", "p", "lo", "hi", "whole")).alias("asks"))
+    return compressed(docs.select("__id", "__text", "text"), "text", view).join(wanted.hint("merge"), ["__id", "__text"]).select("__id", "__text", "text", "asks")
+
+
+def _cut_out(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the asked contexts, cut out of the texts."""
-    wanted = asks.groupBy("__id", "__text").agg(F.collect_list(F.struct("gram", "p", "lo", "hi", "whole", "many")).alias("asks"))
-    rows = compressed(docs.select("__id", "__text", "text"), "text", view).join(wanted, ["__id", "__text"]).select("__id", "__text", "text", "asks")
-    schema = "__id long, __text long, gram long, lo int, hi int, whole boolean, many boolean, bytes binary"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+    unzip = zstandard.ZstdDecompressor().decompress
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+    for batch in batches:
+        out, size = [], 0
+        for i, x, text, asked in zip(*(batch.column(c) for c in ("__id", "__text", "text", "asks"))):
+            raw = unzip(text.as_py())
+            for a in asked.as_py():
+                out.append((i.as_py(), x.as_py(), a["gram"], a["lo"], a["hi"], a["whole"], raw[a["lo"] : a["hi"] + length]))
+                size += len(out[-1][-1])
+                if size > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=CONTEXT)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=CONTEXT)
+
+
+CONTEXT = ["__id", "__text", "gram", "lo", "hi", "whole", "bytes"]
+
 
+def _contexts(docs: DataFrame, asks: DataFrame, length: int, view: View | None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = []
-                for i, x, text, asked in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in ("__id", "__text", "text", "asks"))):
-                    raw = unzip(text)
-                    out += [(i, x, a["gram"], a["lo"], a["hi"], a["whole"], a["many"], raw[a["lo"] : a["hi"] + length]) for a in asked]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["__id", "__text", "gram", "lo", "hi", "whole", "many", "bytes"])
+        return _cut_out(batches, length)
 
-    return rows.mapInArrow(released(run), schema)
+    return _asked(docs, asks, view).mapInArrow(released(run), "__id long, __text long, gram long, lo int, hi int, whole boolean, bytes binary")
 
 
 def _windows(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -457,19 +470,18 @@ def _edge_spans(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(released(run), schema)
 
 
-def _frequent_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many contexts: windows meet by their hash, so no task holds an anchor's contexts together."""
+def _frequent_spans(docs: DataFrame, asks: DataFrame, length: int, view: View | None) -> DataFrame:
+    """The same for anchors with many contexts: windows meet by their hashes, so no task holds an anchor's contexts together."""
     schema = "__id long, __text long, whole boolean, start int, window long, other long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                table = pa.Table.from_batches([batch.slice(at, 512)])
-                value, other, row, start = _windows(table, length)
-                pick = pa.array(row)
-                yield pa.RecordBatch.from_arrays([*(table.column(c).take(pick).combine_chunks() for c in ("__id", "__text", "whole")), pa.array(start, pa.int32()), pa.array(value.view(np.int64)), pa.array(other.view(np.int64))], names=["__id", "__text", "whole", "start", "window", "other"])
+        for batch in _cut_out(batches, length):
+            table = pa.Table.from_batches([batch])
+            value, other, row, start = _windows(table, length)
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(table.column(c).take(pick).combine_chunks() for c in ("__id", "__text", "whole")), pa.array(start, pa.int32()), pa.array(value.view(np.int64)), pa.array(other.view(np.int64))], names=["__id", "__text", "whole", "start", "window", "other"])
 
-    windows = contexts.mapInArrow(released(run), schema)
+    windows = _asked(docs, asks, view).mapInArrow(released(run), schema)
     again = windows.groupBy("window", "other").agg(F.count("*").alias("c")).filter("c > 1").select("window", "other")
     return windows.filter("not whole").join(again, ["window", "other"]).select("__id", "__text", "start", (F.col("start") + length).alias("stop"))
 
@@ -478,7 +490,8 @@ def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS
     """__id, __text and the repeated spans (start, stop) of docs (__id, __text, text), as the view shows them."""
     docs = docs.select("__id", "__text", "text")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shards = cut_lineage(_shards(docs, length, max(1, math.ceil(size / BUCKET_BYTES)), view))
+    most = useful_partitions(docs)
+    shards = cut_lineage(_shards(docs, length, max(1, math.ceil(size / BUCKET_BYTES)), view), most)
     runs = shards.filter("bucket >= 0")
     ways = runs.groupBy("bucket").agg(F.ceil(F.sum("n") * 2 / hot).cast("int").alias("ways")).filter("ways > 2").collect()  # few: each has that many strings
     split = F.col("bucket").isin([r["bucket"] for r in ways])
@@ -488,14 +501,12 @@ def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS
         plain = plain.unionByName(_dealt_anew(runs.filter(split).join(known, "bucket").select("shard", "bucket", "n", "ways", "payload")))
     judged = plain.groupBy("bucket", "part").applyInPandas(_merge, "shard string, bucket int, place binary, payload binary")
     back = shards.filter("bucket < 0").select("shard", "bucket", F.lit(None).cast("binary").alias("place"), "payload").unionByName(judged).groupBy("shard")
-    found = cut_lineage(back.applyInPandas(_settle, "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, ask boolean"))
+    found = cut_lineage(back.applyInPandas(_settle, "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, ask boolean"), most)
     whole = found.filter("whole").select("__id", "__text", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     asks = found.filter("ask").dropDuplicates(["__id", "__text", "p", "lo"]).drop("ask")
-    many = asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram", F.lit(True).alias("many"))
-    contexts = _contexts(docs, asks.join(many, "gram", "left").withColumn("many", F.coalesce("many", F.lit(False))), length, view)
-    parts = shuffle_width(docs.sparkSession)
-    few = contexts.filter("not many").repartition(parts, "gram").sortWithinPartitions("gram")
-    return whole.unionByName(_edge_spans(few, length)).unionByName(_frequent_spans(contexts.filter("many"), length))
+    many = asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram")
+    few = _contexts(docs, asks.join(many, "gram", "left_anti"), length, view).repartition(min(most, shuffle_width(docs.sparkSession)), "gram").sortWithinPartitions("gram")
+    return whole.unionByName(_edge_spans(few, length)).unionByName(_frequent_spans(docs, asks.join(many, "gram", "left_semi"), length, view))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -579,7 +590,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
         spans = spans.unionByName(repeated_spans(plain_docs, length, edge_limit, view=with_long_words(length, words)).withColumn("unit", F.lit(1)))
     by_doc = spans.groupBy("__id", "__text").agg(F.collect_list(F.struct("start", "stop", "unit")).alias("repeats"))
     texts = next(f for f in docs.schema.fields if f.name == text)
-    joined = compressed(docs, text).join(by_doc, ["__id", "__text"], "left").drop("__id", "__text")
+    joined = compressed(docs, text).join(by_doc.hint("merge"), ["__id", "__text"], "left").drop("__id", "__text")
     span_list = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]), False)
     passed = [texts if f.name == text else f for f in joined.schema.fields if f.name != "repeats"]
     schema = T.StructType([*passed, T.StructField("repeats", span_list, False), T.StructField("kept", T.BinaryType(), False)])
