@@ -2,7 +2,7 @@
 
 quality classifier (rejected documents go) -> MinHash near-duplicates (one document of each group stays) -> repeated substrings are cut
 out of the texts -> sources are mixed to target weights (documents that are not drawn go) -> texts are encoded. Stages before the last
-return the columns of documents.
+return the columns of documents, in no more partitions than their size is worth.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.llm import bpe, minhash, mixing, quality, suffix
-from cuemill.llm.common import cut_lineage, read_table
+from cuemill.llm.common import cut_lineage, read_table, useful_partitions
 
 PASSAGE_WORDS = 50
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
-    return model.score(docs, into="__score").filter(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    return model.score(docs, into="__score").filter(F.col("__score") >= quality.THRESHOLD).drop("__score").coalesce(useful_partitions(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = minhash.components(docs.select("doc_id", "text")).filter("not kept").select("doc_id").distinct()
     text = F.sha2(F.col("text").cast("binary"), 256)
     rows = docs.join(gone, "doc_id", "left_anti").groupBy(F.col("doc_id").alias("__id"), text.alias("__text"))
-    return rows.agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return rows.agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*").coalesce(useful_partitions(docs))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +38,16 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     out = out.withColumn("text", F.when(F.size("repeats") > 0, whole).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
-    return out.select(docs.columns)
+    return out.select(docs.columns).coalesce(useful_partitions(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).filter("drawn").select(docs.columns)
+    return mixing.mix(docs).filter("drawn").select(docs.columns).coalesce(useful_partitions(docs))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     coded = bpe.encode(docs, bpe.default_vocabulary())
-    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).select("doc_id", "lang", "source", "n_tokens", "token_ids")
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).select("doc_id", "lang", "source", "n_tokens", "token_ids").coalesce(useful_partitions(docs))
 
 
 STAGES = [("quality", quality_stage), ("near_dedup", near_dedup_stage), ("suffix_dedup", suffix_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
