@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions import lang, textfix
-from cuemill.operators import cues, glyphs, spell, state
+from cuemill.operators import cues, decode, glyphs, spell, state
 from cuemill.plans import captions
 from cuemill.sources import probe, writers
 
@@ -538,3 +539,48 @@ def database_paths(spark, sf_dir):
     configured = spark.createDataFrame([("ger", "g.nocr", 1), ("de", "late.nocr", 2), ("en", "/a/e.nocr", 0), ("fr", " ", 3)], "language string, path string, position int")
     dropped_in = spark.createDataFrame([("fra.nocr",), ("deu.nocr",), ("notes.txt",)], "name string")
     return state.database_paths(languages, configured, dropped_in, "all.nocr", "/db")
+
+
+# --- images --------------------------------------------------------------------------------------------------------------------------
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters() -> tuple[dict[str, np.ndarray], bytes]:
+    """A made-up script: a frame around six cells that spell a letter's number; its bitmaps and its glyph database."""
+    frame = [[0, 0, 9, 0], [0, 13, 9, 13], [0, 0, 0, 13], [9, 0, 9, 13]]
+    cells = [[[2 + 3 * (k % 2), 2 + 4 * (k // 2), 3 + 3 * (k % 2), 2 + 4 * (k // 2)], [2 + 3 * (k % 2), 3 + 4 * (k // 2), 3 + 3 * (k % 2), 3 + 4 * (k // 2)]] for k in range(6)]
+    shapes, found = {}, []
+    for i, c in enumerate(_ALPHABET, 1):
+        ink = frame + [s for k in range(6) if i >> k & 1 for s in cells[k]]
+        g = glyphs.Glyph(c, 10, 14, 0, np.array(ink), np.array([s for k in range(6) if not i >> k & 1 for s in cells[k]]))
+        shapes[c] = np.zeros((14, 10), bool)
+        shapes[c].ravel()[glyphs.stroke_points(g.fg, 10, 14, 10, 14)] = True
+        found.append(g)
+    return shapes, glyphs.write_database(found)
+
+
+def drawn(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, bitmap: texts of small letters and blanks in that script, white on nothing, one line high."""
+    shapes, _ = _letters()
+    kinds = dict(docs.dtypes)
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for t in frame[text]:
+                columns = [np.zeros((14, 6), bool) if c == " " else np.pad(shapes[c], ((0, 0), (0, 1))) for c in t] or [np.zeros((14, 1), bool)]
+                mask = np.pad(np.concatenate(columns, 1), 2)
+                rows.append({"width": mask.shape[1], "height": mask.shape[0], "rgba": np.where(mask[..., None], np.uint8(255), np.uint8(0)).repeat(4, 2).tobytes()})
+            out = frame[keys].copy()
+            out["bitmap"] = rows
+            yield out
+
+    return docs.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", bitmap {decode.BITMAP}")
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS text, CAST(0 AS INTEGER) AS unknown FROM conversations")
+def recognized_lines(spark, sf_dir):
+    """Texts drawn as images and read back."""
+    plain = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("text"))
+    return glyphs.recognize(drawn(plain, ["conv_id", "turn"], "text"), ["conv_id", "turn"], _letters()[1]).select("conv_id", "turn", "text", "unknown")
