@@ -8,7 +8,7 @@ sample ask for their neighbours in the sample, and nearly all of these have to s
 are farther than those in the table, so the table's recall is not below. Lists are split into bounded shards by a hash of
 the id, so a hot vector makes more shards, not a larger task; a shard hands on k entries for each query.
 
-Bounds: `SAMPLE` rows for fitting, `CENTROIDS` centroids (sent to the workers in the task closure: 4096 x 64 doubles are 2 MB), `REPLICAS`
+Bounds: `SAMPLE` rows for fitting, as expected, `CENTROIDS` centroids (sent to the workers in the task closure: 4096 x 64 doubles are 2 MB), `REPLICAS`
 lists for a row. Every row is indexed in its nearest list.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, vectors whose size differs from the most
@@ -196,14 +196,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def fit(rows: DataFrame, n_rows: int, k: int, sample: int = SAMPLE) -> tuple[CentroidGraph, float, int]:
     """The centroids, and the calibrated ratio and number of lists of a query."""
-    found = rows.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(sample).select("v").toArrow()
+    share = min(1.0, sample / max(1, n_rows))  # by a threshold of hashes: no task sorts or gathers more than the sample
+    part = rows.filter(F.pmod(F.xxhash64("vec_id", "v", F.lit(6)), F.lit(1 << 53)) < F.lit(int(share * (1 << 53)) + (share == 1)))
+    found = part.select("vec_id", "v").distinct().toArrow().sort_by("vec_id")
     x = found.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(found.num_rows, -1)
     graph = CentroidGraph(balanced_centroids(x, max(1, min(CENTROIDS, n_rows // LIST_ROWS, len(x) // 4))))
     return graph, *graph.calibrated(x, k)
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found; rows (vec_id, v), queries (query_id, q): array<float>."""
+def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, shard: int = SHARD, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance) of the k nearest found; rows (vec_id, v), queries (query_id, q): array<float>.
+
+    exact: every query opens every list, so that no neighbour is missed.
+    """
     schema = "query_id long, rank int, vec_id long, score double"
     bounded_batches(rows.sparkSession)
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -212,6 +217,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, sh
     rows = rows.filter(F.size("v") == dims["d"])
     queries = queries.filter(F.size("q") == dims["d"]).groupBy("query_id").agg(F.min("q").alias("q"))
     fitted, ratio, most = fit(rows, dims["count"], k, sample)
+    if exact:
+        ratio, most = float("inf"), len(fitted.c)
     graph = rows.sparkSession.sparkContext.broadcast(fitted)
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ which is linear in its size; what stays apart is then compared within bounded gr
 that only pairs that join components leave it. Members of one component are not compared again.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; rows with a null id get a null component and are
-kept; rows that share an id are one document, whose texts each link it; repeated rows repeat in the result.
+kept; rows that share an id are one document, whose texts each link it; repeated rows repeat in the result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -168,17 +168,21 @@ def _star_pairs(apart: DataFrame, centres: int, near) -> DataFrame:
     return met.select(F.least("node", "cu").alias("u"), F.greatest("node", "cu").alias("v")).distinct()
 
 
-def joining_pairs(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def joining_pairs(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int, full: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that join the components of a group of at most 2 * BLOCK documents: all members outside the commonest component against all.
 
-    sets: sorted distinct 32-bit hashes. They can only overstate an intersection, so no pair that reaches the similarity is lost, and
-    what they let through is confirmed on full sets later. One pair is enough to join two components.
+    sets: sorted distinct 32-bit hashes; full: sizes of the sets before hashes were cut. Shingles that two sets share can fall together,
+    so an intersection can be as much larger as a set has lost; others can meet by chance, so it can be smaller. A pair that reaches the
+    similarity by more than chance is enough to join two components; of those that still stand apart, all pairs that may reach it go
+    out, to be confirmed on full sets, and none stands for another.
     """
     names, comp = np.unique(comp, return_inverse=True)
     if len(names) < 2:
         return []
     asked = np.flatnonzero(comp != np.bincount(comp).argmax())
     size = np.array([len(x) for x in sets])
+    full = size if full is None else full
+    lost = full - size
     value, at = np.unique(np.concatenate([sets[i] for i in asked]), return_inverse=True)
     inter = np.zeros((len(asked), len(sets)))
     step = max(1, (1 << 22) // max(1, len(asked) + len(sets)))  # shingles at a time, for bounded memory
@@ -195,7 +199,10 @@ def joining_pairs(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], pe
         m = (place >= lo) & (place < lo + step)
         right[owner[m], place[m] - lo] = 1
         inter += left @ right.T
-    good = 100 * inter >= percent * (size[asked][:, None] + size[None] - inter)
+    both = full[asked][:, None] + full[None]
+    reached = lambda shared: 100 * shared >= percent * (both - shared)
+    good = reached(inter - 4 - full[asked][:, None] * (full[None] / 2**30))
+    maybe = reached(inter + np.minimum(lost[asked][:, None], lost[None])) & ~good
     parent = list(range(len(names)))
 
     def find(x: int) -> int:
@@ -210,6 +217,9 @@ def joining_pairs(node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], pe
         if x != y:
             parent[x] = y
             out.append((int(min(node[asked[i]], node[j])), int(max(node[asked[i]], node[j]))))
+    for i, j in zip(*np.nonzero(maybe)):
+        if find(comp[asked[i]]) != find(comp[j]):
+            out.append((int(min(node[asked[i]], node[j])), int(max(node[asked[i]], node[j]))))
     return out
 
 
@@ -222,9 +232,9 @@ def _pairs_in_buckets(apart: DataFrame, sets: DataFrame, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(small, pa.binary())], names=["node", "small"])
 
     blocks = apart.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = apart.select("band", "node", "comp").join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = apart.select("band", "node", "comp", "n").join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    full = dealt.join(sets.dropDuplicates(["node", "shingles"]).mapInArrow(fold, "node long, small binary"), "node").select("band", "i", "j", "node", "comp", "small")
+    full = dealt.join(sets.dropDuplicates(["node", "shingles"]).mapInArrow(fold, "node long, small binary"), "node").select("band", "i", "j", "node", "comp", "n", "small")
     width = int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = full.repartition(width, "band", "i", "j").sortWithinPartitions("band", "i", "j")
 
@@ -232,10 +242,10 @@ def _pairs_in_buckets(apart: DataFrame, sets: DataFrame, percent: int) -> DataFr
         held: pa.Table | None = None
 
         def settle(table: pa.Table) -> pa.RecordBatch:
-            band, i, j, node, comp = (table.column(c).to_numpy() for c in ("band", "i", "j", "node", "comp"))
+            band, i, j, node, comp, n = (table.column(c).to_numpy() for c in ("band", "i", "j", "node", "comp", "n"))
             sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("small")]
             cuts = np.flatnonzero(np.concatenate(([True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
-            out = [p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in joining_pairs(node[a:b], comp[a:b], sets[a:b], percent)]
+            out = [p for a, b in zip(cuts, cuts[1:]) if b - a > 1 for p in joining_pairs(node[a:b], comp[a:b], sets[a:b], percent, n[a:b])]
             return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
 
         for batch in batches:

@@ -80,3 +80,17 @@ def test_sketch_fills_and_estimates():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.1
     v, o = minhash.shingle_sets(pa.array(["a b c d e", "A  b c d\te", "a b", None]), 4)
     assert np.diff(o).tolist() == [2, 2, 1, 0] and (v[:2] == v[2:4]).all()
+
+
+def test_pairs_of_cut_hashes_are_not_lost():
+    """Sets that lost a shingle to a collision of 32-bit hashes, at exactly 80 %, and pairs that only chance could join."""
+    one, two = np.arange(0, 89, dtype=np.uint32), np.arange(0, 80, dtype=np.uint32)
+    far = np.arange(1000, 1100, dtype=np.uint32)
+    near = np.concatenate((far[:88], np.arange(5000, 5012, dtype=np.uint32)))
+    node, comp = np.array([4, 7, 9, 11]), np.array([4, 7, 9, 11])
+    full = np.array([100, 90, 100, 100])  # truly 100 and 90 with 84 or more in common
+    assert (4, 7) in minhash.joining_pairs(node, comp, [one, two, far, near], 80, full)
+    assert not [p for p in minhash.joining_pairs(node[:2], comp[:2], [one, two], 80, np.array([140, 130])) if p != (4, 7)]
+    sure = np.arange(0, 99, dtype=np.uint32)
+    joined = minhash.joining_pairs(node[:3], comp[:3], [one[:89], np.arange(0, 90, dtype=np.uint32), sure[:89]], 80)
+    assert len(joined) == 2  # one pair joins two components, the third is not asked again

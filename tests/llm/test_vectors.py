@@ -126,6 +126,14 @@ def test_ann_odd_rows(spark):
     assert ann.search(df.limit(0), df.limit(0).selectExpr("vec_id query_id", "v q"), 10).count() == 0
 
 
+def test_exact_switch(spark):
+    x = np.random.default_rng(9).normal(size=(3000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<float>")
+    queries = df.filter("vec_id % 100 = 0").selectExpr("vec_id query_id", "v q")
+    got = [tuple(r) for r in ann.search(df, queries, 10, exact=True).orderBy("query_id", "rank").collect()]
+    assert recall(got, np.arange(3000), x.astype(float), 100, 10) == 1.0
+
+
 def test_ann_repeated_rows(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(60, 4)).tolist()
