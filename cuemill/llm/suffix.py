@@ -49,6 +49,8 @@ from cuemill.llm.common import BLANK, SLICE_BYTES, bounded_batches, byte_weights
 SHARD_ANCHORS, EDGE_CONTEXTS = 1 << 15, 2048
 #: Symbols of a string, bytes of text for which there is a bucket of the merge, strings of a bucket from which it is split.
 SYMBOLS, BUCKET_BYTES, HOT_ENTRIES = 7, 4 << 20, 1 << 16
+#: Frequent anchors that are sent to all workers at most, 8 bytes each; there are at most one for every `EDGE_CONTEXTS` contexts.
+BROADCAST_GRAMS = 1_000_000
 #: Bytes of a word's code; passages are equal if their words are, whatever blanks part them.
 CODE = 6
 #: Words of more bytes are hashed on their own.
@@ -504,7 +506,9 @@ def repeated_spans(docs: DataFrame, length: int, edge_limit: int = EDGE_CONTEXTS
     found = cut_lineage(back.applyInPandas(_settle, "__id long, __text long, gram long, p int, lo int, hi int, whole boolean, ask boolean"), most)
     whole = found.filter("whole").select("__id", "__text", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     asks = found.filter("ask").dropDuplicates(["__id", "__text", "p", "lo"]).drop("ask")
-    many = asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram")
+    many = cut_lineage(asks.groupBy("gram").agg(F.count("*").alias("c")).filter(F.col("c") > edge_limit).select("gram"), most)
+    if many.count() <= BROADCAST_GRAMS:  # else contexts meet them by shuffle, where a frequent anchor is a hot key
+        many = F.broadcast(many)
     few = _contexts(docs, asks.join(many, "gram", "left_anti"), length, view).repartition(min(most, shuffle_width(docs.sparkSession)), "gram").sortWithinPartitions("gram")
     return whole.unionByName(_edge_spans(few, length)).unionByName(_frequent_spans(docs, asks.join(many, "gram", "left_semi"), length, view))
 
