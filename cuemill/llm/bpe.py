@@ -28,10 +28,12 @@ from cuemill.llm.common import bounded_batches, read_table, released, slices
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of segments and tokens that a worker's memo holds before it starts anew; what a segment and its entries take besides its text.
-MEMO_BYTES, ENTRY_BYTES = 24 << 20, 160
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 160
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of text of one encoding step (many words share the work of a rank), and bytes of distinct words that are merged at a time.
-STEP_BYTES, MERGE_BYTES = 1 << 20, 1 << 20
+STEP_BYTES, MERGE_BYTES = 3 << 20, 2 << 20
+#: Characters or tokens of a piece of a text that is longer than a step.
+LONG_TEXT = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -190,11 +192,26 @@ class PairIndexBpe:
         self.pool = np.concatenate((self.pool, added))
         self.memo_bytes += sum(map(len, new)) + 4 * len(added) + ENTRY_BYTES * len(new)
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text in stretches of about LONG_TEXT characters that can be encoded apart."""
+        at = 0
+        while len(text) - at > 2 * LONG_TEXT and (m := self.cut.search(text, at + LONG_TEXT)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:]
+
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in a row, and n + 1 offsets."""
+        """The ids of all texts in a row, and n + 1 offsets. A long text comes alone and is read in pieces."""
+        texts = [t or "" for t in texts]
+        if len(texts) == 1 and len(texts[0]) > 2 * LONG_TEXT:
+            ids = np.concatenate([self._encoded([p])[0] for p in self.pieces(texts[0])])
+            return ids, np.array([0, len(ids)])
+        return self._encoded(texts)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.memo_bytes > MEMO_BYTES:
             self._reset()
-        parts = [self.segments(t or "") for t in texts]
+        parts = [self.segments(t) for t in texts]
         if new := list(dict.fromkeys(filterfalse(self.memo.__contains__, chain.from_iterable(parts)))):
             self.learn(new)
         order = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
@@ -218,10 +235,16 @@ class Pieces:
         self.at = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        return self.bytes[spread(self.at[ids], self.lengths[ids])].tobytes()
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
-        """Texts of id runs; bytes that are no UTF-8 become replacement characters."""
+        """Texts of id runs; bytes that are no UTF-8 become replacement characters. A long run comes alone and is read in pieces."""
+        if len(offsets) == 2 and len(ids) > LONG_TEXT:
+            data = [self._bytes(ids[a : a + LONG_TEXT]) for a in range(0, len(ids), LONG_TEXT)]
+            return [b"".join(data).decode("utf-8", "replace")]
         counts = self.lengths[ids]
-        data = self.bytes[spread(self.at[ids], counts)].tobytes()
+        data = self._bytes(ids)
         ends = np.concatenate(([0], np.cumsum(counts)))[offsets].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
 
@@ -243,7 +266,7 @@ def loaded(kind: type, path: str) -> object:
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """docs with the array<int> column `into`; a column of that name is replaced. Narrow: no shuffle."""
+    """docs with the array<int> column `into`; a column of that name is replaced. Narrow: no shuffle. Long texts are read in pieces."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop(into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])

@@ -46,6 +46,19 @@ def test_reset_of_the_memo_and_words_merged_in_groups(both, monkeypatch):
     ours._reset()
 
 
+def test_long_texts_in_pieces(both, monkeypatch):
+    ours, theirs = both
+    rng = random.Random(5)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 300)
+    for blank in (" ", "  ", " \n", "\u3000"):
+        text = "".join(rng.choice(["word", "Über", "12", "it's", "<|endoftext|>", "!"]) + rng.choice([" ", " ", blank]) for _ in range(2000))
+        want = theirs.encode(text, add_special_tokens=False).ids
+        assert len(list(ours.pieces(text))) > 5 and "".join(ours.pieces(text)) == text
+        ids, ends = ours.encode([text])
+        assert ids.tolist() == want and ends.tolist() == [0, len(want)]
+        assert bpe.Pieces(bpe.default_vocabulary()).decode(ids, ends) == [theirs.decode(want, skip_special_tokens=False)]
+
+
 def test_query_on_the_table(spark, both):
     rows = bpe.op3_bpe(spark, "/root/testdata/sf0.001").collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
