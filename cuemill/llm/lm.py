@@ -169,7 +169,7 @@ class Looked:
         for code, row in pieces:
             label, distinct = pd.factorize(code)
             self.labels.append(label.astype(np.int32))
-            self.rows.append(row.astype(np.int32))
+            self.rows.append(row[:1] if len(row) and row[0] == row[-1] else row.astype(np.int32))  # a piece of a long row is all its
             found.append(distinct)
         label, distinct = pd.factorize(np.concatenate([np.zeros(0, np.uint64), *found]))
         order = np.argsort(distinct)
@@ -182,7 +182,11 @@ class Looked:
         """The sum of the values of each row's codes; value: whole numbers by code."""
         total = np.zeros(rows)
         for row, label, place in zip(self.rows, self.labels, self.places):
-            total += np.bincount(row, weights=value[place][label], minlength=rows)
+            found = value[place][label]
+            if len(row) == 1:
+                total[row[0]] += found.sum(dtype=np.int64)
+            else:
+                total += np.bincount(row, weights=found, minlength=rows)
         return total
 
 
