@@ -265,7 +265,7 @@ def loaded(kind: type, path: str) -> object:
     return _LOADED[kind, path]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "token_ids", step: int = STEP_BYTES) -> DataFrame:
     """docs with the array<int> column `into`; a column of that name is replaced. Narrow: no shuffle. Long texts are read in pieces."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop(into)
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "to
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(PairIndexBpe, vocabulary)
-        for part in slices(batches, text, STEP_BYTES):
+        for part in slices(batches, text, step):
             ids, ends = bpe.encode(part.column(text).to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one step of a Python worker handles; bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 1 << 18
 #: Bytes of its input for which a table gets a partition, where it is small.
-PARTITION_BYTES = 4 << 20
+PARTITION_BYTES = 16 << 20
 #: Rows and bytes of an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -38,7 +38,8 @@ def useful_partitions(df: DataFrame) -> int:
 def cut_lineage(df: DataFrame, most: int | None = None) -> DataFrame:
     """A reliable checkpoint in the shared folder of spark.checkpoint.dir; only a single local JVM gets a folder of its own where none is set.
 
-    most: partitions that the table is worth; more are merged, so that a small table isn't written as a crowd of tiny files.
+    most: partitions that the table is worth; more are merged, so that a small table isn't written as a crowd of tiny files. Its joins
+    broadcast by sizes measured at run time: estimates, which take every binary for 100 bytes, decide none.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -46,7 +47,15 @@ def cut_lineage(df: DataFrame, most: int | None = None) -> DataFrame:
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuemill-"))
-    return (df if most is None else df.coalesce(most)).checkpoint()
+    conf, estimated, measured = df.sparkSession.conf, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = conf.get(estimated), conf.get(measured, None)
+    conf.set(measured, before[1] or before[0])
+    conf.set(estimated, "-1")
+    try:
+        return (df if most is None else df.coalesce(most)).checkpoint()  # eager: planned and run within these settings
+    finally:
+        conf.set(estimated, before[0])
+        conf.unset(measured) if before[1] is None else conf.set(measured, before[1])
 
 
 def bounded_batches(spark: SparkSession) -> None:

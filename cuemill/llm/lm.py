@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -240,7 +240,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     """Batches of rows (id, none, held, text): name, bytes, payload."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        home, made, held, size = uuid.uuid4().hex, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             data, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])

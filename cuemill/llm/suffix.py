@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,7 +282,7 @@ def _shards(docs: DataFrame, length: int, buckets: int, view: View | None) -> Da
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, made, rows_before = 0, 0, 0
-        home = TaskContext.get().partitionId()
+        home = uuid.uuid4().hex  # a task that merges partitions runs this once for each, so its number names no shard
 
         def flush() -> pa.RecordBatch:
             rows, p, lo, hi, strings = (np.concatenate([h[j] for h in held]) for j in range(5))

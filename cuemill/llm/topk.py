@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ def packed_blocks(rows: DataFrame, block: int) -> DataFrame:
     """name, d, ids and vectors of blocks of rows (vec_id, v) of equal dimension d, packed where the rows lie, in the order of ids."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, made, held, n = TaskContext.get().partitionId(), 0, {}, 0
+        home, made, held = uuid.uuid4().hex, 0, {}
 
         def flush(d: int) -> pa.RecordBatch:
             nonlocal made

@@ -37,10 +37,14 @@ def corpus(rng, unit):
     return texts + [texts[10], texts[10], texts[11] + "!"]
 
 
-@pytest.mark.parametrize("length,limit", [(24, 2048), (24, 1), (400, 2048)])
-def test_equals_brute_force(spark, length, limit):
+# 40 partitions are more than so small a table is worth: tasks merge them
+@pytest.mark.parametrize("length,limit,parts", [(24, 2048, 3), (24, 1, 3), (400, 2048, 3), (24, 2048, 40)])
+def test_equals_brute_force(spark, tmp_path, length, limit, parts):
     texts = corpus(random.Random(length + limit), 12 if length == 24 else 200)
-    df = spark.createDataFrame([(None if k == 7 else k, t, "b") for k, t in enumerate(texts)], "doc_id long, text string, bytes string").repartition(3)
+    df = spark.createDataFrame([(None if k == 7 else k, t, "b") for k, t in enumerate(texts)], "doc_id long, text string, bytes string")
+    df.write.parquet(str(tmp_path / "docs"))  # a table whose size is known
+    df = spark.read.parquet(str(tmp_path / "docs")).repartition(parts)
+    assert suffix.useful_partitions(df) == 8
     got = {r.doc_id: r for r in suffix.remove_repeats(df, length, edge_limit=limit).collect()}
     assert len(got) == len(texts)
     for k, (gone, kept) in enumerate(brute(texts, length)):
