@@ -46,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(docs, bpe.default_vocabulary())
+    coded = bpe.encode(docs, bpe.default_vocabulary(), step=3 << 19)  # beside what the stages before have left in the workers
     return coded.withColumn("n_tokens", F.size("token_ids").cast("long")).select("doc_id", "lang", "source", "n_tokens", "token_ids").coalesce(useful_partitions(docs))
 
 
