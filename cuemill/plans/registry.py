@@ -581,6 +581,7 @@ def drawn(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS text, CAST(0 AS INTEGER) AS unknown FROM conversations")
 def recognized_lines(spark, sf_dir):
-    """Texts drawn as images and read back."""
-    plain = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("text"))
+    """Texts drawn as images and read back. The work is in the rows, so they are dealt to all cores, however few files hold them."""
+    docs = table(spark, sf_dir, "conversations").repartition(2 * spark.sparkContext.defaultParallelism, "conv_id", "turn")
+    plain = docs.select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("text"))
     return glyphs.recognize(drawn(plain, ["conv_id", "turn"], "text"), ["conv_id", "turn"], _letters()[1]).select("conv_id", "turn", "text", "unknown")
