@@ -142,3 +142,28 @@ def test_empty_table_and_query(spark):
     for d, (gone, kept) in zip(docs, brute([d.text for d in docs], 400)):
         r = rows[d.doc_id]
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(gone), gone.sum(), hashlib.sha256(kept).hexdigest())
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 40])
+def test_runs_stay_large_and_levels_equal_brute_force(spark, monkeypatch, hot):
+    """As many buckets as a large corpus has: the transforms of a shard don't get more and smaller, and shards are merged level by level."""
+    texts = corpus(random.Random(8), 12)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    df = df.select(F.col("doc_id").alias("__id"), F.col("doc_id").alias("__text"), "text")
+    sent = []
+    monkeypatch.setattr(suffix, "cut_lineage", lambda df, most=None, cut=suffix.cut_lineage: sent.append(cut(df, most)) or sent[-1])
+    monkeypatch.setattr(suffix, "BUCKET_BYTES", 2)
+    monkeypatch.setattr(suffix, "FAN", 16, raising=False)
+    monkeypatch.setattr(suffix, "SHARD_ANCHORS", 300)
+    spans = {}
+    for r in suffix.repeated_spans(df, 24, hot=hot).collect():
+        spans.setdefault(r["__id"], []).append((r.start, r.stop))
+    levels = [t for t in sent if "bucket" in t.columns]
+    for t in levels:
+        assert t.filter("bucket >= 0").groupBy("shard").count().agg(F.max("count")).first()[0] <= 16
+    assert len(levels) == 3
+    for k, (gone, _) in enumerate(brute(texts, 24)):
+        mask = np.zeros(len(gone), bool)
+        for a, b in spans.get(k, []):
+            mask[a:b] = True
+        assert (mask == gone).all(), k
