@@ -167,3 +167,25 @@ def test_runs_stay_large_and_levels_equal_brute_force(spark, monkeypatch, hot):
         for a, b in spans.get(k, []):
             mask[a:b] = True
         assert (mask == gone).all(), k
+
+
+def test_query_shows_what_is_kept(spark, tmp_path):
+    """Passages of over 50 words and 400 bytes or more go from the text that the query returns; the rest of it stays."""
+    rng = random.Random(9)
+    made = lambda n, size: " ".join("".join(rng.choice("abcdefgh") for _ in range(size)) for _ in range(n))
+    planted, brief = " " + made(60, 7) + " ", " " + made(60, 4) + " "
+    split = made(1, 399)
+    parts = {0: planted, 1: planted, 2: brief, 3: brief}
+    texts = {k: made(50, 6) + "W." + inner + "M." + made(50, 6) for k, inner in parts.items()}
+    texts |= {4: made(90, 6), 5: None, 6: "", 7: "é" + split, 8: "©" + split}  # both end in the byte A9
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in suffix.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(planted) >= 400 > len(brief) + 4
+    for (k, t), (gone, kept) in zip(texts.items(), brute(texts.values(), 400)):
+        r = got[k]
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(gone), gone.sum(), hashlib.sha256(kept).hexdigest())
+        assert r.text == kept.decode(errors="replace"), k
+        assert (r.text == (t or "")) == (r.n_removed == 0)
+    assert got[7].text == got[8].text == "\ufffd"
+    assert all(planted not in got[k].text for k in (0, 1)) and all(got[k].n_removed == 0 for k in (2, 3, 4))
