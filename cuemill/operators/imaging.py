@@ -8,26 +8,52 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cuemill.session import bounded_batches
+
 # Fixed values.
 ALPHA, LUMA, INK, POLARITY_PIXELS, POLARITY_MARGIN, POLARITY_IMAGES = 100, 128, 150, 20, 40, 25
+#: Bytes of bitmaps that a Python pass hands on at once, beside those of the last image.
+IMAGE_BYTES = 4 << 20
+
+
+def _weighted(rgba: np.ndarray) -> np.ndarray:
+    """A thousand times the luma, before it is cut to whole numbers."""
+    out = np.zeros(rgba.shape[:-1], np.int32)
+    for channel, weight in enumerate((299, 587, 114)):
+        out += np.multiply(rgba[..., channel], weight, dtype=np.int32)
+    return out
 
 
 def luma(rgba: np.ndarray) -> np.ndarray:
-    return rgba[..., :3].astype(int) @ np.array([299, 587, 114]) // 1000
+    return _weighted(rgba) // 1000
+
+
+def in_pieces(frame: pd.DataFrame, made: Iterable[dict], limit: int = IMAGE_BYTES) -> Iterator[tuple[pd.DataFrame, list[dict]]]:
+    """Stretches of a frame with what is made of their rows, one by one; they end once their bitmaps hold `limit` bytes."""
+    at, size, found = 0, 0, []
+    for k, one in enumerate(made, 1):
+        found.append(one)
+        size += len(one["bitmap"]["rgba"]) if one.get("bitmap") else 0
+        if size >= limit or k == len(frame):
+            yield frame.iloc[at:k], found
+            at, size, found = k, 0, []
 
 
 def binarize(rgba: np.ndarray, inverted: bool = False) -> tuple[np.ndarray, tuple[int, int, int] | None]:
     """The mask of foreground pixels and their dominant colour: the fullest bucket of 5 bits a channel, if it has 1.5 times the next."""
-    light = luma(rgba)
-    mask = (rgba[..., 3] >= ALPHA) & ((light < LUMA) if inverted else (light >= LUMA))
-    c = rgba[mask][:, :3].astype(int)
-    if not len(c):
+    light = _weighted(rgba)
+    mask = (rgba[..., 3] >= ALPHA) & ((light < 1000 * LUMA) if inverted else (light >= 1000 * LUMA))
+    colors = [rgba[..., channel][mask] for channel in range(3)]
+    if not len(colors[0]):
         return mask, None
-    keys, place, count = np.unique((c >> 3) @ np.array([1024, 32, 1]), return_inverse=True, return_counts=True)
-    order = np.argsort(-count, kind="stable")
-    if len(order) > 1 and count[order[0]] < 1.5 * count[order[1]]:
+    r, g, b = (c.astype(np.uint16) >> 3 for c in colors)
+    bucket = r << 10 | g << 5 | b
+    count = np.bincount(bucket)
+    first = int(count.argmax())  # the least of equal ones
+    most, count[first] = int(count[first]), 0
+    if most < 1.5 * int(count.max()):
         return mask, None
-    return mask, tuple(int(x) for x in c[place == order[0]].sum(0) // count[order[0]])
+    return mask, tuple(int(c[bucket == first].sum()) // most for c in colors)
 
 
 def dark_on_light(rgba: np.ndarray) -> bool | None:
@@ -47,18 +73,21 @@ def dark_on_light(rgba: np.ndarray) -> bool | None:
 def bands(filled: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Runs of true values of at least `least`, both ends included."""
     edge = np.flatnonzero(np.diff(np.concatenate(([0], filled.astype(np.int8), [0]))))
-    return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
+    edge = edge.tolist()
+    return [(a, b - 1) for a, b in zip(edge[::2], edge[1::2]) if b - a >= least]
 
 
 def split_glyphs(mask: np.ndarray) -> list[dict]:
     """Blobs in reading order: bits, x, top margin, gap to the blob before (-1 for a line's first), line height, whether a line starts."""
     out = []
     for top, bottom in bands(mask.any(1), 2):
-        before = None
-        for left, right in bands(mask[top : bottom + 1].any(0), 1):
-            rows = np.flatnonzero(mask[top : bottom + 1, left : right + 1].any(1))
-            bits = mask[top + rows[0] : top + rows[-1] + 1, left : right + 1]
-            out.append({"bits": bits, "x": left, "top_margin": int(rows[0]), "gap": -1 if before is None else left - before - 1, "line_height": bottom - top + 1, "new_line": before is None})
+        strip, before = mask[top : bottom + 1], None
+        found = bands(strip.any(0), 1)
+        rows = np.logical_or.reduceat(strip, [left for left, _ in found], axis=1)  # of each blob; between it and the next there is no ink
+        over, under = rows.argmax(0).tolist(), rows[::-1].argmax(0).tolist()
+        for (left, right), first, last in zip(found, over, under):
+            bits = strip[first : len(strip) - last, left : right + 1]
+            out.append({"bits": bits, "x": left, "top_margin": first, "gap": -1 if before is None else left - before - 1, "line_height": len(strip), "new_line": before is None})
             before = right
     return out
 
@@ -72,6 +101,7 @@ def polarities(images: DataFrame, track: str, order: str, bitmap: str = "bitmap"
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    bounded_batches(images.sparkSession)
     first = images.withColumn("__n", F.row_number().over(Window.partitionBy(track).orderBy(order))).filter(f"__n <= {POLARITY_IMAGES}").select(track, bitmap)
     kind = dict(images.dtypes)[track]
 

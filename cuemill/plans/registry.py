@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions import lang, textfix
-from cuemill.operators import cues, decode, glyphs, spell, state
+from cuemill.operators import cues, glyphs, spell, state
 from cuemill.plans import captions
 from cuemill.sources import probe, writers
 
@@ -543,6 +543,8 @@ def database_paths(spark, sf_dir):
 
 # --- images --------------------------------------------------------------------------------------------------------------------------
 
+#: Bytes of its files for which a table whose rows are much work gets a partition.
+DEALT_BYTES = 1 << 20
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -560,28 +562,27 @@ def _letters() -> tuple[dict[str, np.ndarray], bytes]:
     return shapes, glyphs.write_database(found)
 
 
-def drawn(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, bitmap: texts of small letters and blanks in that script, white on nothing, one line high."""
-    shapes, _ = _letters()
-    kinds = dict(docs.dtypes)
+def drawing() -> Callable[[str], np.ndarray]:
+    """Draws a text of small letters and blanks in that script, white on nothing, one line high, as an RGBA array."""
+    columns = {c: np.pad(shape, ((0, 0), (0, 1))).T.astype(np.uint8).tobytes() for c, shape in _letters()[0].items()} | {" ": bytes(6 * 14)}
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for t in frame[text]:
-                columns = [np.zeros((14, 6), bool) if c == " " else np.pad(shapes[c], ((0, 0), (0, 1))) for c in t] or [np.zeros((14, 1), bool)]
-                mask = np.pad(np.concatenate(columns, 1), 2)
-                rows.append({"width": mask.shape[1], "height": mask.shape[0], "rgba": np.where(mask[..., None], np.uint8(255), np.uint8(0)).repeat(4, 2).tobytes()})
-            out = frame[keys].copy()
-            out["bitmap"] = rows
-            yield out
+    def draw(text: str) -> np.ndarray:
+        line = np.frombuffer(b"".join([columns[c] for c in text]) or bytes(14), np.uint8).reshape(-1, 14).T
+        light = np.zeros((18, line.shape[1] + 4), np.uint8)
+        light[2:-2, 2:-2] = line * np.uint8(255)
+        return np.broadcast_to(light[..., None], (*light.shape, 4))
 
-    return docs.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", bitmap {decode.BITMAP}")
+    return draw
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS text, CAST(0 AS INTEGER) AS unknown FROM conversations")
 def recognized_lines(spark, sf_dir):
-    """Texts drawn as images and read back. The work is in the rows, so they are dealt to all cores, however few files hold them."""
-    docs = table(spark, sf_dir, "conversations").repartition(2 * spark.sparkContext.defaultParallelism, "conv_id", "turn")
-    plain = docs.select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("text"))
-    return glyphs.recognize(drawn(plain, ["conv_id", "turn"], "text"), ["conv_id", "turn"], _letters()[1]).select("conv_id", "turn", "text", "unknown")
+    """Texts drawn as images and read back. The work is in the rows, so they are dealt to all cores, however few files hold them.
+
+    Images are 300 times as large as their texts, so each is drawn where it is read; none travels.
+    """
+    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    dealt = docs.repartition(min(100_000, max(2 * spark.sparkContext.defaultParallelism, size // DEALT_BYTES)), "conv_id", "turn")
+    plain = dealt.select("conv_id", "turn", F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " ")).alias("text"))
+    return glyphs.recognize(plain, ["conv_id", "turn"], _letters()[1], bitmap="text", image=drawing()).select("conv_id", "turn", "text", "unknown")

@@ -1,7 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from cuemill.operators import decode, glyphs, imaging
+from cuemill.plans import registry
 
 
 def segment(kind, body):
@@ -120,3 +122,24 @@ def test_recognize_on_spark(spark):
     r = glyphs.recognize(df, ["seq"], glyphs.write_database([i])).first()
     assert (r.text, r.glyphs, r.unknown, r.r) == ("l", 1, 0, 255)
     assert imaging.polarities(df.withColumnRenamed("seq", "track").selectExpr("track", "1 AS n", "bitmap"), "track", "n").first().inverted is False
+
+
+def test_images_are_handed_on_in_pieces(spark):
+    made = ({"bitmap": {"rgba": bytes(4000)}} if k % 4 else {"bitmap": None} for k in range(40))
+    got = list(imaging.in_pieces(pd.DataFrame({"k": range(40)}), made, limit=10_000))
+    assert [k for frame, _ in got for k in frame["k"]] == list(range(40)) and len(got) == 10
+    assert max(sum(len(x["bitmap"]["rgba"]) for x in found if x["bitmap"]) for _, found in got) <= 12_000
+    i, _ = letter("l", 3, 14, [[0, 0, 0, 13], [1, 0, 1, 13], [2, 0, 2, 13]])
+    df = spark.createDataFrame([(1, None)], f"seq int, bitmap {decode.BITMAP}")
+    r = glyphs.recognize(df, ["seq"], glyphs.write_database([i])).first()
+    assert (r.text, r.glyphs, r.unknown, r.r) == (None, 0, 0, None)  # a missing image has no text
+
+
+def test_drawn_lines_do_not_travel(spark, tmp_path):
+    said = [(1, k, "user", t) for k, t in enumerate(["Ab, c!", None, "", "x" * 3000] + ["word " * 200] * 300)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = registry.QUERIES["recognized_lines"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1  # images are drawn in the pass that reads them
+    got = {r.turn: (r.text, r.unknown) for r in out.collect()}
+    assert got[0] == ("ab c", 0) and got[1] == (None, 0) and got[2] == ("", 0) and got[3] == ("x" * 3000, 0)
+    assert all(got[k] == (" ".join(["word"] * 200), 0) for k in range(4, 304))
