@@ -166,6 +166,7 @@ def metadata_words(items: DataFrame, people: DataFrame) -> DataFrame:
     titles = items.select("item_id", F.explode(F.flatten(F.transform(F.coalesce("titles", none), of))).alias("word"))
     owners = items.select("item_id", F.explode(F.array_distinct(F.array_compact(F.array("item_id", "series_id")))).alias("owner_id"))
     own = F.col("role").rlike(r"(?i)^\s*(self|himself|herself|themself|themselves)(?![\p{L}\p{Nd}_])")
-    cast = people.filter(F.col("type").isin("Actor", "GuestStar")).join(owners, "owner_id")
-    roles = cast.select("item_id", F.explode(F.concat(of(F.col("role")), F.when(own, of(F.col("name"))).otherwise(none))).alias("word"))
-    return titles.unionByName(roles).distinct()
+    cast = people.filter(F.col("type").isin("Actor", "GuestStar"))
+    # words of an owner once, however many people share them: items meet words, not people
+    said = cast.select("owner_id", F.explode(F.concat(of(F.col("role")), F.when(own, of(F.col("name"))).otherwise(none))).alias("word")).distinct()
+    return titles.unionByName(owners.join(said, "owner_id").select("item_id", "word")).distinct()

@@ -147,3 +147,12 @@ def test_all_languages_of_the_reference(spark):
     assert all(12 % sum(w in ws for ws in lists) == 0 for w in set().union(*lists))
     weights = {(r.language, r.word): r.weight for r in lang.stopword_rows(spark).collect()}
     assert weights["nl", "je"] == 3 and weights["pl", "tak"] == 6 and weights["nl", "de"] == 6 and weights["tr", "ne"] == 4
+
+
+def test_items_meet_the_words_of_a_cast_not_its_people(spark):
+    items = spark.range(300).selectExpr("id AS item_id", "-1 - id % 2 AS series_id", "array('the boat') AS titles")
+    people = spark.range(3000).selectExpr("-1 - id % 2 AS owner_id", "'Actor' AS type", "concat('Self Guest#', id) AS role", "'Ann Ray' AS name")
+    found = probe.metadata_words(items, people)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert len(plan) == 2 and "Aggregate [owner_id" in plan[1]  # 450,000 pairs else
+    assert {(r.item_id, r.word) for r in found.collect()} == {(k, w) for k in range(300) for w in "the boat self guest ann ray".split()}
