@@ -444,10 +444,9 @@ def exact_size_probe(spark, sf_dir):
 SELECT c_custkey, n_nationkey AS glyph, CAST(errors AS BIGINT) AS errors, CAST(fit AS INTEGER) AS fit FROM m WHERE errors <= 20 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY errors, fit, n_nationkey) = 1""")
 def glyph_argmin(spark, sf_dir):
     """A theta join with the 25 templates of a fixed table, scored; the best of each."""
-    templates = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey"))
-    errors, fit = F.abs(F.col("c_custkey") % 97 - F.col("n_nationkey") * 4), F.abs(F.col("c_nationkey") - F.col("n_nationkey"))
-    met = table(spark, sf_dir, "customer").join(templates, errors <= 20)
-    return glyphs.fewest_errors(met.select("c_custkey", F.col("n_nationkey").alias("glyph"), errors.cast("long").alias("errors"), fit.alias("fit")), ["c_custkey"], 20)
+    templates = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("glyph"))
+    errors, fit = lambda g: F.abs(F.col("c_custkey") % 97 - g * 4).cast("long"), lambda g: F.abs(F.col("c_nationkey") - g)
+    return glyphs.fewest_errors(table(spark, sf_dir, "customer"), templates, ["c_custkey"], errors, fit, 20)
 
 
 CONVERSATION_CUES = """cues AS (SELECT conv_id AS track, turn AS seq, turn * 61234 + 7 AS start, turn * 61234 + 3456007 AS "end", CASE WHEN turn % 5 = 4 THEN ' ' ELSE text END AS text,

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cuemill.operators import decode, glyphs, imaging
 from cuemill.plans import registry
@@ -143,3 +144,20 @@ def test_drawn_lines_do_not_travel(spark, tmp_path):
     got = {r.turn: (r.text, r.unknown) for r in out.collect()}
     assert got[0] == ("ab c", 0) and got[1] == (None, 0) and got[2] == ("", 0) and got[3] == ("x" * 3000, 0)
     assert all(got[k] == (" ".join(["word"] * 200), 0) for k in range(4, 304))
+
+
+def test_best_templates_are_found_without_sorting_pairs(spark):
+    rng = np.random.default_rng(5)
+    blobs = [(int(k), int(a)) for k, a in zip(rng.integers(0, 150, 400), rng.integers(0, 100, 400))] + [(900, 900), (901, None)]
+    templates = [int(x) for x in rng.permutation(30)] + [None]
+    errors, fit = lambda g: F.abs(F.col("a") - g * 3).cast("long"), lambda g: F.abs(F.col("k") % 7 - g % 5)
+    found = glyphs.fewest_errors(spark.createDataFrame(blobs, "k long, a int"), spark.createDataFrame([(t,) for t in templates], "glyph int"), ["k"], errors, fit, 10)
+    before_exchange = found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(k", 1)[1]
+    assert "Sort" not in before_exchange
+    want = {}
+    for k, a in blobs:
+        for t in templates[:-1]:
+            if a is not None and abs(a - t * 3) <= 10:
+                want[k] = min(want.get(k, (99,)), (abs(a - t * 3), abs(k % 7 - t % 5), t))
+    rows = found.collect()
+    assert {r.k: (r.errors, r.fit, r.glyph) for r in rows} == want and len(rows) == len(want) > 100
