@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.session import settled
+
 
 #: Fixes that stay a literal map in the plan; a map is searched in line, so larger lists are looked up by hash in Arrow batches.
 LITERAL_WORDS = 64
@@ -121,10 +123,14 @@ def close_matches(words: DataFrame, dictionary: DataFrame, placeholder: str = "
 
     Both sides join on variants with as many deletions as the distance; a placeholder is one deletion more. Words with over two
     placeholders, whose variants are too many, meet all dictionary words of about their length.
+
+    Distinct words of both sides are computed once, as checkpoints, and variants are made of them. In one plan with what came before,
+    filters on variants would be pushed below the distinct and make them for every occurrence, and each kind of word would read anew.
     """
     gaps = F.length("word") - F.length(F.replace("word", F.lit(placeholder), F.lit("")))
-    left = words.select("word").distinct().filter(F.length("word") >= 3).select("word", F.when(F.length("word") >= 8, 2).otherwise(1).alias("most"), F.least(gaps, F.lit(3)).alias("gaps"))
-    right = dictionary.select(F.col("word").alias("match"), "freq").distinct().filter(F.length("match") >= 1)
+    left = settled(words.select("word").filter(F.length("word") >= 3).distinct())
+    left = left.select("word", F.when(F.length("word") >= 8, 2).otherwise(1).alias("most"), F.least(gaps, F.lit(3)).alias("gaps"))
+    right = settled(dictionary.select(F.col("word").alias("match"), "freq").filter(F.length("match") >= 1).distinct())
     near = left.select("word").limit(0).crossJoin(right.limit(0)).withColumn("d", F.lit(0))
     for most, held in sorted(map(tuple, left.select("most", "gaps").distinct().collect())):  # 8 kinds at most
         asked, known = left.filter((F.col("most") == most) & (F.col("gaps") == held)).select("word"), right.filter(F.length("match") >= (6 if most == 2 else 2))

@@ -156,3 +156,11 @@ def test_items_meet_the_words_of_a_cast_not_its_people(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
     assert len(plan) == 2 and "Aggregate [owner_id" in plan[1]  # 450,000 pairs else
     assert {(r.item_id, r.word) for r in found.collect()} == {(k, w) for k in range(300) for w in "the boat self guest ann ray".split()}
+
+
+def test_close_matches_read_their_words_once(spark):
+    words = spark.range(6000).selectExpr("concat('kxtchxns', id % 3) AS word")
+    known = spark.range(6000).selectExpr("concat('kitchens', id % 3) AS word").groupBy("word").agg(F.count("*").alias("freq"))
+    found = spell.close_matches(words, known)
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()  # variants are made of distinct words, not of occurrences
+    assert {(r.word, r.match, r.distance) for r in found.collect()} == {(f"kxtchxns{k}", f"kitchens{k}", 2) for k in range(3)}
